@@ -91,8 +91,8 @@ ORACLE = {
     "p2_found": f"WITH RECURSIVE {_LINKS} SELECT n.doc_id, n.node AS node_id, coalesce(w.root, '') AS root_id, coalesce(w.depth, -1)::INTEGER AS depth FROM nodes n LEFT JOIN walk w USING (doc_id, node)",
     "p2_paths": f"WITH RECURSIVE {_LINKS} SELECT n.doc_id, n.node AS node_id, coalesce(w.depth, -1)::INTEGER AS depth, w.path FROM nodes n LEFT JOIN walk w USING (doc_id, node)",
     "p2_descendants": f"""WITH RECURSIVE {_LINKS}, up AS (SELECT doc_id, depth, string_split(path, ' > ') AS p FROM walk),
-each AS (SELECT doc_id, depth, unnest(p) AS node_id, generate_subscripts(p, 1) - 1 AS at FROM up)
-SELECT doc_id, node_id, (count(*) - 1)::BIGINT AS n_descendants, max(depth - at)::INTEGER AS height FROM each GROUP BY ALL""",
+each AS (SELECT doc_id, depth, unnest(p) AS node_id, generate_subscripts(p, 1) - 1 AS lvl FROM up)
+SELECT doc_id, node_id, (count(*) - 1)::BIGINT AS n_descendants, max(depth - lvl)::INTEGER AS height FROM each GROUP BY ALL""",
     "p4_found": f"WITH {_REFS} SELECT rel_id, endpoint FROM probed WHERE status <> 'resolved'",
     "p4_snapshot": f"""WITH {_REFS} SELECT endpoint, strftime(ingested_at, '%Y-%m') AS period, count(*) FILTER (status = 'missing') AS missing,
 count(*) FILTER (status = 'late') AS late, count(*) FILTER (status = 'deleted') AS deleted, count(*) AS "references" FROM probed GROUP BY ALL""",
