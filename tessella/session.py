@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from functools import reduce
@@ -15,8 +16,22 @@ _HOT_KEYS = 1024
 _SALTS = 64
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once per application, so that jobs need no path set up."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        home = os.path.dirname(os.path.abspath(__file__))
+        base = os.path.join(tempfile.mkdtemp(prefix="tessella-code-"), "tessella")
+        spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(home), os.path.basename(home)))
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the input folder, read by name."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -47,6 +62,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 def stage(df: DataFrame, label: str, partition_rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_root(spark)}/tessella/{label}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_rows:
@@ -73,6 +89,7 @@ def hot_join(
     keys: list[str],
     how: str = "left",
     spread: Column | None = None,
+    hot: DataFrame | None = None,
     hot_keys: int = _HOT_KEYS,
     salts: int = _SALTS,
 ) -> DataFrame:
@@ -82,9 +99,12 @@ def hot_join(
     most ``hot_keys`` rows whatever the input, so broadcasting it is bounded. Rows of these keys are
     dealt to ``salts`` shares and the matching right rows repeated once per share. Any other key holds at
     most ``1 / hot_keys`` of the rows. The list decides only how rows travel, never which rows join.
+    ``hot`` may hand over the counts (keys and ``_n``) if they are known already.
     """
     spread = F.xxhash64(*[F.col(c) for c, t in left.dtypes if not t.startswith(("map", "variant"))]) if spread is None else spread
-    hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").orderBy(F.desc("_n")).limit(hot_keys).select(*keys, F.lit(True).alias("_hot"))
+    if hot is None:
+        hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = hot.where("_n > 1").orderBy(F.desc("_n")).limit(hot_keys).select(*keys, F.lit(True).alias("_hot"))
     hot = F.broadcast(hot)
     salted_left = left.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(spread, F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("_hot")
     shares = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
