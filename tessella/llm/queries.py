@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import dedup, fusion, packing, tokenizer
+from tessella.llm import dedup, fusion, packing, scans, tokenizer
 from tessella.session import load
 
 
@@ -29,6 +29,14 @@ def p3_fused(spark: SparkSession, d: str) -> DataFrame:
     return fusion.fuse(load(spark, d, "kg_entities"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.find_noise(load(spark, d, "doc_segments"))
+
+
+def p6_text(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repair(load(spark, d, "doc_segments"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode(load(spark, d, "documents"), path=tokenizer.VOCABULARY)
 
@@ -42,7 +50,7 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.pack_texts(load(spark, d, "documents"), capacities, tokenizer.VOCABULARY), capacities)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p3_found, p3_fused, p8_ids, p9_packed, p9_fill)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p3_found, p3_fused, p6_found, p6_text, p8_ids, p9_packed, p9_fill)}
 
 _FOLDED = """folded AS (SELECT rec_id, regexp_replace(lower(label), '[^\\p{L}\\p{Nd}]', '', 'g') AS a, regexp_replace(lower(type), '[^\\p{L}\\p{Nd}]', '', 'g') AS b
   FROM kg_entities WHERE op = 'upsert' AND label IS NOT NULL AND type IS NOT NULL),
@@ -61,12 +69,12 @@ timed AS (
     WHEN regexp_full_match(t, '\\d{{12,14}}') THEN try_cast(t AS BIGINT) * 1000
     WHEN regexp_full_match(t, '\\d{{1,2}} [A-Za-z]{{3}} \\d{{4}} .*') THEN epoch_us(try_strptime(t, '%d %b %Y %H:%M:%S'))
     WHEN regexp_matches(t, '([Zz]|[+-]\\d{{2}}:\\d{{2}})$') AND contains(t, ':') THEN epoch_us(try_cast(replace(t, '/', '-') AS TIMESTAMPTZ))
-    ELSE epoch_us(try_cast(replace(t, '/', '-') AS TIMESTAMP)) END AS at
+    ELSE epoch_us(try_cast(replace(t, '/', '-') AS TIMESTAMP)) END AS ts
   FROM base WHERE n >= 2),
 fields AS (
-  SELECT keep_id, rec_id, at, 'label' AS field FROM timed WHERE {_COUNTS.format("label")}
+  SELECT keep_id, rec_id, ts, 'label' AS field FROM timed WHERE {_COUNTS.format("label")}
   UNION ALL
-  SELECT keep_id, rec_id, at, field FROM (SELECT keep_id, rec_id, at, k AS field, json_extract(props, '$."' || k || '"') AS v
+  SELECT keep_id, rec_id, ts, field FROM (SELECT keep_id, rec_id, ts, k AS field, json_extract(props, '$."' || k || '"') AS v
     FROM (SELECT *, unnest(json_keys(props)) AS k FROM timed WHERE props IS NOT NULL))
   WHERE CASE json_type(v) WHEN 'NULL' THEN false WHEN 'OBJECT' THEN true
     WHEN 'ARRAY' THEN len(list_filter(CAST(v AS VARCHAR[]), lambda x: coalesce({_COUNTS.format("x")}, false))) > 0
@@ -75,5 +83,5 @@ fields AS (
 ORACLE = {
     "p1_found": f"WITH {_FOLDED} SELECT keep_id, rec_id AS copy_id FROM grouped WHERE rec_id <> keep_id",
     "p1_collapsed": f"WITH {_FOLDED} SELECT keep_id, count(*) AS n_copies FROM grouped GROUP BY keep_id",
-    "p3_found": f"WITH {_LATEST} SELECT keep_id, field, arg_min(rec_id, (-coalesce(at, -500000000000000000), rec_id)) AS rec_id FROM fields GROUP BY keep_id, field",
+    "p3_found": f"WITH {_LATEST} SELECT keep_id, field, arg_min(rec_id, (-coalesce(ts, -500000000000000000), rec_id)) AS rec_id FROM fields GROUP BY keep_id, field",
 }
