@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import dedup, fusion, packing, scans, tokenizer
+from tessella.llm import dedup, fusion, packing, scans, subject, tokenizer
 from tessella.session import load
 
 
@@ -50,7 +50,15 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.pack_texts(load(spark, d, "documents"), capacities, tokenizer.VOCABULARY), capacities)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p3_found, p3_fused, p6_found, p6_text, p8_ids, p9_packed, p9_fill)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return subject.find_areas(load(spark, d, "documents"), load(spark, d, "subject_examples"))
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subject.composition(load(spark, d, "documents"), load(spark, d, "subject_examples"), load(spark, d, "subject_areas"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p3_found, p3_fused, p6_found, p6_text, p8_ids, p9_packed, p9_fill, p10_found, p10_composition)}
 
 _FOLDED = """folded AS (SELECT rec_id, regexp_replace(lower(label), '[^\\p{L}\\p{Nd}]', '', 'g') AS a, regexp_replace(lower(type), '[^\\p{L}\\p{Nd}]', '', 'g') AS b
   FROM kg_entities WHERE op = 'upsert' AND label IS NOT NULL AND type IS NOT NULL),
