@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import problems
+from tessella.plans import graph_queries, problems, text_queries
 
-_PARTS = [problems]
+_PARTS = [problems, graph_queries, text_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
