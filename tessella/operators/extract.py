@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators.nested import choose_graph, read_json
+from tessella.operators.nested import choose_graph, read_answers
 from tessella.session import stage
 
 Provider = Callable[[str], str]
@@ -52,16 +52,13 @@ def call_provider(prompted: DataFrame, provider: Provider, parallelism: int, pau
 
 def answer_kind(payloads: DataFrame) -> DataFrame:
     """How each answer could be read: plain, wrapped (fence or surrounding text) or failed."""
-    whole = F.try_parse_json("payload")
-    got = read_json(F.col("payload"))
-    kind = F.when(got.isNull(), "failed").when(whole.isNotNull(), "plain").otherwise("wrapped")
-    return payloads.select("payload_id", "doc_id", kind.alias("kind"))
+    t = read_answers(payloads, "payload", "v").select("payload_id", "doc_id", F.col("v").isNull().alias("bad"), F.try_parse_json("payload").isNotNull().alias("whole"))
+    return t.select("payload_id", "doc_id", F.when(F.col("bad"), "failed").when(F.col("whole"), "plain").otherwise("wrapped").alias("kind"))
 
 
 def experiment_counts(payloads: DataFrame) -> DataFrame:
     """Per document: payloads by the experiment their graph comes from, and entities at the top of it."""
-    v = read_json(F.col("payload"))
-    t = payloads.select("doc_id", v.alias("v")).select("doc_id", "v", choose_graph(F.col("v")).alias("g"))
+    t = read_answers(payloads, "payload", "v").select("doc_id", "v", choose_graph(F.col("v")).alias("g"))
     method = F.when(F.col("g").isNull(), "none").when(F.try_variant_get("v", "$.experiments['2_baseline_llm']", "variant").isNotNull(), "baseline").otherwise("guided")
     n = F.coalesce(F.size(F.try_variant_get("g", "$.entities", "array<variant>")), F.lit(0))
     return t.groupBy(method.alias("method")).agg(F.count(F.lit(1)).alias("n_payloads"), F.sum(n).cast("long").alias("n_listed"))

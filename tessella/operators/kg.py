@@ -14,9 +14,11 @@ def entities(raw: DataFrame) -> DataFrame:
     ``props_kind``: 'object', 'null' (JSON null), 'other' (a list or scalar) or 'absent' (no text or no
     readable JSON). Only an object has ``props``.
     """
-    v = F.try_parse_json("properties")
+    # parsed once, in a step of its own
+    raw = raw.where("op = 'upsert'").select("rec_id", "doc_id", "pos", "id", "type", "label", F.try_parse_json("properties").alias("_v"), "source", "provenance")
+    v = F.col("_v")
     kind = F.when(v.isNull(), "absent").when(F.is_variant_null(v), "null").when(as_object(v).isNotNull(), "object").otherwise("other")
-    return raw.where("op = 'upsert'").select("rec_id", "doc_id", "pos", "id", "type", "label", as_object(v).alias("props"), kind.alias("props_kind"), "source", "provenance")
+    return raw.select("rec_id", "doc_id", "pos", "id", "type", "label", as_object(v).alias("props"), kind.alias("props_kind"), "source", "provenance")
 
 
 def relationships(raw: DataFrame) -> DataFrame:

@@ -25,6 +25,15 @@ def read_json(text: Column) -> Column:
     return F.coalesce(as_object(whole), as_object(fenced), as_object(braced))
 
 
+def read_answers(df: DataFrame, text: str, name: str) -> DataFrame:
+    """:func:`read_json` as a column. The wrapped forms are only tried where the whole text is no object."""
+    t = df.withColumn("_whole", F.try_parse_json(text)).withColumn(name, as_object(F.col("_whole")))
+    rest = F.when(F.col(name).isNull(), F.col(text))
+    t = t.withColumn("_fenced", F.try_parse_json(F.regexp_extract(rest, FENCE, 1))).withColumn(name, F.coalesce(name, as_object(F.col("_fenced"))))
+    t = t.withColumn("_braced", F.try_parse_json(F.regexp_extract(F.when(F.col(name).isNull(), F.col(text)), BRACES, 0))).withColumn(name, F.coalesce(name, as_object(F.col("_braced"))))
+    return t.drop("_whole", "_fenced", "_braced")
+
+
 def as_object(v: Column) -> Column:
     """The variant if it is an object, else NULL."""
     return F.when(F.try_variant_get(v, "$", "struct<_:variant>").isNotNull(), v)
@@ -171,7 +180,7 @@ def choose_graph(answer: Column) -> Column:
 
 def payload_graphs(payloads: DataFrame) -> DataFrame:
     """(payload_id, graph) of every payload that holds one."""
-    read = payloads.select("payload_id", read_json(F.col("payload")).alias("answer"))
+    read = read_answers(payloads, "payload", "answer").select("payload_id", "answer")
     graphs = read.select("payload_id", choose_graph(F.col("answer")).alias("graph")).where("graph is not null")
     return stage(graphs, "payload-graphs")
 

@@ -41,6 +41,12 @@ class OrphanState:
         parents = parent_index(entities.limit(0))
         return OrphanState(parents, probe(endpoints(rels.limit(0)), parents))
 
+    @staticmethod
+    def first(entities: DataFrame, rels: DataFrame) -> "OrphanState":
+        """The state after one batch from empty: nothing waits yet, so all references probe the index."""
+        parents = parent_index(entities)
+        return OrphanState(parents, probe(endpoints(rels), parents))
+
     def advance(self, entities: DataFrame, rels: DataFrame, keep: bool = True) -> "OrphanState":
         """Take in one batch: new references probe the index; parents that arrive resolve waiting
         references and deletes reopen them, for the touched keys only."""
@@ -85,4 +91,4 @@ def find_orphans(rels: DataFrame, entities: DataFrame) -> DataFrame:
     Nulls: a null or blank end is no reference; a reference without ``ingested_at`` finds no parent in
     time; entity rows without an id are no parents. Repeated rows count each by their ``rel_id``.
     """
-    return probe(endpoints(rels), parent_index(entities))
+    return OrphanState.first(entities, rels).refs

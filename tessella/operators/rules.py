@@ -97,7 +97,8 @@ def results(ents: DataFrame, rels: DataFrame, strict: bool = True) -> DataFrame:
 def compliance(rule_results: DataFrame) -> DataFrame:
     """Per document: the mean of the rounded rule scores, rounded again; PASS if no rule failed.
 
-    The mean is taken over whole hundredths, so it does not depend on the order of the rows."""
+    The mean is taken over whole hundredths, so it does not depend on the order of the rows; exact ties
+    go up."""
     g = rule_results.groupBy("doc_id").agg(F.sum(F.round(F.col("score") * 100).cast("long")).alias("s"), F.count_if(~F.col("passed")).alias("critical_failures"), F.count(F.lit(1)).alias("n_rules"), F.sum("violation_count").alias("total_violations"))
     mean = F.expr("(2 * s + n_rules) div (2 * n_rules) / 100.0D")
     return g.select("doc_id", mean.alias("compliance"), "critical_failures", (F.col("n_rules") - F.col("critical_failures")).alias("passed_rules"), "total_violations", F.when(F.col("critical_failures") == 0, "PASS").otherwise("FAIL").alias("status"))

@@ -23,13 +23,12 @@ def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    refs = orphans.find_orphans(load(spark, d, "kg_relationships"), load(spark, d, "kg_entities"))
-    return refs.where("status <> 'resolved'").select("rel_id", "endpoint")
+    state = orphans.OrphanState.first(load(spark, d, "kg_entities"), load(spark, d, "kg_relationships"))
+    return state.open_refs().select("rel_id", "endpoint")
 
 
 def p4_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    refs = orphans.find_orphans(load(spark, d, "kg_relationships"), load(spark, d, "kg_entities"))
-    return orphans.OrphanState(refs, refs).snapshot()
+    return orphans.OrphanState.first(load(spark, d, "kg_entities"), load(spark, d, "kg_relationships")).snapshot()
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
