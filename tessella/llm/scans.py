@@ -33,7 +33,9 @@ _CORE_L, _CORE_R = "\"'“”‘’«»[{<", ".,;:!?\"'“”‘’«»]}>"
 def core(token: str) -> str:
     """A token in lower case without the punctuation around it."""
     t = token.strip(_CORE_L + _CORE_R)
-    if t.startswith("(") and (t.endswith(")") or ")" not in t):
+    if t.startswith("(") and t.endswith(")"):
+        t = t[1:-1]
+    elif t.startswith("(") and ")" not in t:
         t = t[1:]
     if t.endswith(")") and "(" not in t:
         t = t[:-1]
@@ -73,9 +75,10 @@ class Perceptron:
         get = self.w.get
         return sum(get(f, 0.0) for f in feats)
 
-    def learn(self, feats: list[str], label: bool) -> None:
+    def learn(self, feats: list[str], label: bool, margin: float = 0.0) -> None:
         self.t += 1
-        if (self.score(feats) > 0) != label:
+        score = self.score(feats)
+        if (score <= margin) if label else (score > -margin):
             for f in feats:
                 self._sum[f] += (self.t - self._at[f]) * self.w[f]
                 self._at[f] = self.t
@@ -177,16 +180,21 @@ class Editor:
                 k = rng.randint(2, len(w) - 2)
                 for mark in rng.sample(MARKS, 2):
                     joins.append((self.join_features(w[:k], w[k:], mark), True))
+                # a broken word that is not known as a whole, against two known ones that are
+                joins.append((self.join_features(w[:k] + "~", w[k:], "-"), True))
+                other = rng.choice(top)
+                if f"{w}-{other}" not in self.words and w + other not in self.words:
+                    joins.append((self.join_features(w, other, "-"), False))
         for w in self.words:
             parts = w.split("-")
             if len(parts) > 1 and all(parts):
                 k = rng.randint(1, len(parts) - 1)
                 joins.append((self.join_features("-".join(parts[:k]), "-".join(parts[k:]), "-"), False))
-        for examples, model in ((data, self.op), (joins, self.join)):
+        for examples, model, margin in ((data, self.op, 0.0), (joins, self.join, 1.0)):
             for _ in range(6):
                 rng.shuffle(examples)
                 for feats, label in examples:
-                    model.learn(feats, label)
+                    model.learn(feats, label, margin)
             model.average()
         return self
 
