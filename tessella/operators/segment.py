@@ -43,6 +43,8 @@ def _group(text: Column, pattern: str, i: int) -> Column:
 
 NUMBERED = r"^([0-9]+(?:\.[0-9]+)*)\.?\s+([A-Z][^.]+?)\s*\.{2,}\s*([0-9]+)$"
 APPENDIX = r"^(Appendix [A-Z])[:.]?\s+(.+?)\s*\.{2,}\s*([0-9]+)$"
+WITH_PAGE = r"^(?:[0-9]+(?:\.[0-9]+)*\.?\s+)?([A-Z][A-Za-z ,&'-]{3,}?)[\s.]+([0-9]+)$"
+PLAIN = r"^(?:[0-9]+(?:\.[0-9]+)*\.?\s+)([A-Z][A-Za-z ,&'-]{3,})$"
 LETTERED = r"^([A-Z]\.[0-9]+)\s+(.+?)\s*\.{2,}\s*([0-9]+)$"
 
 
@@ -69,10 +71,8 @@ def embedded_entries(page: DataFrame) -> DataFrame:
     skip = (F.length("line") < 5) | F.lower("line").isin(HEAD_LINES)
     for s in STOP_PARTS:
         skip = skip | F.lower("line").contains(s)
-    with_page = r"^(?:[0-9]+(?:\.[0-9]+)*\.?\s+)?([A-Z][A-Za-z ,&'-]{3,}?)[\s.]+([0-9]+)$"
-    plain = r"^(?:[0-9]+(?:\.[0-9]+)*\.?\s+)([A-Z][A-Za-z ,&'-]{3,})$"
-    name = F.coalesce(_group(F.col("line"), with_page, 1), _group(F.col("line"), plain, 1))
-    t = t.where(~skip).select("doc", "page_num", "line_no", name.alias("title"), _group(F.col("line"), with_page, 2).try_cast("int").alias("page")).where("length(title) > 3")
+    name = F.coalesce(_group(F.col("line"), WITH_PAGE, 1), _group(F.col("line"), PLAIN, 1))
+    t = t.where(~skip).select("doc", "page_num", "line_no", name.alias("title"), _group(F.col("line"), WITH_PAGE, 2).try_cast("int").alias("page")).where("length(title) > 3")
     t = t.withColumn("first", F.min("page_num").over(Window.partitionBy("doc"))).where("page_num = first")
     k = F.row_number().over(Window.partitionBy("doc").orderBy("line_no"))
     return t.select("doc", (k - 1).alias("toc_idx"), k.cast("string").alias("number"), "title", F.coalesce("page", k).alias("page"))

@@ -86,7 +86,38 @@ t AS (SELECT doc_id, run_id, x, after > 0 AS opens FROM c WHERE (after = 0) <> (
 n AS (SELECT *, lead(x) OVER (PARTITION BY doc_id, run_id ORDER BY x) AS nx FROM t),
 spans AS (SELECT doc_id, run_id, CASE WHEN opens THEN 'period' ELSE 'gap' END AS kind, x::INTEGER AS page_from, (nx - 1)::INTEGER AS page_to FROM n WHERE nx IS NOT NULL)"""
 
+
+
+def _items(x: str) -> str:
+    """A JSON list as it is, a single value as a list of one."""
+    return f"CASE WHEN {x} IS NULL OR json_type({x}) = 'NULL' THEN CAST([] AS JSON[]) WHEN json_type({x}) = 'ARRAY' THEN CAST({x} AS JSON[]) ELSE [{x}] END"
+
+
+def _level(name: str, source: str, keys: str, value: str, pos: str, objects: bool = False) -> str:
+    kept = "json_type(v) = 'OBJECT'" if objects else "v IS NOT NULL AND json_type(v) <> 'NULL'"
+    return f"""{name} AS (SELECT * FROM (SELECT {keys}, (generate_subscripts(l, 1) - 1)::INTEGER AS {pos}, unnest(l) AS v FROM (SELECT {keys}, {_items(value)} AS l FROM {source})) WHERE {kept})"""
+
+
+READ = r"""ans AS (SELECT payload_id, doc_id, payload, CASE WHEN json_valid(payload) THEN CASE WHEN json_type(payload) = 'OBJECT' THEN payload END END AS a,
+  nullif(regexp_extract(payload, '(?s)```(?:json)?\s*(.*?)\s*```', 1), '') AS f, nullif(regexp_extract(payload, '(?s)\{.*\}', 0), '') AS b FROM kg_payloads),
+rd AS (SELECT payload_id, doc_id, payload, coalesce(a, CASE WHEN json_valid(f) THEN CASE WHEN json_type(f) = 'OBJECT' THEN f END END, CASE WHEN json_valid(b) THEN CASE WHEN json_type(b) = 'OBJECT' THEN b END END) AS a FROM ans),
+gr AS (SELECT payload_id, doc_id, a, CASE WHEN base IS NOT NULL THEN CASE WHEN json_type(base) = 'OBJECT' THEN base END WHEN json_extract(a, '$.entities') IS NOT NULL THEN CAST(a AS JSON) END AS g, base IS NOT NULL AS baseline
+  FROM (SELECT *, json_extract(a, '$.experiments."2_baseline_llm"') AS base FROM rd WHERE a IS NOT NULL))"""
+_NESTED = f"""{READ},
+{_level("e", "gr", "payload_id", "json_extract(g, '$.entities')", "pos1", True)},
+{_level("r", "gr", "payload_id", "json_extract(g, '$.relationships')", "pos1", True)},
+{_level("p", "e", "payload_id, pos1", "json_extract(v, '$.provenance')", "pos2")},
+pr AS (SELECT payload_id, pos1, CASE json_type(x) WHEN 'OBJECT' THEN x WHEN 'VARCHAR' THEN CASE WHEN json_valid(x ->> '$') THEN CASE WHEN json_type(x ->> '$') = 'OBJECT' THEN CAST(x ->> '$' AS JSON) END END END AS x
+  FROM (SELECT payload_id, pos1, json_extract(v, '$.properties') AS x FROM e)),
+{_level("i", "pr", "payload_id, pos1", "json_extract(x, '$.input_variables')", "pos2")},
+{_level("d", "pr", "payload_id, pos1", "json_extract(x, '$.disaggregations')", "pos2")},
+{_level("m", "d", "payload_id, pos1, pos2", "CASE WHEN json_type(v) = 'OBJECT' THEN json_extract(v, '$.members') END", "pos3")},
+found AS (SELECT payload_id, 'entity' AS kind, pos1, -1 AS pos2, -1 AS pos3 FROM e UNION ALL SELECT payload_id, 'relationship', pos1, -1, -1 FROM r UNION ALL SELECT payload_id, 'provenance', pos1, pos2, -1 FROM p
+  UNION ALL SELECT payload_id, 'input_variable', pos1, pos2, -1 FROM i UNION ALL SELECT payload_id, 'disaggregation', pos1, pos2, -1 FROM d UNION ALL SELECT payload_id, 'disaggregation_member', pos1, pos2, pos3 FROM m)"""
+
 ORACLE = {
+    "p5_found": f"WITH {_NESTED} SELECT * FROM found",
+    "p5_levels": f"WITH {_NESTED} SELECT kind, count(*) AS n_rows, count(DISTINCT payload_id) AS n_payloads FROM found GROUP BY kind",
     "p2_found": f"WITH RECURSIVE {_LINKS} SELECT n.doc_id, n.node AS node_id, coalesce(w.root, '') AS root_id, coalesce(w.depth, -1)::INTEGER AS depth FROM nodes n LEFT JOIN walk w USING (doc_id, node)",
     "p2_paths": f"WITH RECURSIVE {_LINKS} SELECT n.doc_id, n.node AS node_id, coalesce(w.depth, -1)::INTEGER AS depth, w.path FROM nodes n LEFT JOIN walk w USING (doc_id, node)",
     "p2_descendants": f"""WITH RECURSIVE {_LINKS}, up AS (SELECT doc_id, depth, string_split(path, ' > ') AS p FROM walk),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions.text import clean_text as clean
 from tessella.operators import cascade, cost, extract, gate, kg, segment
 from tessella.plans.graph_queries import _GATE, _RET, _VALID
+from tessella.plans.problems import READ
 from tessella.session import load
 
 
@@ -209,6 +210,30 @@ m1 AS ({_method("base")}), m2 AS ({_method("w")}),
 cmp AS (SELECT *, round(guided - baseline, 6) AS difference, CASE WHEN baseline = 0 THEN 0.0::DOUBLE ELSE round((baseline - guided) / baseline * 100, 1) END AS savings FROM ({
     " UNION ALL ".join(f"SELECT '{m}' AS metric, (SELECT {m} FROM m1)::DOUBLE AS baseline, (SELECT {m} FROM m2)::DOUBLE AS guided" for m in cost.METRICS)}))"""
 
+
+def _part(i: int) -> str:
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract(line, '{p}', {i}), '')" for p in (segment.NUMBERED, segment.APPENDIX, segment.LETTERED)) + ")"
+
+
+_HEAD = "CASE " + " ".join(f"WHEN contains(lower(text), '{h}') THEN instr(lower(text), '{h}') + {len(h)}" for h in segment.EMBEDDED_HEADS) + " END"
+_STOP = " OR ".join(f"contains(lower(line), '{x}')" for x in segment.STOP_PARTS)
+_WITH, _PLAIN = (p.replace("'", "''") for p in (segment.WITH_PAGE, segment.PLAIN))
+_RANGES = f"""{_FIRST}, {_CHUNK},
+tl AS (SELECT doc, generate_subscripts(l, 1) AS line_no, unnest(l) AS line FROM (SELECT pg.doc, list_transform(string_split(text, chr(10)), lambda x: {_trim("x")}) AS l FROM pg JOIN tocp ON tocp.doc = pg.doc AND page_num = toc_page)),
+toc AS (SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY line_no) - 1)::INTEGER AS toc_idx, number, title, page FROM (SELECT doc, line_no, {_part(1)} AS number, {_part(2)} AS title, try_cast({_part(3)} AS INTEGER) AS page FROM tl) WHERE number IS NOT NULL),
+el AS (SELECT doc, page_num, generate_subscripts(l, 1) AS line_no, unnest(l) AS line FROM (SELECT doc, page_num, list_transform(string_split(substring(text, {_HEAD}), chr(10))[1:20], lambda x: {_trim("x")}) AS l FROM pg WHERE page_num < 5 AND {_HEAD} IS NOT NULL)),
+en AS (SELECT doc, page_num, line_no, coalesce(nullif(regexp_extract(line, '{_WITH}', 1), ''), nullif(regexp_extract(line, '{_PLAIN}', 1), '')) AS title, try_cast(nullif(regexp_extract(line, '{_WITH}', 2), '') AS INTEGER) AS page
+  FROM el WHERE NOT (length(line) < 5 OR lower(line) IN ({", ".join(f"'{h}'" for h in segment.HEAD_LINES)}) OR {_STOP})),
+ek AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY line_no) AS k FROM (SELECT * FROM en WHERE length(title) > 3 QUALIFY page_num = min(page_num) OVER (PARTITION BY doc))),
+cand AS (SELECT doc, toc_idx, number, title, page, 0 AS priority FROM toc UNION ALL SELECT doc, (k - 1)::INTEGER, k::VARCHAR, title, coalesce(page, k)::INTEGER, 1 FROM ek UNION ALL SELECT doc, toc_idx, number, title, page, 2 FROM chunk),
+best AS (SELECT * FROM cand QUALIFY priority = min(priority) OVER (PARTITION BY doc)),
+rg AS (SELECT * FROM (SELECT b.doc, toc_idx, number, title, greatest(page, first_content)::INTEGER AS page_start, coalesce(lead(page) OVER (PARTITION BY b.doc ORDER BY toc_idx) - 1, total_pages - 1)::INTEGER AS page_end FROM best b JOIN fst ON fst.doc = b.doc) WHERE page_start <= page_end)"""
+_CONTENT = f"""{_RANGES},
+sc AS (SELECT rg.doc, toc_idx, page_start, page_end, string_agg(text, chr(10) || chr(10) ORDER BY page_num) AS text FROM rg JOIN pg ON pg.doc = rg.doc AND page_num BETWEEN page_start AND page_end WHERE length({_trim("text")}) > 50 GROUP BY ALL),
+cc AS (SELECT doc, toc_idx, page_start, page_end, {_CLEAN} AS content FROM sc),
+ct AS (SELECT doc, printf('seg_%03d', row_number() OVER (PARTITION BY doc ORDER BY toc_idx) + 1) AS segment_id, page_start, page_end, content FROM cc WHERE length(content) >= 100)"""
+
+
 _HEADS = "list_transform({0}, lambda c: lower(trim(coalesce(c, ''), ' ')))"
 ORACLE = {
     "clean_text": f"SELECT doc_id, {_CLEAN} AS cleaned FROM documents",
@@ -227,6 +252,13 @@ SELECT a.seg_uid, a.page, a.k, b.k AS k2 FROM h a JOIN h b ON a.seg_uid = b.seg_
 WHERE len(a.h) > 0 AND len(a.h) = len(b.h) AND len(list_filter(list_zip(a.h, b.h), lambda z: z[1] = z[2]))::DOUBLE / len(a.h) >= 0.7""",
     "extraction_prompts": """SELECT seg_uid, doc_id, 'Document: ' || coalesce(doc_id, '') || chr(10) || 'Section: ' || replace(coalesce(section_title, ''), '{content}', substring(content, 1, 6000)) || chr(10) || chr(10) || substring(content, 1, 6000) AS prompt
 FROM doc_segments WHERE length(content) >= 100""",
+    "section_ranges": f"WITH {_RANGES} SELECT * FROM rg",
+    "page_section_join": f"WITH {_RANGES} SELECT rg.doc, toc_idx, page_num::INTEGER AS page_num, length(text)::INTEGER AS n_chars FROM rg JOIN pg ON pg.doc = rg.doc AND page_num BETWEEN page_start AND page_end",
+    "section_content": f"WITH {_CONTENT} SELECT doc, segment_id, content FROM ct",
+    "section_stats": f"WITH {_CONTENT} SELECT doc, segment_id, page_start || '-' || page_end AS pages, len(string_split_regex(content, '{_WS}+'))::INTEGER AS word_count FROM ct",
+    "answer_kinds": f"WITH {READ} SELECT CASE WHEN a IS NULL THEN 'failed' WHEN json_valid(payload) THEN 'plain' ELSE 'wrapped' END AS kind, count(*) AS n FROM rd GROUP BY 1",
+    "experiment_counts": f"""WITH {READ}, al AS (SELECT rd.payload_id, gr.g, gr.baseline FROM rd LEFT JOIN gr USING (payload_id))
+SELECT CASE WHEN g IS NULL THEN 'none' WHEN baseline THEN 'baseline' ELSE 'guided' END AS method, count(*) AS n_payloads, sum(CASE WHEN json_type(json_extract(g, '$.entities')) = 'ARRAY' THEN json_array_length(g, '$.entities') ELSE 0 END)::BIGINT AS n_listed FROM al GROUP BY 1""",
     "token_cost": f"WITH {_USAGE} SELECT usage_id, input_cost, output_cost, input_cost + output_cost AS total_cost, page_end - page_start + 1 AS page_span FROM calls",
     "cost_summary": f"WITH {_COSTD} SELECT * FROM perdoc",
     "cost_batch": f"WITH {_COSTD} SELECT count(*) AS documents, sum(n_calls)::BIGINT AS n_calls, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, round(sum(total_cost), 4) AS total_cost FROM perdoc",
