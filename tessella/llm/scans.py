@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import Any
 
@@ -42,13 +42,36 @@ def core(token: str) -> str:
     return t.strip(_CORE_L + _CORE_R).lower()
 
 
+_BROKEN = re.compile(rf"[{MARKS}][ \t]*\n\s*\S+")
+FLUSH_WORDS = 200_000
+
+
 def word_counts(segments: DataFrame) -> DataFrame:
     """(word, n): how often each word stands whole within a line, over all contents. Both halves of a word
-    broken at a line end are left out."""
-    text = F.regexp_replace("content", r"\S*[-‐­¬][ \t]*\n\s*\S+", " ")
-    edge = r"^[\"'“”‘’«»\[{<(]+|[.,;:!?\"'“”‘’«»\]}>)]+$"
-    words = segments.select(F.explode(F.split(text, r"\s+")).alias("w")).select(F.lower(F.regexp_replace("w", edge, "")).alias("word"))
-    return words.where(F.regexp_like("word", F.lit(r"\p{L}"))).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    broken at a line end are left out. Each task counts its tokens as they stand and folds each distinct
+    one once, so only words of a task are shuffled, not occurrences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            words: Counter[str] = Counter()
+            for raw, n in seen.items():
+                if raw[-1] != "\0" and (w := core(raw)) and not w.isdigit():
+                    words[w] += n
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                if text:
+                    seen.update(_BROKEN.sub("\0 ", text).split())
+            if len(seen) > FLUSH_WORDS:
+                yield flush()
+        yield flush()
+
+    words = segments.select("content").mapInArrow(run, "word string, n long")
+    return words.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def lexicon(segments: DataFrame, share: float = SHARE) -> dict[str, int]:
