@@ -122,14 +122,17 @@ def child_table(parent: DataFrame, value: str, path: tuple[str, ...], keys: list
     elements and absent or null lists give no row but later elements keep their ordinal. Path steps in
     ``objects`` may also be JSON text of an object and count as the object in it.
     """
-    v = F.col(value)
-    for step in path[:-1]:
-        v = field_of(v, step)
+    # one step a projection, so that each is evaluated once
+    t = parent.select(*keys, F.col(value).alias("_v"))
+    for step in path:
+        t = t.withColumn("_v", F.try_variant_get("_v", f"$['{step}']", "variant"))
         if step in objects:
-            inner = F.try_parse_json(F.try_variant_get(v, "$", "string"))
-            v = F.coalesce(as_object(v), as_object(inner))
-    items = as_list(field_of(v, path[-1]))
-    out = parent.select(*keys, F.posexplode(items).alias("pos", "value"))
+            t = t.withColumn("_o", as_object(F.col("_v")))
+            text = F.when(F.col("_o").isNull(), F.try_variant_get("_v", "$", "string"))
+            t = t.withColumn("_p", F.try_parse_json(text)).withColumn("_v", F.coalesce("_o", as_object(F.col("_p")))).drop("_o", "_p")
+    t = t.withColumn("_l", F.try_variant_get("_v", "$", "array<variant>"))
+    single = F.when(F.col("_v").isNotNull() & ~F.is_variant_null("_v"), F.array("_v"))
+    out = t.select(*keys, F.posexplode(F.coalesce("_l", single)).alias("pos", "value"))
     return out.where(~F.coalesce(F.is_variant_null("value"), F.lit(True)))
 
 
