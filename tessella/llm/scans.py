@@ -305,6 +305,8 @@ def shape(text: str) -> str:
 
 NUMBER = r"(?:[-–—] ?\d{1,4} ?[-–—]|\[\d{1,4}\]|[ivxlcdm]{1,8}|\d{1,4}|(?:p\.|page|pg\.?) ?\d{1,4}(?: ?(?:of|/) ?\d{1,4})?|\d{1,4} ?/ ?\d{1,4})"
 _NUMBER = re.compile(NUMBER, re.I)
+LONGEST_NUMBER = 24
+_DOC_CODE = re.compile(r"[A-Z]{3}-[A-Z]{2,3}-\d{4}")
 _CODED = re.compile(r"(?:\d{1,4} ?\| ?)?(.{3,80}?) ?[A-Z]{3}-[A-Z]{2,3}-\d{4}(?: ?\| ?\d{1,4}| [-–—] .{2,60}| +\d{1,4})?")
 _TAILED = re.compile(r"(?:(\d{1,4}) ?\|? )?(.*?)(?: ?\|? (\d{1,4}))?")
 
@@ -316,21 +318,23 @@ class Page:
         self.lines = [" ".join(l.split()) for l in lines]
         self.doc_id, self.title = doc_id or "", " ".join((title or "").split())
         self.filled = [i for i, l in enumerate(self.lines) if l]
+        self.title_shape = shape(self.title)
 
     def features(self, i: int) -> list[str]:
         line = self.lines[i]
         f = []
-        if _NUMBER.fullmatch(line):
+        if len(line) <= LONGEST_NUMBER and _NUMBER.fullmatch(line):
             f.append("number")
-        coded = _CODED.fullmatch(line)
+        coded = _CODED.fullmatch(line) if _DOC_CODE.search(line) else None
         if coded and (not self.doc_id or self.doc_id in line):
             name = coded[1].split()
             lowered = any(x[:1].islower() and x.isalpha() for x in name[1:])
             ends = shape(name[-1]) == shape("standard") if name else False
             f.append(f"coded:std{ends}:prose{lowered or len(name) > 6}")
-        if self.title:
+        # a title line is the title and a page number at most; misreading changes its length by a few characters
+        if self.title and abs(len(line) - len(self.title)) <= 10 + len(self.title) // 4:
             m = _TAILED.fullmatch(line)
-            same = shape(m[2]) == shape(self.title) if m else False
+            same = shape(m[2]) == self.title_shape if m else False
             if same:
                 f.append(f"title:num{bool(m[1] or m[3])}:upper{m[2] == self.title.upper() != self.title}")
         if f:
@@ -341,8 +345,8 @@ class Page:
     def furniture(self, model: Perceptron) -> set[int]:
         if len(self.filled) < 2:
             return set()
-        feats = {i: self.features(i) for i in self.filled}
-        found = {i for i, f in feats.items() if f and model.score(f) > 0}
+        feats = {i: f for i in self.filled if (f := self.features(i))}
+        found = {i for i, f in feats.items() if model.score(f) > 0}
         # a bare title counts only beside other furniture
         for i, f in feats.items():
             if i not in found and any(x.startswith("title") for x in f) and self._beside(i, found):
@@ -385,6 +389,11 @@ _WORD_AT_END = re.compile(rf"(\S*[^\W\d_])([{MARKS}])\s*$")
 _WORD_AT_START = re.compile(r"\s*(\S+)")
 
 
+def broken_end(line: str) -> re.Match[str] | None:
+    """The last word and its mark, if the line ends in a mark after a letter."""
+    return _WORD_AT_END.search(line) if line.rstrip()[-1:] in tuple(MARKS) else None
+
+
 def analyse(editor: Editor, page_model: Perceptron, doc_id: str | None, title: str | None, content: str | None) -> list[tuple[int, str]]:
     """(line_no, kind) of the cases in one content."""
     if not content or not content.strip():
@@ -398,7 +407,7 @@ def analyse(editor: Editor, page_model: Perceptron, doc_id: str | None, title: s
     skip_first: set[int] = set()
     for k, i in enumerate(text):
         line = lines[i]
-        m = _WORD_AT_END.search(line)
+        m = broken_end(line)
         joined_end = False
         if m and k + 1 < len(text):
             a, mark = core(m[1]), m[2]
@@ -445,7 +454,7 @@ def repaired(editor: Editor, page_model: Perceptron, doc_id: str | None, title:
                 paragraphs.append([])
             continue
         broke = False
-        m = _WORD_AT_END.search(line)
+        m = broken_end(line)
         words = line.split()
         if carry and words:
             a, mark = carry
