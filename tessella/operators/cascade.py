@@ -75,9 +75,12 @@ def segment_retention(ents: DataFrame, survivors: DataFrame) -> DataFrame:
 
 
 def mean_segment_retention(segments: DataFrame) -> DataFrame:
-    """The unweighted mean of the segments' shares: a mean of ratios, not a ratio of sums."""
-    g = segments.groupBy("doc_id").agg(F.avg(F.col("validated") / F.col("original") * 100).alias("m"), F.count(F.lit(1)).alias("n_segments"))
-    return g.select("doc_id", "n_segments", F.round("m", 2).alias("avg_segment_retention"))
+    """The unweighted mean of the segments' shares: a mean of ratios, not a ratio of sums.
+
+    Shares are summed as whole billionths, so the mean does not depend on the order of the rows."""
+    share = F.round(F.col("validated") / F.col("original") * 1e11).cast("long")
+    g = segments.groupBy("doc_id").agg(F.sum(share).alias("s"), F.count(F.lit(1)).alias("n_segments"))
+    return g.select("doc_id", "n_segments", F.expr("(2 * s + n_segments * 10000000) div (2 * n_segments * 10000000) / 100.0D").alias("avg_segment_retention"))
 
 
 def violation_stats(rule_results: DataFrame) -> DataFrame:

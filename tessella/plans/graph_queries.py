@@ -335,7 +335,7 @@ ORACLE = {
     "rule_matrix": f"""WITH {_SCORES}, cells AS (SELECT doc_id, rule_id, CASE WHEN passed THEN 'PASS' ELSE 'FAIL (' || violation_count || ')' END AS cell FROM scores)
 SELECT doc_id, {", ".join(f"coalesce(max(cell) FILTER (rule_id = '{r[0]}'), 'N/A') AS {r[0].lower()}" for r in rules.RULES)} FROM cells GROUP BY doc_id""",
     "segment_retention": f"{_SEG} SELECT * FROM seg",
-    "mean_segment_retention": f"{_SEG} SELECT doc_id, count(*) AS n_segments, round(avg(validated::DOUBLE / original * 100), 2) AS avg_segment_retention FROM seg GROUP BY doc_id",
+    "mean_segment_retention": f"{_SEG} SELECT doc_id, count(*) AS n_segments, (2 * sum(round(validated::DOUBLE / original * 1e11)::BIGINT) + count(*) * 10000000) // (2 * count(*) * 10000000) / 100.0::DOUBLE AS avg_segment_retention FROM seg GROUP BY doc_id",
     "signature_check": f"""WITH {_ENT}, ty AS (SELECT doc_id, id, arg_min(coalesce(type, chr(1)), (pos, rec_id)) AS type FROM ent WHERE id IS NOT NULL GROUP BY ALL),
 tp AS (SELECT r.rel_id, r.doc_id, nullif(s.type, chr(1)) AS subject_type, r.predicate, nullif(o.type, chr(1)) AS object_type FROM kg_relationships r JOIN ty s ON s.doc_id = r.doc_id AND s.id = r.subject JOIN ty o ON o.doc_id = r.doc_id AND o.id = r.object)
 SELECT * FROM tp WHERE coalesce((subject_type, predicate, object_type) NOT IN ({", ".join(str(s) for s in vocab.SIGNATURES)}), true)""",
