@@ -41,7 +41,7 @@ def shared_root(spark: SparkSession) -> str:
     Where the setting is absent a local session gets a folder of its own; a cluster without the
     setting is an error, since a machine-local folder would be lost with its machine.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("TESSELLA_SHARED")
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
