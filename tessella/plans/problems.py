@@ -22,6 +22,10 @@ def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(hierarchy.hierarchy(load(spark, d, "kg_relationships"), paths=True))
 
 
+def p2_closure(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.closure(hierarchy.hierarchy(load(spark, d, "kg_relationships"), paths=True))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     state = orphans.OrphanState.first(load(spark, d, "kg_entities"), load(spark, d, "kg_relationships"))
     return state.open_refs().select("rel_id", "endpoint")
@@ -50,7 +54,7 @@ def p7_totals(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("doc_id", "run_id", "kind").agg(F.count(F.lit(1)).alias("n"), pages.alias("pages"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p4_found, p4_snapshot, p5_found, p5_levels, p7_found, p7_totals)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p2_closure, p4_found, p4_snapshot, p5_found, p5_levels, p7_found, p7_totals)}
 
 _LINKS = """links AS (SELECT doc_id, object AS node, min(subject) AS parent FROM kg_relationships
   WHERE subject <> '' AND object <> ''
@@ -123,6 +127,10 @@ ORACLE = {
     "p2_descendants": f"""WITH RECURSIVE {_LINKS}, up AS (SELECT doc_id, depth, string_split(path, ' > ') AS p FROM walk),
 each AS (SELECT doc_id, depth, unnest(p) AS node_id, generate_subscripts(p, 1) - 1 AS lvl FROM up)
 SELECT doc_id, node_id, (count(*) - 1)::BIGINT AS n_descendants, max(depth - lvl)::INTEGER AS height FROM each GROUP BY ALL""",
+    "p2_closure": f"""WITH RECURSIVE {_LINKS}, below AS (
+  SELECT doc_id, parent AS ancestor_id, node AS node_id, 1 AS distance FROM links WHERE EXISTS (SELECT 1 FROM walk w WHERE w.doc_id IS NOT DISTINCT FROM links.doc_id AND w.node = links.node)
+  UNION ALL SELECT b.doc_id, b.ancestor_id, l.node, b.distance + 1 FROM below b JOIN links l ON l.doc_id IS NOT DISTINCT FROM b.doc_id AND l.parent = b.node_id)
+SELECT doc_id, ancestor_id, node_id, distance::INTEGER AS distance FROM below""",
     "p4_found": f"WITH {_REFS} SELECT rel_id, endpoint FROM probed WHERE status <> 'resolved'",
     "p4_snapshot": f"""WITH {_REFS} SELECT endpoint, strftime(ingested_at, '%Y-%m') AS period, count(*) FILTER (status = 'missing') AS missing,
 count(*) FILTER (status = 'late') AS late, count(*) FILTER (status = 'deleted') AS deleted, count(*) AS "references" FROM probed GROUP BY ALL""",

@@ -65,3 +65,13 @@ def test_paths_and_descendants(spark):
         assert {r.node_id: r.path for r in tree.collect()} == {"a": ["a"], "b": ["a", "b"], "c": ["a", "b", "c"], "e": ["a", "b", "e"], "r": None, "s": None}
         assert {(r.node_id, r.n_descendants, r.height) for r in descendants(tree).collect()} == {("a", 3, 2), ("b", 2, 1), ("c", 0, 0), ("e", 0, 0)}
         assert {(r.ancestor_id, r.node_id, r.distance) for r in closure(tree).collect()} == {("a", "b", 1), ("a", "c", 2), ("a", "e", 2), ("b", "c", 1), ("b", "e", 1)}
+
+
+def test_registered_closure_lists_every_descendant(spark, tmp_path):
+    from tessella.plans import catalog
+
+    rows = [(1, "d", "a", "Include", "b", 0, ""), (2, "d", "b", "Include", "c", 0, ""), (3, "d", "b", "Include", "e", 0, ""), (4, "d", "r", "Include", "s", 0, ""), (5, "d", "s", "Include", "r", 0, ""), (6, "x", "b", "Include", "a", 0, "")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "kg_relationships.parquet"))
+    got = sorted(tuple(r) for r in catalog.queries()["p2_closure"](spark, str(tmp_path)).collect())
+    assert got == [("d", "a", "b", 1), ("d", "a", "c", 2), ("d", "a", "e", 2), ("d", "b", "c", 1), ("d", "b", "e", 1), ("x", "b", "a", 1)]
+    assert "p2_closure" in catalog.oracle_sql()
