@@ -67,13 +67,19 @@ class Level:
 
 
 def _kind(x: object) -> str:
-    return {dict: "object", list: "array", str: "string", bool: "boolean", int: "number", float: "number"}.get(type(x), "null")
+    return {dict: "object", list: "array", str: "string", bool: "boolean", int: "integer" if type(x) is int and abs(x) <= 2**53 else "big", float: "number"}.get(type(x), "null")
 
 
-def _walk(x: object, path: tuple[str, ...], out: set[tuple[str, str]]) -> None:
+def _walk(x: object, path: tuple[str, ...], out: set[tuple[str, str]], objects: tuple[str, ...] = ()) -> None:
     todo = [(x, path)]
     while todo:
         x, path = todo.pop()
+        if isinstance(x, str) and path and path[-1] in objects:
+            try:
+                inner = json.loads(x)
+            except ValueError:
+                inner = None
+            x = inner if isinstance(inner, dict) else x
         out.add(("\x1f".join(path), _kind(x)))
         if isinstance(x, dict):
             todo.extend((v, (*path, k)) for k, v in x.items())
@@ -81,10 +87,11 @@ def _walk(x: object, path: tuple[str, ...], out: set[tuple[str, str]]) -> None:
             todo.extend((v, (*path, "[]")) for v in x)
 
 
-def infer_shape(df: DataFrame, doc: str) -> dict[tuple[str, ...], set[str]]:
+def infer_shape(df: DataFrame, doc: str, objects: tuple[str, ...] = ()) -> dict[tuple[str, ...], set[str]]:
     """The merged schema of a VARIANT column: every path with the kinds of value found there.
 
-    '[]' stands for the elements of a list. Each task sends a path once, so what reaches the driver is
+    '[]' stands for the elements of a list. Fields in ``objects`` may be JSON text of an object and count
+    as the object in it. Each task sends a path once, so what reaches the driver is
     the size of the schema (distinct paths), not of the data.
     """
 
@@ -94,7 +101,7 @@ def infer_shape(df: DataFrame, doc: str) -> dict[tuple[str, ...], set[str]]:
             fresh: set[tuple[str, str]] = set()
             for text in batch.column(0).to_pylist():
                 if text is not None:
-                    _walk(json.loads(text), (), fresh)
+                    _walk(json.loads(text), (), fresh, objects)
             fresh -= seen
             seen |= fresh
             if fresh:
@@ -165,6 +172,61 @@ def flatten(
     return tables
 
 
+TYPES = {"string": "string", "integer": "long", "number": "double", "boolean": "boolean"}
+
+
+def table_fields(shape: dict[tuple[str, ...], set[str]], level: tuple[str, ...], levels: list[tuple[str, ...]]) -> dict[tuple[str, ...], str]:
+    """Columns of a level: each scalar path below it outside the ``levels`` further down, with its type by the
+    merged schema; ``variant`` where kinds are mixed or a scalar stands beside an object or a list. A
+    path that only ever holds null is a variant as well."""
+    found: dict[tuple[str, ...], set[str]] = {}
+    for p, kinds in shape.items():
+        names = tuple(s for s in p if s != "[]")
+        if names[: len(level)] != level or p[-1:] == ("[]",) and names != level:
+            continue
+        if any(len(x) > len(level) and names[: len(x)] == x for x in levels):
+            continue
+        # the elements of the level itself may lie under a list or stand alone
+        rest = p
+        for step in level:
+            rest = rest[rest.index(step) + 1 :]
+            while rest and rest[0] == "[]":
+                rest = rest[1:]
+        if "[]" in rest:
+            continue
+        kinds = kinds - {"null"}
+        if kinds and kinds <= {"object", "array"}:
+            continue
+        found.setdefault(rest, set()).update(kinds)
+    kind = lambda k: "double" if k == {"integer", "number"} else TYPES.get(next(iter(k)), "variant") if len(k) == 1 else "variant"
+    return {path: kind(kinds) for path, kinds in sorted(found.items())}
+
+
+def flat_tables(tables: dict[tuple[str, ...], DataFrame], shape: dict[tuple[str, ...], set[str]], objects: tuple[str, ...] = ()) -> dict[tuple[str, ...], DataFrame]:
+    """The levels with a typed column for each scalar path; names are the path joined by '.', ``value``
+    for scalar elements, with a number behind a name that is taken (upper and lower case count as one). Keys and ordinals stay, so children join their parents on them."""
+    out: dict[tuple[str, ...], DataFrame] = {}
+    for level, t in tables.items():
+        keys = [F.col(c) for c in t.columns if c != "value"]
+        columns = []
+        taken = {c.lower() for c in t.columns if c != "value"}
+        for path, kind in table_fields(shape, level, list(tables)).items():
+            name, n = ".".join(path) or "value", 1
+            while name.lower() in taken:
+                n += 1
+                name = f"{'.'.join(path) or 'value'}#{n}"
+            taken.add(name.lower())
+            v = F.col("value")
+            for step in path:
+                v = F.try_variant_get(v, "$['" + step.replace("'", "\\'") + "']", "variant")
+                if step in objects:
+                    v = F.coalesce(as_object(v), as_object(F.try_parse_json(F.try_variant_get(v, "$", "string"))), v)
+            plain = F.when(~F.coalesce(F.is_variant_null(v), F.lit(True)), v)
+            columns.append((plain if kind == "variant" else F.try_variant_get(plain, "$", kind)).alias(name))
+        out[level] = t.select(*keys, *columns)
+    return out
+
+
 ENTITIES, RELATIONSHIPS = ("entities",), ("relationships",)
 PROVENANCE = ("entities", "provenance")
 INPUTS = ("entities", "properties", "input_variables")
@@ -193,6 +255,13 @@ def payload_tables(payloads: DataFrame) -> dict[tuple[str, ...], DataFrame]:
     return flatten(payload_graphs(payloads), "payload_id", "graph", known=list(KINDS), records=[ENTITIES, RELATIONSHIPS], objects=("properties",))
 
 
+def payload_flat(payloads: DataFrame) -> dict[tuple[str, ...], DataFrame]:
+    """The related flat tables of all payload graphs with the fields of the merged schema as columns."""
+    graphs = payload_graphs(payloads)
+    tables = flatten(graphs, "payload_id", "graph", known=list(KINDS), records=[ENTITIES, RELATIONSHIPS], objects=("properties",))
+    return flat_tables(tables, infer_shape(graphs, "graph", ("properties",)), ("properties",))
+
+
 def payload_rows(payloads: DataFrame) -> DataFrame:
     """(payload_id, kind, pos1, pos2, pos3) of the six kinds of nested rows; unused positions are -1."""
     tables = payload_tables(payloads)

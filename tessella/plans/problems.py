@@ -44,6 +44,34 @@ def p5_levels(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("payload_id").alias("n_payloads"))
 
 
+def _fields(spark: SparkSession, d: str, level: tuple[str, ...]) -> DataFrame:
+    return nested.payload_flat(load(spark, d, "kg_payloads"))[level]
+
+
+def p5_entities(spark: SparkSession, d: str) -> DataFrame:
+    return _fields(spark, d, nested.ENTITIES)
+
+
+def p5_relationships(spark: SparkSession, d: str) -> DataFrame:
+    return _fields(spark, d, nested.RELATIONSHIPS)
+
+
+def p5_provenance(spark: SparkSession, d: str) -> DataFrame:
+    return _fields(spark, d, nested.PROVENANCE)
+
+
+def p5_inputs(spark: SparkSession, d: str) -> DataFrame:
+    return _fields(spark, d, nested.INPUTS)
+
+
+def p5_disaggregations(spark: SparkSession, d: str) -> DataFrame:
+    return _fields(spark, d, nested.DISAGGREGATIONS)
+
+
+def p5_members(spark: SparkSession, d: str) -> DataFrame:
+    return _fields(spark, d, nested.MEMBERS)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return intervals.page_periods(load(spark, d, "doc_segments"))
 
@@ -54,7 +82,7 @@ def p7_totals(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("doc_id", "run_id", "kind").agg(F.count(F.lit(1)).alias("n"), pages.alias("pages"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p2_closure, p4_found, p4_snapshot, p5_found, p5_levels, p7_found, p7_totals)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p2_closure, p4_found, p4_snapshot, p5_found, p5_levels, p5_entities, p5_relationships, p5_provenance, p5_inputs, p5_disaggregations, p5_members, p7_found, p7_totals)}
 
 _LINKS = """links AS (SELECT doc_id, object AS node, min(subject) AS parent FROM kg_relationships
   WHERE subject <> '' AND object <> ''

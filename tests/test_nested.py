@@ -48,3 +48,24 @@ def test_shape_and_keys(spark):
     tables = payload_tables(frame(spark, [json.dumps(GRAPH)]))
     parents = {(r.payload_id, r.pos1) for r in tables[("entities",)].collect()}
     assert {(r.payload_id, r.pos1) for r in tables[("entities", "provenance")].collect()} <= parents
+
+
+def test_flat_tables_have_the_fields_as_typed_columns(spark):
+    from tessella.operators import nested
+
+    g = {
+        "entities": [
+            {"id": "a", "rank": 1, "ok": True, "mixed": 1, "properties": json.dumps({"unit": "t", "deep": {"x": 2.5}}), "provenance": [{"s": 1}, {"s": 2, "p": "q"}]},
+            {"id": "b", "rank": None, "mixed": "m", "properties": {"unit": "kg", "input_variables": ["u", "w"]}},
+        ],
+        "relationships": [{"subject": "a", "object": "b"}],
+    }
+    t = nested.payload_flat(frame(spark, [json.dumps(g)]))
+    e = t[nested.ENTITIES]
+    kinds = dict(e.dtypes)
+    assert (kinds["id"], kinds["rank"], kinds["ok"], kinds["mixed"], kinds["properties.deep.x"]) == ("string", "bigint", "boolean", "variant", "double")
+    got = {r["id"]: (r["pos1"], r["rank"], r["ok"], r["properties.unit"], r["properties.deep.x"]) for r in e.drop("mixed").collect()}
+    assert got == {"a": (0, 1.0, True, "t", 2.5), "b": (1, None, None, "kg", None)}
+    assert {(r.pos1, r.pos2, r.s, r.p) for r in t[nested.PROVENANCE].collect()} == {(0, 0, 1.0, None), (0, 1, 2.0, "q")}
+    assert {(r.pos1, r.pos2, r.value) for r in t[nested.INPUTS].collect()} == {(1, 0, "u"), (1, 1, "w")}
+    assert {(r.subject, r.object) for r in t[nested.RELATIONSHIPS].collect()} == {("a", "b")}
