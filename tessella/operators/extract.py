@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators.nested import choose_graph, read_answers
+from tessella.functions.text import strip
+from tessella.operators.nested import as_list, as_object, choose_graph, field_of, read_answers
 from tessella.session import stage
 
 Provider = Callable[[str], str]
@@ -18,7 +19,8 @@ TEMPLATE = "Document: {document_name}\nSection: {section_title}\n\n{content}"
 
 
 def long_enough(segments: DataFrame, least: int = 100) -> DataFrame:
-    return segments.where(F.length(F.coalesce("content", F.lit(""))) >= least)
+    """Segments of at least ``least`` characters, white space around them aside."""
+    return segments.where(F.length(strip(F.coalesce("content", F.lit("")))) >= least)
 
 
 def prompts(segments: DataFrame, template: str = TEMPLATE) -> DataFrame:
@@ -67,3 +69,20 @@ def experiment_counts(payloads: DataFrame) -> DataFrame:
 def stamp_provenance(ents: DataFrame, now: str) -> DataFrame:
     """Provenance of newly extracted entities: document, segment, section and time."""
     return ents.withColumn("provenance", F.create_map(F.lit("document_id"), "doc_id", F.lit("segment_id"), "segment_id", F.lit("section_title"), "section_title", F.lit("extraction_timestamp"), F.lit(now)))
+
+
+def graph_rows(graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities, relationships) of payload graphs (payload_id, doc_id, graph) in the form of the tables of the graph.
+
+    Rows are numbered by their payload and place. Entities and relationships that are no objects are left out."""
+    text = lambda k: F.try_variant_get("v", f"$.{k}", "string").alias(k)
+    row = (F.col("payload_id") * 2**24 + F.col("pos")).cast("long")
+
+    def rows(name: str) -> DataFrame:
+        return graphs.select("payload_id", "doc_id", F.posexplode(as_list(field_of(F.col("graph"), name))).alias("pos", "v")).where(as_object(F.col("v")).isNotNull())
+
+    props = field_of(F.col("v"), "properties")
+    kind = F.when(props.isNull(), "absent").when(as_object(props).isNotNull(), "object").otherwise("other")
+    ents = rows("entities").select(row.alias("rec_id"), "doc_id", row.alias("pos"), text("id"), text("type"), text("label"), as_object(props).alias("props"), kind.alias("props_kind"), F.try_variant_get("v", "$.source", "variant").alias("source"), F.try_variant_get("v", "$.provenance", "map<string,string>").alias("provenance"))
+    rels = rows("relationships").select(row.alias("rel_id"), "doc_id", row.alias("pos"), text("subject"), text("predicate"), text("object"))
+    return ents, rels

@@ -243,10 +243,13 @@ def choose_graph(answer: Column) -> Column:
     return F.when(as_object(experiments).isNotNull() & baseline.isNotNull(), as_object(baseline)).when(has_key(answer, "entities"), answer)
 
 
-def payload_graphs(payloads: DataFrame) -> DataFrame:
-    """(payload_id, graph) of every payload that holds one."""
-    read = read_answers(payloads, "payload", "answer").select("payload_id", "answer")
-    graphs = read.select("payload_id", choose_graph(F.col("answer")).alias("graph")).where("graph is not null")
+def payload_graphs(payloads: DataFrame, baseline: bool = False) -> DataFrame:
+    """(payload_id, doc_id, graph) of every payload that holds one, or only of those whose graph comes from the
+    baseline experiment."""
+    read = read_answers(payloads, "payload", "answer").select("payload_id", "doc_id", "answer")
+    if baseline:
+        read = read.where(F.try_variant_get("answer", "$.experiments['2_baseline_llm']", "variant").isNotNull())
+    graphs = read.select("payload_id", "doc_id", choose_graph(F.col("answer")).alias("graph")).where("graph is not null")
     return stage(graphs, "payload-graphs")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.values import blank, percent
+from tessella.operators import cascade, gate, rules
+from tessella.operators.cascade import Validated
 from tessella.vocab import ENTITY_TYPES
 
 
@@ -18,14 +20,12 @@ def type_distribution(ents: DataFrame, survivors: DataFrame) -> DataFrame:
     return g.select(F.coalesce("type", F.lit("TOTAL")).alias("type"), "n_before", "n_after", F.round(percent(F.col("n_after"), F.col("n_before")), 1).alias("retention"))
 
 
-def predicate_distribution(rels: DataFrame, survivors: DataFrame) -> DataFrame:
-    """Relationships per predicate before and after with a TOTAL row; a missing one counts as 'Unknown'."""
-    name = F.coalesce("predicate", F.lit("Unknown")).alias("predicate")
-    a = rels.groupBy(name).agg(F.count(F.lit(1)).alias("n_before"))
-    b = survivors.groupBy(name).agg(F.count(F.lit(1)).alias("n_after"))
-    both = a.join(b, "predicate", "full_outer").na.fill(0, ["n_before", "n_after"])
+def predicate_distribution(ends: DataFrame) -> DataFrame:
+    """Relationships per predicate before and after with a TOTAL row; a missing one counts as 'Unknown'.
+    ``ends`` are all relationships, the surviving ones marked ``alive``."""
+    both = ends.groupBy(F.coalesce("predicate", F.lit("Unknown")).alias("predicate")).agg(F.count(F.lit(1)).alias("n_before"), F.count_if("alive").alias("n_after"))
     g = both.rollup("predicate").agg(F.sum("n_before").alias("n_before"), F.sum("n_after").alias("n_after"), F.grouping("predicate").alias("total"))
-    return g.select(F.when(F.col("total") == 1, "TOTAL").otherwise(F.col("predicate")).alias("predicate"), "n_before", "n_after", F.round(percent(F.col("n_after"), F.col("n_before")), 1).alias("retention"))
+    return g.select(F.when(F.col("total") == 1, "TOTAL").otherwise(F.col("predicate")).alias("predicate"), F.coalesce("n_before", F.lit(0)).alias("n_before"), F.coalesce("n_after", F.lit(0)).alias("n_after"), F.round(percent(F.col("n_after"), F.col("n_before")), 1).alias("retention"))
 
 
 def type_counts(ents: DataFrame) -> DataFrame:
@@ -52,10 +52,10 @@ def metadata_totals(meta: DataFrame) -> DataFrame:
     return meta.groupBy(F.col("document_name").alias("doc_id")).agg(F.coalesce(F.max("total_pages"), F.lit(0)).alias("total_pages"), F.coalesce(F.max("total_segments"), F.lit(0)).alias("total_segments"))
 
 
-def documents(ents: DataFrame, retention: DataFrame, compliance: DataFrame, accuracy: DataFrame, meta: DataFrame) -> DataFrame:
+def documents(v: Validated, meta: DataFrame, rule_results: DataFrame) -> DataFrame:
     """One row per document: sizes and quality; no surviving entity means schema and retention 0, accuracy stays."""
-    metrics = ents.groupBy("doc_id").agg(F.count_if(F.col("type") == "Metric").alias("n_metrics"))
-    t = retention.join(metrics, "doc_id", "left").join(compliance.select("doc_id", "compliance"), "doc_id", "left").join(accuracy.select("doc_id", "accuracy", "cost_usd"), "doc_id", "left").join(metadata_totals(meta), "doc_id", "left")
+    metrics = v.ids.groupBy("doc_id").agg(F.sum("metrics").alias("n_metrics"))
+    t = cascade.retention(v).join(metrics, "doc_id", "left").join(rules.compliance(rule_results).select("doc_id", "compliance"), "doc_id", "left").join(gate.accuracy(v.ids).select("doc_id", "accuracy", "cost_usd"), "doc_id", "left").join(metadata_totals(meta), "doc_id", "left")
     alive = F.col("entities_after") > 0
     return t.select(
         "doc_id", F.coalesce("total_pages", F.lit(0)).alias("total_pages"), F.coalesce("total_segments", F.lit(0)).alias("total_segments"), "entities_before", "entities_after", "n_metrics", "rels_before", "rels_after",
@@ -70,8 +70,14 @@ def grand_totals(docs: DataFrame) -> DataFrame:
     )
 
 
-def examples(ents: DataFrame, survivors: DataFrame) -> DataFrame:
+def examples(v: Validated) -> DataFrame:
     """Whole percentages cut, not rounded, as the report's examples print them."""
-    a = ents.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    b = survivors.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"))
-    return a.join(b, "doc_id", "left").select("doc_id", F.floor(percent(F.coalesce("kept", F.lit(0)), F.col("n"))).alias("percent_kept"))
+    g = v.ids.groupBy("doc_id").agg(F.sum("n").alias("n"), F.count_if("alive").alias("kept"))
+    return g.select("doc_id", F.floor(percent(F.col("kept"), F.col("n"))).alias("percent_kept"))
+
+
+def summary(v: Validated) -> DataFrame:
+    """Stage by stage per document: entities and relationships extracted, past the gate, and validated."""
+    e = v.ids.groupBy("doc_id").agg(F.sum("n").alias("extracted"), F.coalesce(F.sum(F.when(~F.col("bad"), F.col("n"))), F.lit(0)).alias("gated"), F.count_if("alive").alias("validated"))
+    r = v.ends.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rels_extracted"), F.count_if(~F.col("bad")).alias("rels_gated"), F.count_if("alive").alias("rels_validated"))
+    return e.join(r, "doc_id", "left").na.fill(0)

@@ -2,24 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.values import blank, field, is_falsy, is_na, percent, present, text_of
+from tessella.session import hot_join
 from tessella.vocab import PREDICATES, REQUIRED_PROPERTIES
 
+
+@dataclass(frozen=True)
+class Rule:
+    """A rule: aggregates over a document's ids (see :func:`per_id`) or its relationships.
+
+    ``violations`` and ``items`` are counted per document; where ``crash`` holds the rule could not look at
+    the document. A rule of one's own is added by handing ``[*RULES, Rule(...)]`` to :func:`results`."""
+
+    rule_id: str
+    name: str
+    description: str
+    violations: Column | str
+    items: Column | str
+    crash: str | None = None
+    over: str = "entities"
+    critical: bool = True
+
+
+def _sum(c: str) -> str:
+    return f"sum({c})"
+
+
+NOT_LINKED = "sum(CASE WHEN linked THEN 0 ELSE calc END)"
+OUTSIDE = "count_if(coalesce(predicate, '') NOT IN (" + ", ".join(f"'{p}'" for p in PREDICATES) + "))"
 RULES = [
-    ("VR001", "Entity Uniqueness", "All entity ids must be unique"),
-    ("VR002", "Typed Schema", "Entities must have the fields of their type"),
-    ("VR003", "Metric Values", "Metrics must have a code and a unit where their kind asks for one"),
-    ("VR004", "Model Values", "Models must have input variables"),
-    ("VR005", "Predicate Validity", "Predicates must be of the ontology"),
-    ("VR006", "Calculation Link", "Calculated metrics must be calculated by a model"),
+    Rule("VR001", "Entity Uniqueness", "All entity IDs must be unique within the knowledge graph", "sum(n) - count(1)", "sum(n)"),
+    Rule("VR002", "Entity Type-Specific Schema Compliance", "Each entity has the fields that the ontology asks of its type", "count_if(v2)", "sum(n)", "max(c2)"),
+    Rule("VR003", "Metric Property Values", "Direct and calculated metrics need a code, quantitative ones a unit", "count_if(v3)", "sum(metrics)", "max(c3)"),
+    Rule("VR004", "Model Property Values", "Models need at least one input variable", "sum(v4)", "sum(models)", "max(c4)"),
+    Rule("VR005", "Relationship Predicate Validity", "Relationships use the predicates of the ontology", OUTSIDE, "count(1)", over="relationships"),
+    Rule("VR006", "CalculatedMetric-Model Links", "Every calculated metric is the subject of an IsCalculatedBy relationship", NOT_LINKED, "sum(calc)", "max(c3)"),
 ]
 
 
-def registry(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULES, "rule_id string, rule_name string, description string")
+def registry(spark: SparkSession, rules: list[Rule] = RULES) -> DataFrame:
+    return spark.createDataFrame([(r.rule_id, r.name, r.description, r.over, r.critical) for r in rules], "rule_id string, rule_name string, description string, over string, critical boolean")
 
 
 def flags(ents: DataFrame) -> DataFrame:
@@ -47,7 +74,7 @@ def flags(ents: DataFrame) -> DataFrame:
     unreadable = kind.isin("null", "other")
     no = F.lit(False)
     return ents.select(
-        "rec_id", "doc_id", "pos", "id", "type", "label", missing.alias("missing"),
+        *ents.columns, missing.alias("missing"),
         (F.size(missing) > 0).alias("vr002"), F.coalesce(metric & (F.coalesce(bad_code, no) | F.coalesce(bad_unit, no)), no).alias("vr003"),
         F.coalesce(model & empty, no).alias("vr004"), F.coalesce(metric & (metric_type == "CalculatedMetric"), no).alias("calculated"),
         F.coalesce(F.col("type").isin(list(REQUIRED_PROPERTIES)) & (kind == "null"), no).alias("crash2"),
@@ -55,43 +82,59 @@ def flags(ents: DataFrame) -> DataFrame:
     )
 
 
-def results(ents: DataFrame, rels: DataFrame, strict: bool = True) -> DataFrame:
-    """(doc_id, rule_id, violation_count, total_items, score, passed) of every document and rule.
+def key_of(name: str) -> Column:
+    """A node id as a join key: null is a key of its own, so null-safe joins are plain ones."""
+    return F.coalesce(F.concat(F.lit("="), name), F.lit(""))
+
+
+def per_id(rows: DataFrame) -> DataFrame:
+    """One row for each id of each document (null is an id like any other): everything that gate, rules and
+    cascade need to know of it, by one aggregation that combines before it shuffles.
 
-    ``strict`` keeps the reported behaviour: a rule that crashes has -1 violations of 0 items and scores
-    100 but has not passed. Otherwise it scores 0. Entities are reduced per id before documents, so a
-    large document is summed in parts.
-    """
-    f = flags(ents)
-    calls = rels.where("predicate = 'IsCalculatedBy'").select("doc_id", F.col("subject").alias("id")).distinct().withColumn("linked", F.lit(True))
-    per_id = f.groupBy("doc_id", "id").agg(
-        F.count(F.lit(1)).alias("n"), F.max("vr002").alias("v2"), F.max("vr003").alias("v3"), F.count_if("vr004").alias("v4"),
-        F.count_if(F.col("type") == "Metric").alias("metrics"), F.count_if(F.col("type") == "Model").alias("models"), F.count_if("calculated").alias("calc"),
+    ``rows`` are entities, judged or not. ``bad``: a mismatch removes the id; ``alive``: it survives, which
+    needs a single row; ``rec_id`` is that row."""
+    f = flags(rows)
+    if "mismatch" not in rows.columns:
+        f = f.withColumn("mismatch", F.lit(False)).withColumn("called", F.lit(False)).withColumn("gate_open", F.lit(True))
+    g = f.withColumn("key", key_of("id")).groupBy("doc_id", "key").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.col("mismatch") & ~blank(F.col("id"))).alias("bad"), F.count_if(~F.col("mismatch") & ~F.col("gate_open")).alias("n_ok"), F.count_if("called").alias("n_calls"), F.max("rec_id").alias("rec_id"),
+        F.max("vr002").alias("v2"), F.max("vr003").alias("v3"), F.count_if("vr004").alias("v4"), F.count_if(F.col("type") == "Metric").alias("metrics"), F.count_if(F.col("type") == "Model").alias("models"), F.count_if("calculated").alias("calc"),
         F.max("crash2").alias("c2"), F.max("crash3").alias("c3"), F.max("crash4").alias("c4"),
     )
-    # a null id is one id here; a null subject links nothing but a null id
-    per_id = per_id.join(calls.withColumnsRenamed({"doc_id": "d", "id": "i"}), (F.col("doc_id") == F.col("d")) & F.col("id").eqNullSafe(F.col("i")), "left")
-    per_doc = per_id.groupBy("doc_id").agg(
-        F.sum("n").alias("n"), (F.sum("n") - F.count(F.lit(1))).alias("v1"), F.count_if("v2").alias("v2"), F.count_if("v3").alias("v3"), F.sum("v4").alias("v4"),
-        F.sum("metrics").alias("metrics"), F.sum("models").alias("models"), F.sum("calc").alias("calc"), F.coalesce(F.sum(F.when(F.col("linked").isNull(), F.col("calc"))), F.lit(0)).alias("v6"),
-        F.max("c2").alias("c2"), F.max("c3").alias("c3"), F.max("c4").alias("c4"),
-    )
-    of_rels = rels.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rels"), F.count_if(~F.coalesce(F.col("predicate"), F.lit("")).isin(PREDICATES)).alias("v5"))
-    doc = per_doc.join(of_rels, "doc_id", "full_outer")
-    no = F.lit(False)
+    return g.withColumn("alive", ~F.col("bad") & (F.col("n") == 1))
+
+
+def calls(rels: DataFrame) -> DataFrame:
+    """(doc_id, key, linked): ids with a calculation link."""
+    return rels.where("predicate = 'IsCalculatedBy'").select("doc_id", key_of("subject").alias("key")).distinct().withColumn("linked", F.lit(True))
+
 
-    def row(rule: str, bad: str, total: str, crash: F.Column = no) -> F.Column:
-        crash = F.coalesce(crash, no)
-        count = F.when(crash, F.lit(-1)).otherwise(F.coalesce(F.col(bad), F.lit(0))).cast("long")
-        items = F.when(crash, F.lit(0)).otherwise(F.coalesce(F.col(total), F.lit(0))).cast("long")
+def results(ents: DataFrame, rels: DataFrame, strict: bool = True, rules: list[Rule] = RULES) -> DataFrame:
+    """(doc_id, rule_id, violation_count, total_items, score, passed) of every document and rule.
+
+    ``ents`` are entities or, already reduced, their ids (:func:`per_id`). ``strict`` keeps the reported
+    behaviour: a rule that crashes has -1 violations of 0 items and scores 100 but has not passed.
+    Otherwise it scores 0. Entities are reduced per id before documents, so a large document is summed in
+    parts."""
+    ids = ents if "n_ok" in ents.columns else per_id(ents)
+    ids = ids.join(calls(rels), ["doc_id", "key"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+
+    def counted(frame: DataFrame, over: str) -> DataFrame:
+        mine = [(i, r) for i, r in enumerate(rules) if r.over == over]
+        column = lambda x: F.expr(x) if isinstance(x, str) else x
+        aggs = [c for i, r in mine for c in (column(r.violations).alias(f"v{i}"), column(r.items).alias(f"t{i}"), (F.expr(r.crash) if r.crash else F.lit(False)).alias(f"x{i}"))]
+        return frame.groupBy("doc_id").agg(F.count(F.lit(1)).alias(f"_{over}"), *aggs)
+
+    doc = counted(ids, "entities").join(counted(rels, "relationships"), "doc_id", "full_outer")
+
+    def row(i: int, rule: Rule) -> Column:
+        crash = F.coalesce(F.col(f"x{i}"), F.lit(False))
+        count = F.when(crash, F.lit(-1)).otherwise(F.coalesce(F.col(f"v{i}"), F.lit(0))).cast("long")
+        items = F.when(crash, F.lit(0)).otherwise(F.coalesce(F.col(f"t{i}"), F.lit(0))).cast("long")
         score = F.when(crash, F.lit(100.0 if strict else 0.0)).when(items > 0, F.round((items - count) / items * 100, 2)).otherwise(F.lit(100.0))
-        return F.struct(F.lit(rule).alias("rule_id"), count.alias("violation_count"), items.alias("total_items"), score.alias("score"), (count == 0).alias("passed"))
+        return F.struct(F.lit(rule.rule_id).alias("rule_id"), count.alias("violation_count"), items.alias("total_items"), score.alias("score"), (count == 0).alias("passed"))
 
-    rules = F.array(
-        row("VR001", "v1", "n"), row("VR002", "v2", "n", F.col("c2")), row("VR003", "v3", "metrics", F.col("c3")),
-        row("VR004", "v4", "models", F.col("c4")), row("VR005", "v5", "rels"), row("VR006", "v6", "calc", F.col("c3")),
-    )
-    return doc.select("doc_id", F.inline(rules))
+    return doc.select("doc_id", F.inline(F.array(*[row(i, r) for i, r in enumerate(rules)])))
 
 
 def compliance(rule_results: DataFrame) -> DataFrame:
@@ -106,15 +149,23 @@ def compliance(rule_results: DataFrame) -> DataFrame:
 
 def duplicate_rows(ents: DataFrame) -> DataFrame:
     """Rows whose id came earlier in the document, with the label of the first; null is an id like any other."""
-    first = ents.groupBy("doc_id", "id").agg(F.min(F.struct("pos", "rec_id", "label")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").withColumnsRenamed({"doc_id": "d", "id": "i"})
-    joined = ents.join(first, (F.col("doc_id") == F.col("d")) & F.col("id").eqNullSafe(F.col("i")))
+    rows = ents.withColumn("_key", key_of("id"))
+    first = rows.groupBy("doc_id", "_key").agg(F.min(F.struct("pos", "rec_id", "label")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    joined = hot_join(rows.select("rec_id", "doc_id", "_key", "id", "label"), first, ["doc_id", "_key"], "inner", spread=F.col("rec_id"))
     return joined.where(F.col("rec_id") != F.col("f.rec_id")).select("rec_id", "doc_id", "id", F.col("f.label").alias("first_occurrence"), F.col("label").alias("duplicate_label"))
 
 
+def unlinked(ents: DataFrame, rels: DataFrame) -> DataFrame:
+    """Calculated metrics without a calculation link."""
+    rows = flags(ents).where("calculated").select("rec_id", "doc_id", key_of("id").alias("key"))
+    return hot_join(rows, calls(rels), ["doc_id", "key"], "left", spread=F.col("rec_id")).where("linked is null").select("rec_id")
+
+
 def signature_violations(ents: DataFrame, rels: DataFrame, signatures: DataFrame) -> DataFrame:
     """Extension, off by default: relationships between types that the ontology does not join."""
     types = ents.where("id is not null").groupBy("doc_id", "id").agg(F.min_by("type", F.struct("pos", "rec_id")).alias("type"))
     s = types.select("doc_id", F.col("id").alias("subject"), F.col("type").alias("subject_type"))
     o = types.select("doc_id", F.col("id").alias("object"), F.col("type").alias("object_type"))
-    typed = rels.join(s, ["doc_id", "subject"]).join(o, ["doc_id", "object"])
+    spread = F.col("rel_id")
+    typed = hot_join(hot_join(rels, s, ["doc_id", "subject"], "inner", spread=spread), o, ["doc_id", "object"], "inner", spread=spread)
     return typed.join(F.broadcast(signatures), ["subject_type", "predicate", "object_type"], "left_anti").select("rel_id", "doc_id", "subject_type", "predicate", "object_type")

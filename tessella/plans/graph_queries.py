@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella import vocab
-from tessella.operators import cascade, gate, graph, kg, report, rules
-from tessella.session import load
+from tessella.operators import cascade, gate, graph, kg, layout, report, rules
+from tessella.session import load, stage
 
 
 def _ents(spark: SparkSession, d: str) -> DataFrame:
@@ -24,13 +24,13 @@ def _valid(spark: SparkSession, d: str) -> cascade.Validated:
 
 def _rule_results(spark: SparkSession, d: str) -> DataFrame:
     v = _valid(spark, d)
-    return rules.results(v.gated, v.gated_rels)
+    return rules.results(v.gated_ids, v.gated_rels)
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    e, r, v = _ents(spark, d), _rels(spark, d), _valid(spark, d)
-    comp = rules.compliance(rules.results(v.gated, v.gated_rels))
-    return report.documents(e, cascade.retention(e, r, v), comp, gate.accuracy(v.gate), load(spark, d, "doc_metadata"))
+    v = _valid(spark, d)
+    v.ends = stage(v.ends.select("doc_id", "subject", "predicate", "bad", "alive"), "ends")
+    return report.documents(v, load(spark, d, "doc_metadata"), rules.results(v.gated_ids, v.gated_rels))
 
 
 def dedup_entities(spark, d):
@@ -66,8 +66,7 @@ def cascade_relationships(spark, d):
 
 
 def cascade_summary(spark, d):
-    e, r = _ents(spark, d), _rels(spark, d)
-    return cascade.retention(e, r, cascade.validate(e, r))
+    return cascade.retention(_valid(spark, d))
 
 
 def vr001(spark, d):
@@ -94,9 +93,7 @@ def vr005(spark, d):
 
 def vr006(spark, d):
     v = _valid(spark, d)
-    calls = v.gated_rels.where("predicate = 'IsCalculatedBy'").select(F.col("doc_id").alias("d"), F.col("subject").alias("i")).distinct()
-    f = rules.flags(v.gated).where("calculated")
-    return f.join(calls, (F.col("doc_id") == F.col("d")) & F.col("id").eqNullSafe(F.col("i")), "left_anti").select("rec_id")
+    return rules.unlinked(v.gated, v.gated_rels)
 
 
 def rule_scores(spark, d):
@@ -117,12 +114,12 @@ def rule_matrix(spark, d):
 
 def segment_retention(spark, d):
     v = _valid(spark, d)
-    return cascade.segment_retention(v.gate, v.entities)
+    return cascade.segment_retention(v)
 
 
 def mean_segment_retention(spark, d):
     v = _valid(spark, d)
-    return cascade.mean_segment_retention(cascade.segment_retention(v.gate, v.entities))
+    return cascade.mean_segment_retention(cascade.segment_retention(v))
 
 
 def signature_check(spark, d):
@@ -135,7 +132,7 @@ def type_distribution(spark, d):
 
 
 def predicate_distribution(spark, d):
-    return report.predicate_distribution(_rels(spark, d), _valid(spark, d).rels)
+    return report.predicate_distribution(_valid(spark, d).ends)
 
 
 def type_counts(spark, d):
@@ -154,19 +151,23 @@ def grand_totals(spark, d):
     return report.grand_totals(_documents(spark, d))
 
 
+def document_stages(spark, d):
+    return report.summary(_valid(spark, d))
+
+
 def report_examples(spark, d):
     v = _valid(spark, d)
-    return report.examples(v.gate, v.entities)
+    return report.examples(v)
 
 
 def failed_entities(spark, d):
     v = _valid(spark, d)
-    return graph.failed_entities(v.gate, v.entities)
+    return graph.failed_entities(v)
 
 
 def failures_per_document(spark, d):
     v = _valid(spark, d)
-    return graph.failures_per_document(v.gate, graph.failed_entities(v.gate, v.entities))
+    return graph.failures_per_document(v)
 
 
 def metric_merge(spark, d):
@@ -194,12 +195,20 @@ def parent_map(spark, d):
     return graph.parents(_rels(spark, d))
 
 
+def children_map(spark, d):
+    return graph.children(_rels(spark, d))
+
+
 def category_order(spark, d):
-    return graph.child_counts(_ents(spark, d), _rels(spark, d))
+    return graph.drawing_order(_ents(spark, d), _rels(spark, d))
+
+
+def model_order(spark, d):
+    return graph.drawing_order(_ents(spark, d), _rels(spark, d), "Model")
 
 
 def graph_layout(spark, d):
-    return graph.layout(_ents(spark, d)).select("rec_id", "band", "x", "y")
+    return layout.layout(_ents(spark, d), _rels(spark, d))
 
 
 def triples(spark, d):
@@ -209,8 +218,8 @@ def triples(spark, d):
 _NAMES = """dedup_entities type_gate gate_prompt gate_accuracy gate_entities gate_relationships cascade_entities cascade_relationships
 cascade_summary vr001 vr002 vr003 vr004 vr005 vr006 rule_scores compliance violation_stats rule_matrix segment_retention
 mean_segment_retention signature_check type_distribution predicate_distribution type_counts provenance_coverage document_report
-grand_totals report_examples failed_entities failures_per_document metric_merge edge_redirect effective_type legend induced_edges
-parent_map category_order graph_layout triples"""
+grand_totals document_stages report_examples failed_entities failures_per_document metric_merge edge_redirect effective_type legend induced_edges
+parent_map children_map category_order model_order graph_layout triples"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 
@@ -305,12 +314,62 @@ docs AS (SELECT r.doc_id, coalesce(md.total_pages, 0) AS total_pages, coalesce(m
   FROM ret r LEFT JOIN mt USING (doc_id) LEFT JOIN comp USING (doc_id) LEFT JOIN acc USING (doc_id) LEFT JOIN md USING (doc_id))"""
 _KIND = f"({_f('metric_type')} ->> '$')"
 _EFF = f"CASE WHEN type = 'Metric' AND CASE WHEN {_f('metric_type')} IS NULL THEN 'DirectMetric' ELSE {_KIND} END IN {_in(vocab.METRIC_TYPES)} THEN coalesce({_KIND}, 'DirectMetric') ELSE type END"
-_MERGE = f"""{_ENT},
-m AS (SELECT e.doc_id, e.id, e.pos, e.rec_id, trim(lower(coalesce(label, '')), ' ') AS key, {_KIND} AS kind,
+_MERGE = rf"""{_ENT},
+m AS (SELECT e.doc_id, e.id, e.pos, e.rec_id, regexp_replace(lower(coalesce(label, '')), '^[\t-\r \p{{Z}}]+|[\t-\r \p{{Z}}]+$', '', 'g') AS key, {_KIND} AS kind,
     EXISTS (SELECT 1 FROM kg_relationships r WHERE r.doc_id = e.doc_id AND r.object = e.id AND r.predicate = 'ConsistOf') AS linked FROM ent e WHERE type = 'Metric' AND id IS NOT NULL),
 k AS (SELECT *, CASE WHEN kind = 'DirectMetric' AND linked THEN 0 WHEN kind = 'DirectMetric' THEN 1 WHEN kind = 'CalculatedMetric' THEN 2 WHEN kind = 'InputMetric' THEN 3 END AS r FROM m),
-g AS (SELECT doc_id, key, arg_min(id, (r, pos, rec_id)) FILTER (r IS NOT NULL) AS new_id FROM k GROUP BY doc_id, key HAVING count(*) > 1),
-merges AS (SELECT k.doc_id, k.id AS old_id, max(g.new_id) AS new_id FROM k JOIN g USING (doc_id, key) WHERE g.new_id IS NOT NULL AND k.id <> g.new_id GROUP BY ALL)"""
+g AS (SELECT doc_id, key, arg_min(id, (r, pos, rec_id)) FILTER (r IS NOT NULL) AS new_id, min((pos, rec_id)) AS at_ FROM k GROUP BY doc_id, key HAVING count(*) > 1),
+merges AS (SELECT k.doc_id, k.id AS old_id, arg_max(g.new_id, g.at_) AS new_id FROM k JOIN g USING (doc_id, key) WHERE g.new_id IS NOT NULL AND k.id <> g.new_id GROUP BY ALL)"""
+
+
+def _order(kind: str) -> str:
+    return f"""WITH {_ENT}, c AS (SELECT doc_id, id, min((pos, rec_id)) AS at_ FROM ent WHERE type = '{kind}' AND id IS NOT NULL GROUP BY ALL),
+n AS (SELECT doc_id, subject AS id, count(*) AS n FROM kg_relationships WHERE predicate IN ('ConsistOf', 'RequiresInputFrom') AND object IS NOT NULL GROUP BY ALL),
+t AS (SELECT c.doc_id, c.id, coalesce(n.n, 0) AS n_children, c.at_ FROM c LEFT JOIN n USING (doc_id, id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, n_children = 0 ORDER BY n_children DESC, at_) AS r, count(*) FILTER (n_children = 0) OVER (PARTITION BY doc_id) AS bare FROM t),
+s AS (SELECT *, CASE WHEN n_children > 0 THEN 'middle' WHEN r <= bare // 2 THEN 'left' ELSE 'right' END AS side FROM k)
+SELECT doc_id, id, n_children, row_number() OVER (PARTITION BY doc_id ORDER BY CASE side WHEN 'left' THEN 0 WHEN 'middle' THEN 1 ELSE 2 END, r)::INTEGER AS k, side FROM s"""
+
+
+def _spread(n: str, least: int, most: int) -> str:
+    return f"CASE WHEN {n} <= 1 THEN {most + 5} WHEN {n} = 2 THEN {most} WHEN {n} = 3 THEN {most - 2} WHEN {n} = 4 THEN {most - 4} WHEN {n} = 5 THEN {most - 6} WHEN {n} = 6 THEN {most - 8} ELSE {least} END"
+
+
+def _under(name: str, bands: str, head: str) -> str:
+    """Items of some bands below the heads of another: dense groups a row each, sparse ones packed, the rest at the end."""
+    return f"""{name}_i AS (SELECT n.doc_id, n.id, n.band, n.o, h.id AS grp, h.k AS gk, h.x AS hx FROM nd n LEFT JOIN par p ON p.doc_id = n.doc_id AND p.node = n.id LEFT JOIN {head} h ON h.doc_id = n.doc_id AND h.id = p.parent WHERE n.band IN ({bands})),
+{name}_j AS (SELECT *, row_number() OVER (PARTITION BY doc_id, grp ORDER BY o) AS j, count(*) OVER (PARTITION BY doc_id, grp) AS m FROM {name}_i),
+{name}_g AS (SELECT DISTINCT doc_id, grp, gk, hx, m FROM {name}_j WHERE grp IS NOT NULL),
+{name}_d AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY gk) AS row FROM {name}_g WHERE m > 3),
+{name}_s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY gk) AS q FROM {name}_g WHERE m <= 3),
+{name}_w AS (SELECT doc_id, grp, gk, m, q, m AS fill, 1 AS row FROM {name}_s WHERE q = 1
+  UNION ALL SELECT s.doc_id, s.grp, s.gk, s.m, s.q, CASE WHEN w.fill + s.m > 10 THEN s.m ELSE w.fill + s.m END, CASE WHEN w.fill + s.m > 10 THEN w.row + 1 ELSE w.row END FROM {name}_w w JOIN {name}_s s ON s.doc_id = w.doc_id AND s.q = w.q + 1),
+{name}_x AS (SELECT doc_id, grp, row, coalesce(sum(m * 28 + 6) OVER (PARTITION BY doc_id, row ORDER BY gk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - (sum((m - 1) * 28 + 6) OVER (PARTITION BY doc_id, row) - 6) / 2.0::DOUBLE AS x0, 28 AS step FROM {name}_w),
+{name}_r AS (SELECT doc_id, grp, row, hx - (m - 1) * step / 2.0::DOUBLE AS x0, step FROM (SELECT *, CASE m WHEN 4 THEN 30 WHEN 5 THEN 28 WHEN 6 THEN 27 ELSE 26 END AS step FROM {name}_d)
+  UNION ALL SELECT x.doc_id, grp, row + coalesce(n, 0), x0, step FROM {name}_x x LEFT JOIN (SELECT doc_id, count(*) AS n FROM {name}_d GROUP BY 1) USING (doc_id)),
+{name}_t AS (SELECT doc_id, coalesce(r, 0) AS rows, coalesce(a, 0) AS alone FROM (SELECT doc_id, max(row) AS r FROM {name}_r GROUP BY 1) FULL JOIN (SELECT doc_id, count(*) AS a FROM {name}_i WHERE grp IS NULL GROUP BY 1) USING (doc_id)),
+{name} AS (SELECT j.doc_id, j.id, j.band, CASE WHEN j.grp IS NULL THEN (j - 1 - (alone - 1) / 2.0::DOUBLE) * {_spread('alone', 23, 32)} ELSE x0 + (j - 1) * step END AS x, CASE WHEN j.grp IS NULL THEN rows ELSE row - 1 END AS down
+  FROM {name}_j j LEFT JOIN {name}_r r ON r.doc_id = j.doc_id AND r.grp = j.grp LEFT JOIN {name}_t t ON t.doc_id = j.doc_id)"""
+
+
+def _layout() -> str:
+    one = lambda name, band, src, lo, hi: f"{name} AS (SELECT doc_id, id, k, (k - 1 - (n - 1) / 2.0::DOUBLE) * {_spread('n', lo, hi)} AS x, '{band}' AS band FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM ({src})))"
+    plain = lambda band: f"SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS k FROM nd WHERE band = '{band}'"
+    ordered = lambda band: f"""SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN n > 0 THEN 1 WHEN r <= bare // 2 THEN 0 ELSE 2 END, r) AS k FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, n = 0 ORDER BY n DESC, o) AS r, count(*) FILTER (n = 0) OVER (PARTITION BY doc_id) AS bare FROM (SELECT nd.*, coalesce(c.n, 0) AS n FROM nd LEFT JOIN ch c ON c.doc_id = nd.doc_id AND c.subject = nd.id WHERE band = '{band}'))"""
+    return f"""WITH RECURSIVE {_ENT}, ev AS (SELECT doc_id, id, pos, rec_id, {_EFF} AS band FROM ent WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, id ORDER BY pos, rec_id) = 1),
+nd AS (SELECT doc_id, id, band, (CASE band WHEN 'CalculatedMetric' THEN 1 WHEN 'Metric' THEN 2 ELSE 0 END, pos, rec_id) AS o FROM ev),
+tree AS (SELECT * FROM kg_relationships WHERE predicate IN ('ConsistOf', 'RequiresInputFrom') AND subject IS NOT NULL AND object IS NOT NULL),
+par AS (SELECT doc_id, object AS node, arg_max(subject, (pos, rel_id)) AS parent FROM tree GROUP BY ALL), ch AS (SELECT doc_id, subject, count(*) AS n FROM tree GROUP BY ALL),
+{one('fw', 'ReportingFramework', plain('ReportingFramework'), 24, 34)}, {one('ind', 'Industry', plain('Industry'), 25, 35)}, {one('cat', 'Category', ordered('Category'), 32, 42)}, {one('mod', 'Model', ordered('Model'), 30, 40)},
+{_under('met', "'DirectMetric', 'CalculatedMetric', 'Metric'", 'cat')}, {_under('inp', "'InputMetric'", 'mod')},
+tops AS (SELECT doc_id, CASE WHEN a THEN 26 ELSE 0 END AS y1, CASE WHEN b THEN 26 ELSE 0 END AS y2, CASE WHEN c THEN 26 ELSE 0 END AS y3, CASE WHEN m THEN 26 ELSE 0 END AS y4, coalesce(t.rows, 0) + CASE WHEN coalesce(t.alone, 0) > 0 THEN 1 ELSE 0 END AS tall
+  FROM (SELECT doc_id, bool_or(coalesce(band = 'ReportingFramework', false)) AS a, bool_or(coalesce(band = 'Industry', false)) AS b, bool_or(coalesce(band = 'Category', false)) AS c, bool_or(coalesce(band = 'Model', false)) AS m FROM nd GROUP BY 1) LEFT JOIN met_t t USING (doc_id)),
+al AS (SELECT doc_id, id, band, x, down FROM met UNION ALL SELECT doc_id, id, band, x, down FROM inp UNION ALL SELECT doc_id, id, band, x, 0 FROM (SELECT * FROM fw UNION ALL SELECT * FROM ind UNION ALL SELECT * FROM cat UNION ALL SELECT * FROM mod))
+SELECT al.doc_id, id, band, x::DOUBLE AS x, -(CASE band WHEN 'ReportingFramework' THEN 0 WHEN 'Industry' THEN y1 WHEN 'Category' THEN y1 + y2 WHEN 'Model' THEN y1 + y2 + y3 + tall * 20 WHEN 'InputMetric' THEN y1 + y2 + y3 + tall * 20 + y4 ELSE y1 + y2 + y3 END + down * 20)::DOUBLE AS y
+FROM al JOIN tops USING (doc_id)"""
+
+
 _PYLIST = "CASE WHEN json_type(v) = 'ARRAY' THEN '[' || array_to_string(list_transform(CAST(v AS JSON[]), lambda x: CASE json_type(x) WHEN 'NULL' THEN 'None' WHEN 'VARCHAR' THEN '''' || (x ->> '$') || '''' ELSE CAST(x AS VARCHAR) END), ', ') || ']' ELSE v ->> '$' END"
 
 ORACLE = {
@@ -333,7 +392,7 @@ ORACLE = {
     "compliance": f"WITH {_SCORES} SELECT * FROM comp",
     "violation_stats": f"WITH {_SCORES} SELECT rule_id, sum(violation_count)::BIGINT AS violations, sum(total_items)::BIGINT AS items, count(*) FILTER (passed) AS documents_passed, count(*) AS documents FROM scores GROUP BY rule_id",
     "rule_matrix": f"""WITH {_SCORES}, cells AS (SELECT doc_id, rule_id, CASE WHEN passed THEN 'PASS' ELSE 'FAIL (' || violation_count || ')' END AS cell FROM scores)
-SELECT doc_id, {", ".join(f"coalesce(max(cell) FILTER (rule_id = '{r[0]}'), 'N/A') AS {r[0].lower()}" for r in rules.RULES)} FROM cells GROUP BY doc_id""",
+SELECT doc_id, {", ".join(f"coalesce(max(cell) FILTER (rule_id = '{r}'), 'N/A') AS {r.lower()}" for r in ('VR001', 'VR002', 'VR003', 'VR004', 'VR005', 'VR006'))} FROM cells GROUP BY doc_id""",
     "segment_retention": f"{_SEG} SELECT * FROM seg",
     "mean_segment_retention": f"{_SEG} SELECT doc_id, count(*) AS n_segments, (2 * sum(round(validated::DOUBLE / original * 1e11)::BIGINT) + count(*) * 10000000) // (2 * count(*) * 10000000) / 100.0::DOUBLE AS avg_segment_retention FROM seg GROUP BY doc_id",
     "signature_check": f"""WITH {_ENT}, ty AS (SELECT doc_id, id, arg_min(coalesce(type, chr(1)), (pos, rec_id)) AS type FROM ent WHERE id IS NOT NULL GROUP BY ALL),
@@ -350,9 +409,11 @@ SELECT CASE WHEN grouping(p) = 1 THEN 'TOTAL' ELSE p END AS predicate, sum(x)::B
     "document_report": f"{_DOCS} SELECT * FROM docs",
     "grand_totals": f"{_DOCS} SELECT count(*) AS documents, sum(total_pages)::BIGINT AS pages, sum(total_segments)::BIGINT AS segments, sum(entities_before)::BIGINT AS entities, sum(entities_after)::BIGINT AS validated, sum(n_metrics)::BIGINT AS metrics, round(sum(cost_usd), 4) AS cost_usd, round(avg(cost_usd), 6) AS mean_cost_usd FROM docs",
     "report_examples": f"WITH {_VALID} SELECT doc_id, floor(coalesce(v.n, 0)::DOUBLE / e.n * 100)::BIGINT AS percent_kept FROM (SELECT doc_id, count(*) AS n FROM ent GROUP BY 1) e LEFT JOIN (SELECT doc_id, count(*) AS n FROM vent GROUP BY 1) v USING (doc_id)",
-    "failed_entities": f"""WITH {_VALID}, l AS (SELECT *, row_number() OVER (PARTITION BY doc_id, id ORDER BY pos DESC, rec_id DESC) AS k FROM gate WHERE id IS NOT NULL)
-SELECT doc_id, id AS entity_id, type AS entity_type, label AS entity_label, CASE WHEN mismatch THEN '{graph.DEFAULT_REASON}' ELSE 'Duplicate or removed id' END AS failure_reason FROM l
-WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM vids v WHERE v.doc_id = l.doc_id AND v.id = l.id)""",
+    "failed_entities": f"""WITH {_VALID}, l AS (SELECT *, row_number() OVER (PARTITION BY doc_id, id ORDER BY pos DESC, rec_id DESC) AS k FROM gate WHERE id IS NOT NULL),
+w AS (SELECT doc_id, id, CASE WHEN known THEN '"' || label || '" does not read like a ' || type ELSE 'SEMANTIC FAILURE: Unknown/invalid type "' || coalesce(type, 'unknown') || '" not in ontology schema. Only 4 types allowed: Industry, Category, Metric, Model.' END AS reason
+  FROM gate WHERE id IS NOT NULL AND mismatch QUALIFY row_number() OVER (PARTITION BY doc_id, id ORDER BY pos DESC, rec_id DESC) = 1)
+SELECT l.doc_id, l.id AS entity_id, coalesce(l.type, 'Unknown') AS entity_type, coalesce(l.label, 'No label') AS entity_label, coalesce(w.reason, 'Entity removed during validation (detailed reasoning not available)') AS failure_reason
+FROM l LEFT JOIN w ON w.doc_id = l.doc_id AND w.id = l.id WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM vids v WHERE v.doc_id = l.doc_id AND v.id = l.id)""",
     "failures_per_document": f"WITH {_VALID} SELECT doc_id, count(DISTINCT id) FILTER (id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM vids v WHERE v.doc_id = gate.doc_id AND v.id = gate.id)) AS n_failed FROM gate GROUP BY doc_id",
     "metric_merge": f"WITH {_MERGE} SELECT * FROM merges",
     "edge_redirect": f"""WITH {_MERGE}, t AS (SELECT r.rel_id, r.pos, r.doc_id, coalesce(s.new_id, r.subject) AS subject, r.predicate, coalesce(o.new_id, r.object) AS object FROM kg_relationships r
@@ -362,15 +423,14 @@ SELECT rel_id, doc_id, subject, predicate, object FROM t WHERE subject IS DISTIN
     "legend": f"WITH {_ENT} SELECT coalesce(CASE WHEN {_EFF} IN ('DirectMetric', 'InputMetric') THEN 'Direct/InputMetric' ELSE {_EFF} END, 'Unknown') AS legend, count(*) AS n FROM ent GROUP BY 1",
     "induced_edges": f"WITH {_ENT} SELECT rel_id FROM kg_relationships r WHERE EXISTS (SELECT 1 FROM ent e WHERE e.doc_id = r.doc_id AND e.id = r.subject) AND EXISTS (SELECT 1 FROM ent e WHERE e.doc_id = r.doc_id AND e.id = r.object)",
     "parent_map": "SELECT doc_id, object AS node, arg_max(subject, (pos, rel_id)) AS parent FROM kg_relationships WHERE predicate IN ('ConsistOf', 'RequiresInputFrom') AND subject IS NOT NULL AND object IS NOT NULL GROUP BY ALL",
-    "category_order": f"""WITH {_ENT}, c AS (SELECT doc_id, id, min((pos, rec_id)) AS at_ FROM ent WHERE type = 'Category' AND id IS NOT NULL GROUP BY ALL),
-n AS (SELECT doc_id, subject AS id, count(*) AS n FROM kg_relationships WHERE predicate = 'ConsistOf' GROUP BY ALL),
-t AS (SELECT c.doc_id, c.id, coalesce(n.n, 0) AS n_children, c.at_ FROM c LEFT JOIN n USING (doc_id, id)),
-k AS (SELECT doc_id, id, n_children, row_number() OVER (PARTITION BY doc_id, n_children > 0 ORDER BY n_children DESC, at_)::INTEGER AS k FROM t)
-SELECT *, CASE WHEN n_children > 0 THEN 'middle' WHEN k % 2 = 1 THEN 'left' ELSE 'right' END AS side FROM k""",
-    "graph_layout": f"""WITH {_ENT}, b AS (SELECT rec_id, doc_id, {_EFF} AS band, pos FROM ent WHERE id IS NOT NULL),
-i AS (SELECT *, row_number() OVER (PARTITION BY doc_id, band ORDER BY pos, rec_id) - 1 AS i FROM b WHERE band IN ('Industry', 'ReportingFramework', 'Category', 'DirectMetric', 'CalculatedMetric', 'Model', 'InputMetric')),
-n AS (SELECT *, i // 10 AS r, count(*) OVER (PARTITION BY doc_id, band, i // 10) AS n FROM i)
-SELECT rec_id, band, ((i % 10) - (n - 1) / 2.0::DOUBLE) * 2.0::DOUBLE AS x, -(list_position(['Industry', 'ReportingFramework', 'Category', 'DirectMetric', 'CalculatedMetric', 'Model', 'InputMetric'], band) - 1) * 3.0::DOUBLE - r AS y FROM n""",
+    "children_map": """SELECT doc_id, subject AS parent, row_number() OVER (PARTITION BY doc_id, subject ORDER BY pos, rel_id)::INTEGER AS ord, object AS child
+FROM kg_relationships WHERE predicate IN ('ConsistOf', 'RequiresInputFrom') AND subject IS NOT NULL AND object IS NOT NULL""",
+    "category_order": _order("Category"),
+    "model_order": _order("Model"),
+    "document_stages": f"""WITH {_VALID} SELECT e.doc_id, e.n AS extracted, coalesce(g.n, 0) AS gated, coalesce(v.n, 0) AS validated, coalesce(r.n, 0) AS rels_extracted, coalesce(gr.n, 0) AS rels_gated, coalesce(w.n, 0) AS rels_validated
+FROM (SELECT doc_id, count(*) AS n FROM ent GROUP BY 1) e LEFT JOIN (SELECT doc_id, count(*) AS n FROM gated GROUP BY 1) g USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM vent GROUP BY 1) v USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM kg_relationships GROUP BY 1) r USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM grels GROUP BY 1) gr USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM vrel GROUP BY 1) w USING (doc_id)""",
+    "graph_layout": _layout(),
     "triples": f"""WITH {_ENT}, named AS (SELECT * FROM ent WHERE id IS NOT NULL),
 pr AS (SELECT doc_id, id, k, json_extract(props, '$."' || k || '"') AS v FROM (SELECT *, unnest(json_keys(props)) AS k FROM named WHERE props IS NOT NULL)),
 pv AS (SELECT doc_id, id, unnest(map_entries(provenance)) AS e FROM named)

@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _HOT_KEYS = 1024
@@ -112,5 +112,27 @@ def hot_join(
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 
+def rank_within(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """Adds ``name``: the place (from 1) of each row among those of its key, for keys of any size.
+
+    Rows are sorted by range partitions, so no task holds a whole key; places follow from the rows of the
+    partitions before (one number a partition, bounded by their number) and the first place of each key.
+    ``order`` must leave no ties, else equal rows get places in any order."""
+    laid = df.repartitionByRange(*[F.asc_nulls_first(k) for k in keys], *order).sortWithinPartitions(*[F.asc_nulls_first(k) for k in keys], *order)
+    laid = stage(laid.withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = laid.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.broadcast(sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before")))
+    t = laid.withColumn("_p", part).join(before, "_p").withColumn("_g", F.col("_before") + row)
+    if keys:
+        kept = {k: f"_k{i}" for i, k in enumerate(keys)}
+        named = t.select("*", *[F.to_json(F.struct(k)).alias(v) for k, v in kept.items()])
+        first = named.groupBy(*kept.values()).agg(F.min("_g").alias("_first"))
+        t = hot_join(named, first, list(kept.values()), "left", spread=F.col("_g")).drop(*kept.values())
+    else:
+        t = t.withColumn("_first", F.lit(0))
+    return t.withColumn(name, F.col("_g") - F.col("_first") + 1).drop("_at", "_p", "_before", "_g", "_first")
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

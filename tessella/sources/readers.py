@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tessella.operators.nested import as_list, as_object, choose_graph, field_of, read_json
 from tessella.session import ship
 
-SUFFIXES = ["ontology_guided", "baseline_llm", "kg"]
+# The ends of graph file names; the last one is that of older files.
+SUFFIXES = ["ontology_guided", "baseline_llm", "knowledge"]
 TABLE = "struct<page:int,table_id:string,headers:array<string>,rows:array<array<string>>,pages:array<int>,last_page:int>"
 SEGMENT_SCHEMA = f"segment_id string, section_title string, section_number string, page_start int, page_end int, content string, has_tables boolean, tables array<{TABLE}>"
 PageReader = Callable[[bytes], list[tuple[str, list]]]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella import vocab
 from tessella.functions.values import is_falsy
-from tessella.operators import cascade, gate, graph, kg, report, rules
+from tessella.operators import cascade, gate, graph, kg, layout, report, rules
 
 RAW = "rec_id long, doc_id string, pos int, id string, type string, label string, properties string, source struct<doc_id:string,page:int>, provenance map<string,string>, op string"
 REL = "rel_id long, doc_id string, pos int, subject string, predicate string, object string, source struct<doc_id:string>"
@@ -38,17 +38,16 @@ def test_falsy(spark, text, want):
 
 def test_gate_removes_every_row_of_a_mismatched_id_but_no_row_without_id(spark):
     e = ents(spark, {"id": "a"}, {"id": "a"}, {"id": None, "type": "Standard"}, {"id": "b", "type": None}, {"id": "c"})
-    g = gate.judged(e, judge("a"))
-    bad = gate.mismatched_ids(g)
-    assert {r.id for r in bad.collect()} == {"a", "b"}
-    assert sorted(r.rec_id for r in gate.gated_entities(g, bad).collect()) == [2, 4]
-    acc = gate.accuracy(g).first()
-    assert (acc.n_entities, acc.n_correct, acc.accuracy, acc.cost_usd) == (5, 1, 20.0, 0.0003)
+    v = cascade.validate(e, rels(spark), judge("a"))
+    assert {r.key for r in v.ids.where("bad").collect()} == {"=a", "=b"}
+    assert sorted(r.rec_id for r in v.gated.collect()) == [2, 4]
+    for acc in (gate.accuracy(v.gate).first(), gate.accuracy(v.ids).first()):
+        assert (acc.n_entities, acc.n_correct, acc.accuracy, acc.cost_usd) == (5, 1, 20.0, 0.0003)
 
 
 def test_open_gate_has_no_mismatch_and_no_accuracy(spark):
-    g = gate.judged(ents(spark, {"type": "Standard"}), None)
-    assert gate.mismatched_ids(g).count() == 0 and gate.accuracy(g).first().accuracy == 0.0
+    v = cascade.validate(ents(spark, {"type": "Standard"}), rels(spark), None)
+    assert v.entities.count() == 1 and gate.accuracy(v.gate).first().accuracy == gate.accuracy(v.ids).first().accuracy == 0.0
 
 
 def test_verdict_table(spark):
@@ -71,7 +70,7 @@ def test_duplicates_remove_the_first_occurrence_too(spark):
     assert [r.id for r in v.entities.collect()] == ["b"] and v.rels.count() == 0
     dup = {(r.rec_id, r.first_occurrence) for r in rules.duplicate_rows(v.gated).collect()}
     assert dup == {(1, "abc"), (3, "abc")}
-    r = cascade.retention(e, rels(spark, ("a", "Include", "b")), v).first()
+    r = cascade.retention(v).first()
     assert (r.entities_before, r.entities_after, r.rels_after, r.entity_retention, r.rel_retention) == (5, 1, 0, 20.0, 0.0)
 
 
@@ -121,11 +120,11 @@ def test_reports(spark):
     v = cascade.validate(e, rels(spark, ("a", None, "c")), judge("a"))
     t = {r.type: (r.n_before, r.n_after, r.retention) for r in report.type_distribution(v.gate, v.entities).collect()}
     assert t["Metric"] == (1, 0, 0.0) and t["Category"] == (0, 0, 0.0) and t["TOTAL"] == (2, 1, 50.0) and "Odd" not in t
-    p = {r.predicate: (r.n_before, r.n_after) for r in report.predicate_distribution(rels(spark, ("a", None, "c")), v.rels).collect()}
+    p = {r.predicate: (r.n_before, r.n_after) for r in report.predicate_distribution(v.ends).collect()}
     assert p == {"Unknown": (1, 0), "TOTAL": (1, 0)}
-    seg = {r.segment_id: (r.original, r.validated) for r in cascade.segment_retention(v.gate, v.entities).collect()}
+    seg = {r.segment_id: (r.original, r.validated) for r in cascade.segment_retention(v).collect()}
     assert seg == {"s1": (2, 0), "unknown": (1, 1)}
-    assert cascade.mean_segment_retention(cascade.segment_retention(v.gate, v.entities)).first().avg_segment_retention == 50.0
+    assert cascade.mean_segment_retention(cascade.segment_retention(v)).first().avg_segment_retention == 50.0
 
 
 def test_merge_and_redirect(spark):
@@ -161,3 +160,55 @@ def test_empty_graph(spark):
 def test_predicates_however_spelled(spark):
     df = spark.createDataFrame([("Is-Calculated By",), ("CONSIST_OF",), (" include ",), ("Discloses",), ("",), (None,)], "p string")
     assert [r.x for r in df.select(vocab.is_ontology_predicate(F.col("p")).alias("x")).collect()] == [True, True, True, False, False, False]
+
+
+def test_failures_carry_the_reasoning_of_the_judge(spark):
+    v = spark.createDataFrame([("d", "a", False, "no metric"), ("d", "b", True, "fine"), ("d", "x", True, "")], "doc_id string, id string, is_correct boolean, reasoning string")
+    e = ents(spark, {"id": "a"}, {"id": "b"}, {"id": "b", "label": "second"}, {"id": "x", "type": None, "label": None}, {"id": None}, {"id": "free"})
+    got = {r.entity_id: (r.entity_type, r.entity_label, r.failure_reason) for r in graph.failed_entities(cascade.validate(e, rels(spark), gate.table_judge(v))).collect()}
+    assert got == {
+        "a": ("Metric", "abc", "no metric"), "b": ("Metric", "second", graph.DEFAULT_REASON),
+        "x": ("Unknown", "No label", 'SEMANTIC FAILURE: Unknown/invalid type "unknown" not in ontology schema. Only 4 types allowed: Industry, Category, Metric, Model.'),
+    }
+
+
+def test_a_rule_of_ones_own(spark):
+    mine = rules.Rule("X1", "Alive", "Ids with one row", "count_if(n > 1)", "count(1)")
+    e = ents(spark, {"id": "a"}, {"id": "a"}, {"id": "b"})
+    got = {r.rule_id: (r.violation_count, r.total_items) for r in rules.results(e, rels(spark), rules=[*rules.RULES, mine]).collect()}
+    assert got["X1"] == (1, 2) and got["VR001"] == (1, 3) and len(got) == 7
+    assert rules.registry(spark, [mine]).first().over == "entities"
+
+
+def test_childless_nodes_stand_half_left_half_right(spark):
+    e = ents(spark, *[{"id": f"c{i}", "type": "Category"} for i in range(6)])
+    r = rels(spark, ("c3", "ConsistOf", "x"), ("c1", "RequiresInputFrom", "y"), ("c1", "ConsistOf", "z"), ("c1", "Include", "z"))
+    order = sorted((x.k, x.id, x.side) for x in graph.drawing_order(e, r).collect())
+    assert order == [(1, "c0", "left"), (2, "c2", "left"), (3, "c1", "middle"), (4, "c3", "middle"), (5, "c4", "right"), (6, "c5", "right")]
+    assert [(x.parent, x.ord, x.child) for x in graph.children(r).orderBy("parent", "ord").collect()] == [("c1", 1, "y"), ("c1", 2, "z"), ("c3", 1, "x")]
+
+
+@pytest.mark.parametrize("chunk", [2, 3, 100])
+def test_rows_are_filled_alike_in_any_number_of_chunks(spark, chunk):
+    import random
+
+    rng = random.Random(chunk)
+    sizes = [(d, i, rng.randint(1, 3)) for d in ("a", "b", None) for i in range(12)]
+    want = set()
+    for d in ("a", "b", None):
+        row, fill = 1, 0
+        for _, i, m in [x for x in sizes if x[0] == d]:
+            if fill and fill + m > 10:
+                row, fill = row + 1, 0
+            fill += m
+            want.add((d, i, row))
+    df = spark.createDataFrame(sizes, "doc_id string, gk int, m int")
+    assert {(r.doc_id, r.gk, r.row) for r in layout.fill_rows(df, ["doc_id"], [F.asc("gk")], "m", chunk=chunk).collect()} == want
+
+
+def test_layout(spark):
+    e = ents(spark, {"id": "f", "type": "ReportingFramework"}, {"id": "c1", "type": "Category"}, {"id": "c2", "type": "Category"}, *[{"id": f"m{i}"} for i in range(5)], {"id": "lone"}, {"id": "odd", "type": "Other"})
+    r = rels(spark, *[("c1", "ConsistOf", f"m{i}") for i in range(4)], ("c2", "ConsistOf", "m4"))
+    at = {x.id: (x.x, x.y) for x in layout.layout(e, r).collect()}
+    assert at["f"] == (0.0, 0.0) and at["c1"] == (-21.0, -26.0) and at["c2"] == (21.0, -26.0) and "odd" not in at
+    assert [at[f"m{i}"] for i in range(4)] == [(-21.0 - 45.0 + 30.0 * i, -52.0) for i in range(4)] and at["m4"] == (0.0, -72.0) and at["lone"] == (0.0, -92.0)

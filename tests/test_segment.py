@@ -27,49 +27,73 @@ def test_word_count_and_title(spark):
 
 
 def book(spark, *pages):
-    return spark.createDataFrame([("d", i, p) for i, p in enumerate(pages)], "doc string, page_num int, text string")
+    return spark.createDataFrame([("d", list(pages))], "doc string, pages array<string>")
 
 
 PROSE = "\n".join(f"A line of text that is long enough {i}" for i in range(6))
 
 
 def test_listed_contents_run_backwards_and_overlap(spark):
-    p = book(spark, "Title", "Contents\n1. Scope .... 2\n2 Metrics ..... 5\nAppendix A Terms .... 3\nA.1 More ... 4", *[PROSE + str(i) for i in range(6)])
-    at = segment.toc_page(p)
-    toc = segment.toc_entries(p, at)
-    assert [(r.toc_idx, r.number, r.title, r.page) for r in toc.orderBy("toc_idx").collect()] == [(0, "1", "Scope", 2), (1, "2", "Metrics", 5), (2, "Appendix A", "Terms", 3), (3, "A.1", "More", 4)]
-    first = segment.first_content_page(p, at)
-    assert tuple(first.first()) == ("d", 2, 8)
-    ranges = segment.section_ranges(toc, first)
-    assert {(r.toc_idx, r.page_start, r.page_end) for r in ranges.collect()} == {(0, 2, 4), (2, 3, 3), (3, 4, 7)}
-    content = segment.section_contents(segment.section_pages(ranges, p)).orderBy("segment_id").collect()
-    assert [r.segment_id for r in content] == ["seg_002", "seg_003", "seg_004"]
-    assert content[0].content.endswith("52") and "\n\n" in content[0].content
+    toc = "Contents\n1. Scope and aims .... 2\n2 Metrics used ..... 5\nAppendix A - Terms used .... 3\nA.1 More of them ... 4\n2.1 Risk management overview 12\nno entry\n3 Short 4"
+    t = segment.outline(book(spark, "Title page", toc, *[PROSE + str(i) for i in range(6)]))
+    row = t.first()
+    assert (row.toc_page, row.first_content, row.total_pages) == (1, 2, 8)
+    # the first pattern is tried first and anywhere in the line, so 'A.1' gives '1'
+    assert [tuple(e) for e in row.entries] == [("1.", "Scope and aims", 2), ("2", "Metrics used", 5), ("Appendix A", "Terms used", 3), ("1", "More of them", 4), ("2.1", "Risk management overview", 12)]
+    assert {(r.toc_idx, r.page_start, r.page_end) for r in segment.section_ranges(t).collect()} == {(0, 2, 4), (2, 3, 3), (3, 4, 11)}
+    got = segment.sections(t).orderBy("segment_id").collect()
+    assert [(r.segment_id, r.number, r.title) for r in got] == [("seg_001", "1", segment.TITLE_SECTION), ("seg_002", "2", "Scope and aims"), ("seg_003", "3", "Terms used"), ("seg_004", "4", "More of them")]
+    assert got[0].content == "Title page" and got[1].content.endswith("52") and "\n\n" in got[1].content
+    assert {(r.toc_idx, r.page_num) for r in segment.section_pages(t).collect()} == {(0, 2), (0, 3), (0, 4), (2, 3), (3, 4), (3, 5), (3, 6), (3, 7)}
 
 
 def test_embedded_contents_and_fallback(spark):
-    p = book(spark, "x\nTable of Contents\nPage\n1 Scope and aims 2\nStrategy ... 4\n© someone 9\n2. Risk\nab", *[PROSE] * 4)
-    e = segment.embedded_entries(p)
-    assert [(r.number, r.title, r.page) for r in e.orderBy("toc_idx").collect()] == [("1", "Scope and aims", 2), ("2", "Strategy", 4), ("3", "Risk", 3)]
-    first = segment.first_content_page(p, segment.toc_page(p))
-    chunks = segment.fixed_chunks(first, 2)
-    assert [r.page for r in chunks.orderBy("toc_idx").collect()] == [1, 3]
-    none = segment.toc_entries(p, segment.toc_page(p))
-    assert segment.cascade(none, e, chunks).count() == 3 and segment.cascade(none, e.limit(0), chunks).count() == 2
-    assert segment.fixed_chunks(segment.first_content_page(book(spark, "only"), segment.toc_page(book(spark, "only")))).count() == 0
+    inside = "x\nTable of Contents\nSee page 3\nOBJECTIVE 1\nGovernance and  Strategy .... 4\n© someone 9\nINTRODUCTION\n(c) IFRS 7\nabc\nMore Contents 3"
+    e = spark.createDataFrame([(inside,), ("an index of things\nOBJECTIVE 1",), ("",)], "t string").select(segment.embedded_entries(F.col("t")).alias("e")).collect()
+    assert [tuple(x) for x in e[0].e] == [("1", "OBJECTIVE", 1), ("2", "Governance and Strategy", 4), ("3", "INTRODUCTION", 4)]
+    assert e[1].e == [] and e[2].e == []
+    t = segment.outline(book(spark, inside, *[PROSE] * 4)).first()
+    assert len(t.entries) == 3
+    t = segment.outline(book(spark, "plain", *[PROSE] * 24)).first()
+    assert [tuple(x) for x in t.entries] == [("1", "Section 1", 1), ("2", "Section 2", 11), ("3", "Section 3", 21)]
+    only = segment.outline(book(spark, "only"))
+    assert only.first().entries == [] and [r.segment_id for r in segment.sections(only).collect()] == ["seg_001"]
+
+
+def test_a_page_number_beyond_all_pages_takes_nothing_with_it(spark):
+    toc = "Contents\n1 First chapter 2\n2 Second chapter 99999999999999999999\n3 Third chapter 2"
+    t = segment.outline(book(spark, "Title", toc, PROSE, PROSE))
+    assert {(r.toc_idx, r.page_start) for r in segment.section_ranges(t).collect()} == {(0, 2), (2, 2)}
+    assert segment.section_pages(t).count() == 4
+
+
+def test_thin_sections_leave_no_gap_in_the_numbers(spark):
+    toc = "Contents\n1 First chapter 2\n2 Second chapter 3\n3 Third chapter 4"
+    got = segment.sections(segment.outline(book(spark, "T", toc, PROSE, "thin", PROSE))).orderBy("segment_id").collect()
+    assert [(r.segment_id, r.title) for r in got] == [("seg_001", segment.TITLE_SECTION), ("seg_002", "First chapter"), ("seg_003", "Third chapter")]
 
 
 def test_tables_over_pages(spark):
     def t(page, name, headers, n):
-        return (page, name, headers, [["x"]] * n, None, None)
+        return (page, name, headers, [["x"]] * n)
 
     rows = [
         (1, [t(1, "a", ["Site", "2020"], 2), t(2, "b", [" site ", "2020"], 3), t(2, "other", ["Q"], 1), t(3, "c", ["Site", "2021"], 1), t(5, "e", ["Site", "2020"], 1)]),
         (2, [t(1, "a", [], 1), t(2, "b", [], 1)]), (3, None), (4, []), (5, [t(1, "a", [None, "b", "c", "d"], 1), t(2, "b", ["", "b", "c", "x"], 1)]),
     ]
-    df = spark.createDataFrame(rows, f"seg_uid long, tables array<{readers.TABLE}>")
-    got = {(r.seg_uid, r.table_id, tuple(r.pages), r.n_rows) for r in segment.merged_tables(df).collect()}
-    assert got == {(1, "table_p1-2_merged", (1, 2), 5), (1, "c", (3,), 1), (1, "e", (5,), 1), (2, "a", (1,), 1), (2, "b", (2,), 1), (5, "table_p1-2_merged", (1, 2), 2)}
+    df = spark.createDataFrame(rows, f"seg_uid long, tables array<{segment.RAW}>")
+    got = {(r.seg_uid, r.table_id, r.page, r.last_page, r.n_rows) for r in segment.merged_tables(df, ["seg_uid"]).collect()}
+    assert got == {(1, "table_p1-2_merged", 1, 2, 5), (1, "c", 3, 3, 1), (1, "e", 5, 5, 1), (2, "a", 1, 1, 1), (2, "b", 2, 2, 1), (5, "table_p1-2_merged", 1, 2, 2)}
+
+
+def test_pages_with_tables_become_sections_with_tables(spark):
+    head, more = [["Site", "Year"], ["a", "1"]], [["site", "year "], ["b", "2"]]
+    rows = [("d", 0, "Title", [head, [["alone"]]]), ("d", 2, PROSE, [more]), ("d", 1, PROSE, [head]), ("d", 3, None, None)]
+    docs = segment.from_pages(spark.createDataFrame(rows, "doc_id string, page_num int, text string, tables array<array<array<string>>>"))
+    title, body = segment.sections(segment.outline(docs)).orderBy("segment_id").collect()
+    assert [(x.table_id, x.rows, x.pages) for x in title.tables] == [("table_p0_t0", [["a", "1"]], None)]
+    assert [(x.table_id, x.rows, x.pages, x.last_page) for x in body.tables] == [("table_p1-2_merged", [["a", "1"], ["b", "2"]], [1, 2], 2)]
+    assert title.has_tables and body.has_tables
 
 
 def test_prompts_and_provider(spark):
@@ -105,13 +129,13 @@ def test_files_round_trip(spark, tmp_path):
     src.mkdir()
     (src / "1.Doc A_ontology_guided.json").write_text('{"entities": [{"id": "e1", "type": "Metric", "label": "L", "properties": {"unit": "t"}}, null], "relationships": []}')
     (src / "2_baseline_llm.json").write_text('{"experiments": {"2_baseline_llm": {"entities": {"id": "only"}}}}')
-    (src / "3_kg.json").write_text('{"other": 1}')
+    (src / "3_knowledge.json").write_text('{"other": 1}')
     e, r, bad = readers.graph_tables(readers.graph_files(spark, str(src)))
     assert {(x.doc_id, x.method, x.pos, x.id) for x in e.collect()} == {("1.Doc A", "ontology_guided", 0, "e1"), ("2", "baseline_llm", 0, "only")}
     assert r.count() == 0 and [x.doc_id for x in bad.collect()] == ["3"]
     t = spark.createDataFrame([("d", "a b", "rdf:type", "Metric", "uri"), ("d", "a b", "esg:x", 'say "hi"\n\\', "literal")], "doc_id string, s string, p string, o string, o_kind string")
     lines = sorted(x.value for x in sinks.ntriples(t).collect())
-    assert lines[0].endswith(r'"say \"hi\"\n\\" .') and lines[1].endswith("esg#Metric> .")
+    assert lines[0].endswith(r'"say \"hi\"\n\\" .') and lines[1].endswith("esg-ontology#Metric> .")
     sinks.write_rdf(t, str(tmp_path / "rdf"))
     assert spark.read.text(str(tmp_path / "rdf")).count() == 2
     (src / "x.pdf").write_bytes(b"one\fbad")
