@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -56,175 +57,250 @@ def as_list(v: Column) -> Column:
     return F.coalesce(F.try_variant_get(plain, "$", "array<variant>"), F.when(plain.isNotNull(), F.array(plain)))
 
 
+# Kinds of value as bits, so that kinds met in different tasks are merged by an OR.
+OBJECT, ARRAY, STRING, INTEGER, NUMBER, BOOLEAN, NULL, BIG = (1 << i for i in range(8))
+# An object with more different keys than this holds data in its keys: it is one map, no set of fields.
+MAP_KEYS = 1_000
+MAP, ITEM = "{}", "[]"
+
+
 @dataclass
-class Level:
-    """One array level of the merged schema: where it lies and what its elements hold."""
+class Node:
+    """A place of the merged schema: the kinds of value found there and the places below.
+
+    Elements of a list count as values of the place itself, since a single value may stand for a list of
+    one; only lists directly in lists have a place of their own (``[]``). Fields of a map are one (``{}``)."""
+
+    kinds: int = 0
+    below: dict[str, "Node"] = field(default_factory=dict)
+
+    def child(self, key: str) -> "Node":
+        found = self.below.get(key)
+        if found is None:
+            found = self.below[key] = Node()
+        return found
+
+    def add(self, other: "Node") -> None:
+        self.kinds |= other.kinds
+        for key, node in other.below.items():
+            self.child(key).add(node)
 
-    path: tuple[str, ...]
-    kinds: set[str] = field(default_factory=set)
-    children: dict[str, "Level"] = field(default_factory=dict)
-    fields: dict[str, set[str]] = field(default_factory=dict)
+    def fold(self) -> None:
+        """Turn the fields of maps into one."""
+        fields = [k for k in self.below if k not in (MAP, ITEM)]
+        if len(fields) > MAP_KEYS or MAP in self.below:
+            whole = self.child(MAP)
+            for k in fields:
+                whole.add(self.below.pop(k))
+        for node in self.below.values():
+            node.fold()
 
+    def paths(self, at: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], int]]:
+        yield at, self.kinds
+        for key, node in self.below.items():
+            yield from node.paths((*at, key))
 
-def _kind(x: object) -> str:
-    return {dict: "object", list: "array", str: "string", bool: "boolean", int: "integer" if type(x) is int and abs(x) <= 2**53 else "big", float: "number"}.get(type(x), "null")
 
+_SCALAR = {str: STRING, bool: BOOLEAN, float: NUMBER, type(None): NULL}
 
-def _walk(x: object, path: tuple[str, ...], out: set[tuple[str, str]], objects: tuple[str, ...] = ()) -> None:
-    todo = [(x, path)]
+
+def _see(x: object, node: Node, texts: tuple[str, ...]) -> None:
+    """Take a value into the schema. A stack, since records may be nested to any depth."""
+    todo = [(x, node)]
     while todo:
-        x, path = todo.pop()
-        if isinstance(x, str) and path and path[-1] in objects:
-            try:
-                inner = json.loads(x)
-            except ValueError:
-                inner = None
-            x = inner if isinstance(inner, dict) else x
-        out.add(("\x1f".join(path), _kind(x)))
-        if isinstance(x, dict):
-            todo.extend((v, (*path, k)) for k, v in x.items())
-        elif isinstance(x, list):
-            todo.extend((v, (*path, "[]")) for v in x)
-
-
-def infer_shape(df: DataFrame, doc: str, objects: tuple[str, ...] = ()) -> dict[tuple[str, ...], set[str]]:
-    """The merged schema of a VARIANT column: every path with the kinds of value found there.
-
-    '[]' stands for the elements of a list. Fields in ``objects`` may be JSON text of an object and count
-    as the object in it. Each task sends a path once, so what reaches the driver is
-    the size of the schema (distinct paths), not of the data.
-    """
+        x, node = todo.pop()
+        t = type(x)
+        if t is dict:
+            node.kinds |= OBJECT
+            if len(node.below) > 2 * MAP_KEYS:
+                node.fold()
+            for key, v in x.items():
+                c = node.child(MAP if MAP in node.below else key)
+                tv = type(v)
+                if tv is str and key in texts and v.lstrip()[:1] == "{":
+                    try:
+                        inner = json.loads(v)
+                    except ValueError:
+                        inner = v
+                    v, tv = (inner, dict) if type(inner) is dict else (v, str)
+                if tv is dict or tv is list:
+                    todo.append((v, c))
+                elif tv is int:
+                    c.kinds |= INTEGER if abs(v) <= 2**53 else BIG
+                else:
+                    c.kinds |= _SCALAR[tv]
+        elif t is list:
+            node.kinds |= ARRAY
+            for v in x:
+                todo.append((v, node.child(ITEM) if type(v) is list else node))
+        else:
+            node.kinds |= (INTEGER if abs(x) <= 2**53 else BIG) if t is int else _SCALAR[t]
+
+
+def infer_shape(df: DataFrame, doc: str, texts: tuple[str, ...] = ()) -> Node:
+    """The merged schema of a VARIANT column.
+
+    Fields in ``texts`` may be JSON text of an object and count as the object in it. Each task merges its
+    rows and sends every place once; objects with open key sets are folded into maps, so what reaches
+    the driver is bounded by the schema, not by the data."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[str, str]] = set()
+        root = Node()
         for batch in batches:
-            fresh: set[tuple[str, str]] = set()
             for text in batch.column(0).to_pylist():
-                if text is not None:
-                    _walk(json.loads(text), (), fresh, objects)
-            fresh -= seen
-            seen |= fresh
-            if fresh:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in fresh]), pa.array([b for _, b in fresh])], names=["path", "kind"])
-
-    found = df.where(F.col(doc).isNotNull()).select(F.to_json(doc).alias("t")).mapInArrow(scan, "path string, kind string").distinct()
-    shape: dict[tuple[str, ...], set[str]] = {}
+                _see(json.loads(text), root, texts)
+        root.fold()
+        found = [("\x1f".join(p), k) for p, k in root.paths()]
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([k for _, k in found], pa.int32())], names=["path", "kinds"])
+
+    found = df.where(F.col(doc).isNotNull()).select(F.to_json(doc).alias("t")).mapInArrow(scan, "path string, kinds int").groupBy("path").agg(F.bit_or("kinds").alias("kinds"))
+    root = Node()
     for r in found.toLocalIterator():
-        shape.setdefault(tuple(r.path.split("\x1f")) if r.path else (), set()).add(r.kind)
-    return shape
-
-
-def array_levels(shape: dict[tuple[str, ...], set[str]], known: list[tuple[str, ...]] = ()) -> list[tuple[str, ...]]:
-    """Paths (without '[]') that hold a list somewhere, parents first. ``known`` are lists by contract,
-    even if this input only holds single values there."""
-    paths = {tuple(s for s in p if s != "[]") for p, kinds in shape.items() if "array" in kinds} | set(known)
-    return sorted(paths, key=lambda p: (len(p), p))
-
-
-def child_table(parent: DataFrame, value: str, path: tuple[str, ...], keys: list[str], objects: tuple[str, ...] = ()) -> DataFrame:
-    """Explode one array level below ``parent`` into a table of its own.
-
-    ``keys`` are the surrogate key of the parent row (root key and the ordinals above); the result has
-    the same keys, ``pos`` (ordinal, from 0) and ``value``. A single value is a list of one; null
-    elements and absent or null lists give no row but later elements keep their ordinal. Path steps in
-    ``objects`` may also be JSON text of an object and count as the object in it.
-    """
-    # one step a projection, so that each is evaluated once
-    t = parent.select(*keys, F.col(value).alias("_v"))
-    for step in path:
-        t = t.withColumn("_v", F.try_variant_get("_v", f"$['{step}']", "variant"))
-        if step in objects:
-            t = t.withColumn("_o", as_object(F.col("_v")))
-            text = F.when(F.col("_o").isNull(), F.try_variant_get("_v", "$", "string"))
-            t = t.withColumn("_p", F.try_parse_json(text)).withColumn("_v", F.coalesce("_o", as_object(F.col("_p")))).drop("_o", "_p")
-    t = t.withColumn("_l", F.try_variant_get("_v", "$", "array<variant>"))
-    single = F.when(F.col("_v").isNotNull() & ~F.is_variant_null("_v"), F.array("_v"))
-    out = t.select(*keys, F.posexplode(F.coalesce("_l", single)).alias("pos", "value"))
-    return out.where(~F.coalesce(F.is_variant_null("value"), F.lit(True)))
-
-
-def flatten(
-    df: DataFrame,
-    key: str,
-    doc: str,
-    known: list[tuple[str, ...]] = (),
-    records: list[tuple[str, ...]] = (),
-    objects: tuple[str, ...] = (),
-) -> dict[tuple[str, ...], DataFrame]:
-    """Related flat tables of a VARIANT column, one for each array level of the merged schema.
-
-    The key of a child row is ``key`` and the ordinals of all levels above (``pos1``, ``pos2``, ...), so
-    children join their parent on the common columns. Lists at ``records`` hold objects only; other
-    elements there give no row. An empty input has the ``known`` levels with no rows. A payload that is
-    no object gives no rows anywhere.
-    """
-    levels = [p for p in array_levels(infer_shape(df, doc), known) if p[-1] not in objects]
-    tables: dict[tuple[str, ...], DataFrame] = {}
-    depth: dict[tuple[str, ...], int] = {(): 0}
-    tables[()] = df.select(F.col(key), F.col(doc).alias("value")).where(F.col("value").isNotNull())
-    for path in levels:
-        above = max((p for p in depth if p == path[: len(p)] and p != path), key=len)
-        d = depth[above] + 1
-        keys = [key, *[f"pos{i}" for i in range(1, d)]]
-        rows = child_table(tables[above], "value", path[len(above) :], keys, objects).withColumnRenamed("pos", f"pos{d}")
-        tables[path] = rows.where(as_object(F.col("value")).isNotNull()) if path in records else rows
-        depth[path] = d
-    return tables
-
-
-TYPES = {"string": "string", "integer": "long", "number": "double", "boolean": "boolean"}
-
-
-def table_fields(shape: dict[tuple[str, ...], set[str]], level: tuple[str, ...], levels: list[tuple[str, ...]]) -> dict[tuple[str, ...], str]:
-    """Columns of a level: each scalar path below it outside the ``levels`` further down, with its type by the
-    merged schema; ``variant`` where kinds are mixed or a scalar stands beside an object or a list. A
-    path that only ever holds null is a variant as well."""
-    found: dict[tuple[str, ...], set[str]] = {}
-    for p, kinds in shape.items():
-        names = tuple(s for s in p if s != "[]")
-        if names[: len(level)] != level or p[-1:] == ("[]",) and names != level:
-            continue
-        if any(len(x) > len(level) and names[: len(x)] == x for x in levels):
-            continue
-        # the elements of the level itself may lie under a list or stand alone
-        rest = p
-        for step in level:
-            rest = rest[rest.index(step) + 1 :]
-            while rest and rest[0] == "[]":
-                rest = rest[1:]
-        if "[]" in rest:
-            continue
-        kinds = kinds - {"null"}
-        if kinds and kinds <= {"object", "array"}:
-            continue
-        found.setdefault(rest, set()).update(kinds)
-    kind = lambda k: "double" if k == {"integer", "number"} else TYPES.get(next(iter(k)), "variant") if len(k) == 1 else "variant"
-    return {path: kind(kinds) for path, kinds in sorted(found.items())}
-
-
-def flat_tables(tables: dict[tuple[str, ...], DataFrame], shape: dict[tuple[str, ...], set[str]], objects: tuple[str, ...] = ()) -> dict[tuple[str, ...], DataFrame]:
-    """The levels with a typed column for each scalar path; names are the path joined by '.', ``value``
-    for scalar elements, with a number behind a name that is taken (upper and lower case count as one). Keys and ordinals stay, so children join their parents on them."""
-    out: dict[tuple[str, ...], DataFrame] = {}
-    for level, t in tables.items():
-        keys = [F.col(c) for c in t.columns if c != "value"]
-        columns = []
-        taken = {c.lower() for c in t.columns if c != "value"}
-        for path, kind in table_fields(shape, level, list(tables)).items():
-            name, n = ".".join(path) or "value", 1
-            while name.lower() in taken:
-                n += 1
-                name = f"{'.'.join(path) or 'value'}#{n}"
-            taken.add(name.lower())
-            v = F.col("value")
-            for step in path:
-                v = F.try_variant_get(v, "$['" + step.replace("'", "\\'") + "']", "variant")
-                if step in objects:
-                    v = F.coalesce(as_object(v), as_object(F.try_parse_json(F.try_variant_get(v, "$", "string"))), v)
-            plain = F.when(~F.coalesce(F.is_variant_null(v), F.lit(True)), v)
-            columns.append((plain if kind == "variant" else F.try_variant_get(plain, "$", kind)).alias(name))
-        out[level] = t.select(*keys, *columns)
-    return out
+        node = root
+        for step in r.path.split("\x1f") if r.path else ():
+            node = node.child(step)
+        node.kinds |= r.kinds
+    root.fold()
+    return root
+
+
+def array_levels(shape: Node, known: list[tuple[str, ...]] = (), texts: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
+    """Paths of the places that hold a list somewhere, parents first. ``known`` are lists by contract and
+    count wherever the schema has the place, even if this input only holds single values there. Fields in
+    ``texts`` are objects by contract and no levels. What lies in maps has no fixed place and stays with
+    the map."""
+    return sorted((p for p, kinds in shape.paths() if p and MAP not in p and p[-1] not in texts and (kinds & ARRAY or p in known)), key=lambda p: (len(p), p))
+
+
+def depth(level: tuple[str, ...], levels: list[tuple[str, ...]]) -> int:
+    """How many ordinals a row of a level has."""
+    return sum(level[: len(x)] == x for x in levels)
+
+
+def member(v: Column, key: str) -> Column:
+    """A field of a variant object by its exact name."""
+    if key and "'" not in key and "?" not in key:
+        return F.try_variant_get(v, f"$['{key}']", "variant")
+    return F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), F.lit(key))
+
+
+def _each(v: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is neither absent nor null, evaluated once; else an empty array."""
+    return F.flatten(F.transform(F.filter(F.array(v), lambda x: x.isNotNull() & ~F.is_variant_null(x)), then))
+
+
+def explode_levels(
+    df: DataFrame, key: str, doc: str, shape: Node, levels: list[tuple[str, ...]], records: list[tuple[str, ...]] = (), texts: tuple[str, ...] = (), only: list[tuple[str, ...]] | None = None, values: bool = True,
+) -> DataFrame:
+    """(key, level, pos1, pos2, ...[, value]): the elements of every array level of the schema, in one pass.
+
+    The tree of levels becomes one expression on the record: each level runs over its list and, for each
+    element, over the levels below, so the parent's key and all ordinals above are at hand. ``level`` is
+    the place in ``levels``, unused ordinals are -1. A single value is a list of one; null elements give
+    no row but later ones keep their ordinal. Lists at ``records`` hold objects only; other elements
+    give no row. Fields in ``texts`` may be JSON text of an object. ``only`` names the levels wanted."""
+    wanted = levels if only is None else [x for x in levels if x in only]
+    deepest = max((depth(x, levels) for x in levels), default=1)
+    row = "struct<level:int," + ",".join(f"pos{i + 1}:int" for i in range(deepest)) + (",value:variant>" if values else ">")
+    none = F.array().cast(f"array<{row}>")
+
+    def leads(path: tuple[str, ...]) -> bool:
+        return any(x[: len(path)] == path for x in wanted)
+
+    def fields(v: Column, node: Node, path: tuple[str, ...], pos: list[Column]) -> list[Column]:
+        out = []
+        for k, child in sorted(node.below.items()):
+            at = (*path, k)
+            if k in (MAP, ITEM) or not leads(at):
+                continue
+            below = partial(place, node=child, path=at, pos=pos)
+            if k in texts:
+                text = lambda p: F.coalesce(as_object(p), as_object(F.try_parse_json(F.try_variant_get(p, "$", "string"))))
+                out.append(_each(member(v, k), lambda p: _each(text(p), lambda o: below(o))))  # noqa: B023 - called at once
+            else:
+                out.append(_each(member(v, k), lambda p: below(p)))  # noqa: B023
+        return out
+
+    def place(v: Column, node: Node, path: tuple[str, ...], pos: list[Column]) -> Column:
+        if path in levels:
+            items = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
+            return elements(items, node, path, pos)
+        parts = fields(v, node, path, pos)
+        return F.concat(*parts) if parts else none
+
+    def elements(items: Column, node: Node, path: tuple[str, ...], pos: list[Column]) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            here = [*pos, i]
+            parts = []
+            if path in wanted:
+                ordinals = [*here, *[F.lit(-1)] * (deepest - len(here))]
+                me = F.struct(F.lit(levels.index(path)).alias("level"), *[p.alias(f"pos{n + 1}") for n, p in enumerate(ordinals)], *([x.alias("value")] if values else []))
+                parts.append(F.array(me))
+            parts += fields(x, node, path, here)
+            inner = (*path, ITEM)
+            if ITEM in node.below and leads(inner):
+                parts.append(F.coalesce(elements(F.try_variant_get(x, "$", "array<variant>"), node.below[ITEM], inner, here), none))
+            good = x.isNotNull() & ~F.is_variant_null(x)
+            if path in records:
+                good = good & as_object(x).isNotNull()
+            return F.when(good, F.concat(*parts)).otherwise(none)
+
+        return F.flatten(F.transform(items, one))
+
+    parts = fields(F.col(doc), shape, (), [])
+    rows = F.concat(*parts) if parts else none
+    return df.where(F.col(doc).isNotNull()).select(F.col(key), F.inline(rows.cast(f"array<{row}>") if not values else rows))
+
+
+TYPES = {STRING: "string", INTEGER: "long", NUMBER: "double", INTEGER | NUMBER: "double", BOOLEAN: "boolean"}
+
+
+def table_fields(shape: Node, level: tuple[str, ...], levels: list[tuple[str, ...]]) -> dict[tuple[str, ...], str]:
+    """Columns of a level: each scalar place below it outside the levels further down, with its type by the
+    merged schema; ``variant`` where kinds are mixed, for maps, and where only nulls were found."""
+    node = shape
+    for step in level:
+        node = node.below[step]
+    found: dict[tuple[str, ...], str] = {}
+
+    def visit(n: Node, path: tuple[str, ...]) -> None:
+        kinds = n.kinds & ~(NULL | (ARRAY if not path else 0))
+        if MAP in n.below:
+            found[path] = "variant"
+            return
+        if not kinds or kinds & ~(OBJECT | ARRAY):
+            found[path] = TYPES.get(kinds, "variant")
+        for k, c in n.below.items():
+            if k != ITEM and (*level, *path, k) not in levels:
+                visit(c, (*path, k))
+
+    visit(node, ())
+    if () in found and len(found) > 1 and not node.kinds & ~(OBJECT | ARRAY | NULL):
+        del found[()]
+    return dict(sorted(found.items()))
+
+
+def flat_table(rows: DataFrame, key: str, shape: Node, level: tuple[str, ...], levels: list[tuple[str, ...]], texts: tuple[str, ...] = ()) -> DataFrame:
+    """A level as a table: key, ordinals and a typed column for each scalar place; names are the path joined
+    by '.', ``value`` for scalar elements, with a number behind a name that is taken (upper and lower case
+    count as one). Children join their parents on key and ordinals."""
+    keys = [key, *[f"pos{i + 1}" for i in range(depth(level, levels))]]
+    taken = {k.lower() for k in keys}
+    columns = []
+    for path, kind in table_fields(shape, level, levels).items():
+        name, n = ".".join(path) or "value", 1
+        while name.lower() in taken:
+            n += 1
+            name = f"{'.'.join(path) or 'value'}#{n}"
+        taken.add(name.lower())
+        v = F.col("value")
+        for step in path:
+            v = member(v, step)
+            if step in texts:
+                v = F.coalesce(as_object(v), as_object(F.try_parse_json(F.try_variant_get(v, "$", "string"))), v)
+        plain = F.when(~F.coalesce(F.is_variant_null(v), F.lit(True)), v)
+        columns.append((plain if kind == "variant" else F.try_variant_get(plain, "$", kind)).alias(name))
+    return rows.where(F.col("level") == levels.index(level)).select(*keys, *columns)
 
 
 ENTITIES, RELATIONSHIPS = ("entities",), ("relationships",)
@@ -233,6 +309,8 @@ INPUTS = ("entities", "properties", "input_variables")
 DISAGGREGATIONS = ("entities", "properties", "disaggregations")
 MEMBERS = (*DISAGGREGATIONS, "members")
 KINDS = {ENTITIES: "entity", RELATIONSHIPS: "relationship", PROVENANCE: "provenance", INPUTS: "input_variable", DISAGGREGATIONS: "disaggregation", MEMBERS: "disaggregation_member"}
+TEXTS = ("properties",)
+RECORDS = [ENTITIES, RELATIONSHIPS]
 
 
 def choose_graph(answer: Column) -> Column:
@@ -253,25 +331,46 @@ def payload_graphs(payloads: DataFrame, baseline: bool = False) -> DataFrame:
     return stage(graphs, "payload-graphs")
 
 
-def payload_tables(payloads: DataFrame) -> dict[tuple[str, ...], DataFrame]:
-    """The related tables of all payload graphs, keyed by level."""
-    return flatten(payload_graphs(payloads), "payload_id", "graph", known=list(KINDS), records=[ENTITIES, RELATIONSHIPS], objects=("properties",))
+@dataclass
+class Payloads:
+    """The graphs of all payloads with their merged schema and its array levels."""
+
+    graphs: DataFrame
+    shape: Node
+    levels: list[tuple[str, ...]]
+
+    def rows(self, only: list[tuple[str, ...]] | None = None, values: bool = True) -> DataFrame:
+        return explode_levels(self.graphs, "payload_id", "graph", self.shape, self.levels, RECORDS, TEXTS, only, values)
+
+    def table(self, level: tuple[str, ...]) -> DataFrame:
+        """The flat table of a level; of a level of the contract that this input lacks, one without rows."""
+        if level not in self.levels:
+            above = [x for x in KINDS if level[: len(x)] == x]
+            return self.graphs.limit(0).select("payload_id", *[F.lit(-1).alias(f"pos{i + 1}") for i in range(len(above))])
+        return flat_table(self.rows([level]), "payload_id", self.shape, level, self.levels, TEXTS)
 
 
-def payload_flat(payloads: DataFrame) -> dict[tuple[str, ...], DataFrame]:
-    """The related flat tables of all payload graphs with the fields of the merged schema as columns."""
+def read_payloads(payloads: DataFrame) -> Payloads:
+    """Read and choose the graphs, infer their merged schema, and take its array levels."""
     graphs = payload_graphs(payloads)
-    tables = flatten(graphs, "payload_id", "graph", known=list(KINDS), records=[ENTITIES, RELATIONSHIPS], objects=("properties",))
-    return flat_tables(tables, infer_shape(graphs, "graph", ("properties",)), ("properties",))
+    shape = infer_shape(graphs, "graph", TEXTS)
+    return Payloads(graphs, shape, array_levels(shape, list(KINDS), TEXTS))
 
 
 def payload_rows(payloads: DataFrame) -> DataFrame:
-    """(payload_id, kind, pos1, pos2, pos3) of the six kinds of nested rows; unused positions are -1."""
-    tables = payload_tables(payloads)
-    out = None
-    for path, kind in KINDS.items():
-        t = tables[path]
-        pos = [F.col(f"pos{i}") if f"pos{i}" in t.columns else F.lit(-1).alias(f"pos{i}") for i in (1, 2, 3)]
-        rows = t.select("payload_id", F.lit(kind).alias("kind"), *[p.cast("int").alias(f"pos{i}") for i, p in zip((1, 2, 3), pos)])
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """(payload_id, kind, pos1, pos2, pos3) of the six kinds of nested rows; unused positions are -1.
+
+    Null, blank, broken and failed payloads give no rows; an input without any graph has none at all."""
+    p = read_payloads(payloads)
+    rows = p.rows(list(KINDS), values=False)
+    kind = F.coalesce(*[F.when(F.col("level") == i, F.lit(KINDS[x])) for i, x in enumerate(p.levels) if x in KINDS], F.lit(None).cast("string"))
+    pos = [F.col(f"pos{i}") if f"pos{i}" in rows.columns else F.lit(-1).alias(f"pos{i}") for i in (1, 2, 3)]
+    return rows.select("payload_id", kind.alias("kind"), *pos)
+
+
+def level_counts(payloads: DataFrame) -> DataFrame:
+    """(level, n_rows, n_payloads) of every array level of the merged schema, by its path."""
+    p = read_payloads(payloads)
+    name = F.coalesce(*[F.when(F.col("level") == i, F.lit(".".join(x))) for i, x in enumerate(p.levels)], F.lit(None).cast("string"))
+    per = p.rows(values=False).groupBy("level", "payload_id").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy(name.alias("level")).agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_payloads"))

@@ -366,7 +366,7 @@ par AS (SELECT doc_id, object AS node, arg_max(subject, (pos, rel_id)) AS parent
 tops AS (SELECT doc_id, CASE WHEN a THEN 26 ELSE 0 END AS y1, CASE WHEN b THEN 26 ELSE 0 END AS y2, CASE WHEN c THEN 26 ELSE 0 END AS y3, CASE WHEN m THEN 26 ELSE 0 END AS y4, coalesce(t.rows, 0) + CASE WHEN coalesce(t.alone, 0) > 0 THEN 1 ELSE 0 END AS tall
   FROM (SELECT doc_id, bool_or(coalesce(band = 'ReportingFramework', false)) AS a, bool_or(coalesce(band = 'Industry', false)) AS b, bool_or(coalesce(band = 'Category', false)) AS c, bool_or(coalesce(band = 'Model', false)) AS m FROM nd GROUP BY 1) LEFT JOIN met_t t USING (doc_id)),
 al AS (SELECT doc_id, id, band, x, down FROM met UNION ALL SELECT doc_id, id, band, x, down FROM inp UNION ALL SELECT doc_id, id, band, x, 0 FROM (SELECT * FROM fw UNION ALL SELECT * FROM ind UNION ALL SELECT * FROM cat UNION ALL SELECT * FROM mod))
-SELECT al.doc_id, id, band, x::DOUBLE AS x, -(CASE band WHEN 'ReportingFramework' THEN 0 WHEN 'Industry' THEN y1 WHEN 'Category' THEN y1 + y2 WHEN 'Model' THEN y1 + y2 + y3 + tall * 20 WHEN 'InputMetric' THEN y1 + y2 + y3 + tall * 20 + y4 ELSE y1 + y2 + y3 END + down * 20)::DOUBLE AS y
+SELECT al.doc_id, id, band, x::DOUBLE AS x, 0.0 - (CASE band WHEN 'ReportingFramework' THEN 0 WHEN 'Industry' THEN y1 WHEN 'Category' THEN y1 + y2 WHEN 'Model' THEN y1 + y2 + y3 + tall * 20 WHEN 'InputMetric' THEN y1 + y2 + y3 + tall * 20 + y4 ELSE y1 + y2 + y3 END + down * 20)::DOUBLE AS y
 FROM al JOIN tops USING (doc_id)"""
 
 

@@ -40,12 +40,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_levels(spark: SparkSession, d: str) -> DataFrame:
-    rows = nested.payload_rows(load(spark, d, "kg_payloads"))
-    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("payload_id").alias("n_payloads"))
+    return nested.level_counts(load(spark, d, "kg_payloads"))
 
 
 def _fields(spark: SparkSession, d: str, level: tuple[str, ...]) -> DataFrame:
-    return nested.payload_flat(load(spark, d, "kg_payloads"))[level]
+    return nested.read_payloads(load(spark, d, "kg_payloads")).table(level)
 
 
 def p5_entities(spark: SparkSession, d: str) -> DataFrame:
@@ -146,10 +145,26 @@ pr AS (SELECT payload_id, pos1, CASE json_type(x) WHEN 'OBJECT' THEN x WHEN 'VAR
 {_level("m", "d", "payload_id, pos1, pos2", "CASE WHEN json_type(v) = 'OBJECT' THEN json_extract(v, '$.members') END", "pos3")},
 found AS (SELECT payload_id, 'entity' AS kind, pos1, -1 AS pos2, -1 AS pos3 FROM e UNION ALL SELECT payload_id, 'relationship', pos1, -1, -1 FROM r UNION ALL SELECT payload_id, 'provenance', pos1, pos2, -1 FROM p
   UNION ALL SELECT payload_id, 'input_variable', pos1, pos2, -1 FROM i UNION ALL SELECT payload_id, 'disaggregation', pos1, pos2, -1 FROM d UNION ALL SELECT payload_id, 'disaggregation_member', pos1, pos2, pos3 FROM m)"""
+# levels that the contract does not name; one is a level if it holds a list anywhere
+_G1 = """json_extract(g, '$.experiments."1_ontology_guided".{0}')"""
+_OTHERS = f"""{_level("q", "gr", "payload_id", "json_extract(g, '$.qa_log')", "pos1")},
+{_level("xr", "gr", "payload_id", _G1.format("relationships"), "pos1")},
+{_level("xe", "gr", "payload_id", _G1.format("entities"), "pos1")},
+{_level("xp", "xe", "payload_id, pos1", "json_extract(v, '$.provenance')", "pos2")},
+xpr AS (SELECT payload_id, pos1, CASE json_type(x) WHEN 'OBJECT' THEN x WHEN 'VARCHAR' THEN CASE WHEN json_valid(x ->> '$') THEN CASE WHEN json_type(x ->> '$') = 'OBJECT' THEN CAST(x ->> '$' AS JSON) END END END AS x
+  FROM (SELECT payload_id, pos1, json_extract(v, '$.properties') AS x FROM xe)),
+{_level("xi", "xpr", "payload_id, pos1", "json_extract(x, '$.input_variables')", "pos2")},
+{_level("xd", "xpr", "payload_id, pos1", "json_extract(x, '$.disaggregations')", "pos2")},
+{_level("xm", "xd", "payload_id, pos1, pos2", "CASE WHEN json_type(v) = 'OBJECT' THEN json_extract(v, '$.members') END", "pos3")},
+others AS ({" UNION ALL ".join(f"SELECT payload_id, '{name}' AS level FROM {view} WHERE (SELECT bool_or(json_type({value}) = 'ARRAY') FROM {source})" for name, view, value, source in (
+    ("qa_log", "q", "json_extract(g, '$.qa_log')", "gr"), ("experiments.1_ontology_guided.relationships", "xr", _G1.format("relationships"), "gr"), ("experiments.1_ontology_guided.entities", "xe", _G1.format("entities"), "gr"),
+    ("experiments.1_ontology_guided.entities.provenance", "xp", "json_extract(v, '$.provenance')", "xe"), ("experiments.1_ontology_guided.entities.properties.input_variables", "xi", "json_extract(x, '$.input_variables')", "xpr"),
+    ("experiments.1_ontology_guided.entities.properties.disaggregations", "xd", "json_extract(x, '$.disaggregations')", "xpr"), ("experiments.1_ontology_guided.entities.properties.disaggregations.members", "xm", "json_extract(v, '$.members')", "xd"),
+))})"""
 
 ORACLE = {
     "p5_found": f"WITH {_NESTED} SELECT * FROM found",
-    "p5_levels": f"WITH {_NESTED} SELECT kind, count(*) AS n_rows, count(DISTINCT payload_id) AS n_payloads FROM found GROUP BY kind",
+    "p5_levels": f"WITH {_NESTED}, {_OTHERS} SELECT level, count(*) AS n_rows, count(DISTINCT payload_id) AS n_payloads FROM (SELECT payload_id, CASE kind WHEN 'entity' THEN 'entities' WHEN 'relationship' THEN 'relationships' WHEN 'provenance' THEN 'entities.provenance' WHEN 'input_variable' THEN 'entities.properties.input_variables' WHEN 'disaggregation' THEN 'entities.properties.disaggregations' ELSE 'entities.properties.disaggregations.members' END AS level FROM found UNION ALL SELECT payload_id, level FROM others) GROUP BY level",
     "p2_found": f"WITH RECURSIVE {_LINKS} SELECT n.doc_id, n.node AS node_id, coalesce(w.root, '') AS root_id, coalesce(w.depth, -1)::INTEGER AS depth FROM nodes n LEFT JOIN walk w USING (doc_id, node)",
     "p2_paths": f"WITH RECURSIVE {_LINKS} SELECT n.doc_id, n.node AS node_id, coalesce(w.depth, -1)::INTEGER AS depth, w.path FROM nodes n LEFT JOIN walk w USING (doc_id, node)",
     "p2_descendants": f"""WITH RECURSIVE {_LINKS}, up AS (SELECT doc_id, depth, string_split(path, ' > ') AS p FROM walk),

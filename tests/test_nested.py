@@ -1,8 +1,9 @@
 import json
 
-from tessella.operators.nested import infer_shape, payload_rows, payload_tables, read_answers
+from tessella.operators import nested
+from tessella.operators.nested import payload_rows
 
-SCHEMA = "payload_id long, payload string, pos1 int, value string"
+SCHEMA = "payload_id long, doc_id string, payload string, pos1 int, value string"
 GRAPH = {
     "entities": [
         None, "text", {"id": "a", "provenance": [{"s": 1}, None, {"s": 2}], "properties": json.dumps({"input_variables": "x"})},
@@ -20,7 +21,7 @@ ROWS = {
 
 
 def frame(spark, payloads):
-    return spark.createDataFrame([(i, p, 7, "clash") for i, p in enumerate(payloads)], SCHEMA)
+    return spark.createDataFrame([(i, "d", p, 7, "clash") for i, p in enumerate(payloads)], SCHEMA)
 
 
 def test_all_levels_and_envelopes(spark):
@@ -42,17 +43,43 @@ def test_unreadable_and_graphless(spark):
 
 
 def test_shape_and_keys(spark):
-    v = read_answers(frame(spark, [json.dumps(GRAPH)]), "payload", "v")
-    shape = infer_shape(v, "v")
-    assert shape[("entities",)] == {"array"} and shape[("entities", "[]")] == {"null", "string", "object"}
-    tables = payload_tables(frame(spark, [json.dumps(GRAPH)]))
-    parents = {(r.payload_id, r.pos1) for r in tables[("entities",)].collect()}
-    assert {(r.payload_id, r.pos1) for r in tables[("entities", "provenance")].collect()} <= parents
+    p = nested.read_payloads(frame(spark, [json.dumps(GRAPH)]))
+    e = p.shape.below["entities"]
+    assert e.kinds == nested.ARRAY | nested.OBJECT | nested.STRING | nested.NULL and e.below["id"].kinds == nested.STRING
+    assert p.shape.below["relationships"].kinds == nested.OBJECT and ("relationships",) in p.levels
+    parents = {(r.payload_id, r.pos1) for r in p.table(nested.ENTITIES).collect()}
+    assert {(r.payload_id, r.pos1) for r in p.table(nested.PROVENANCE).collect()} <= parents
 
 
-def test_flat_tables_have_the_fields_as_typed_columns(spark):
-    from tessella.operators import nested
+def test_the_schema_says_what_is_a_level(spark):
+    """A list that no contract names, lists in lists, odd names, and a place that only ever holds single values."""
+    g = {"entities": [{"id": "a", "tags": ["x", None, ["y", ["z"]]], "it's": {"odd?": [{"v": 1}]}, "note": {"one": 1}}], "log": {"steps": [1, 2]}}
+    p = nested.read_payloads(frame(spark, [json.dumps(g)]))
+    assert p.levels == [("entities",), ("entities", "tags"), ("log", "steps"), ("entities", "it's", "odd?"), ("entities", "tags", "[]"), ("entities", "tags", "[]", "[]")]
+    got = {(p.levels[r.level], r.pos1, r.pos2, r.pos3, r.pos4) for r in p.rows(values=False).collect()}
+    assert got == {
+        (("entities",), 0, -1, -1, -1), (("entities", "tags"), 0, 0, -1, -1), (("entities", "tags"), 0, 2, -1, -1), (("entities", "tags", "[]"), 0, 2, 0, -1), (("entities", "tags", "[]"), 0, 2, 1, -1),
+        (("entities", "tags", "[]", "[]"), 0, 2, 1, 0), (("entities", "it's", "odd?"), 0, 0, -1, -1), (("log", "steps"), 0, -1, -1, -1), (("log", "steps"), 1, -1, -1, -1),
+    }
+    assert [r.v for r in p.table(("entities", "it's", "odd?")).collect()] == [1] and [r["note.one"] for r in p.table(("entities",)).select("`note.one`").collect()] == [1]
+    counts = {r.level: (r.n_rows, r.n_payloads) for r in nested.level_counts(frame(spark, [json.dumps(g)])).collect()}
+    assert counts["log.steps"] == (2, 1) and counts["entities.tags.[]"] == (2, 1)
+
+
+def test_without_a_schema_there_are_no_rows(spark, monkeypatch):
+    monkeypatch.setattr(nested, "infer_shape", lambda *a: nested.Node())
+    assert payload_rows(frame(spark, [json.dumps(GRAPH)])).count() == 0
 
+
+def test_open_key_sets_are_one_map(spark):
+    many = [json.dumps({"entities": [{"id": "a", "by": {f"k{i}_{j}": i for j in range(300)}}]}) for i in range(5)]
+    p = nested.read_payloads(frame(spark, many).repartition(3))
+    assert list(p.shape.below["entities"].below["by"].below) == [nested.MAP]
+    t = p.table(nested.ENTITIES)
+    assert dict(t.dtypes)["by"] == "variant" and t.count() == 5
+
+
+def test_flat_tables_have_the_fields_as_typed_columns(spark):
     g = {
         "entities": [
             {"id": "a", "rank": 1, "ok": True, "mixed": 1, "properties": json.dumps({"unit": "t", "deep": {"x": 2.5}}), "provenance": [{"s": 1}, {"s": 2, "p": "q"}]},
@@ -60,12 +87,13 @@ def test_flat_tables_have_the_fields_as_typed_columns(spark):
         ],
         "relationships": [{"subject": "a", "object": "b"}],
     }
-    t = nested.payload_flat(frame(spark, [json.dumps(g)]))
-    e = t[nested.ENTITIES]
+    p = nested.read_payloads(frame(spark, [json.dumps(g)]))
+    e = p.table(nested.ENTITIES)
     kinds = dict(e.dtypes)
     assert (kinds["id"], kinds["rank"], kinds["ok"], kinds["mixed"], kinds["properties.deep.x"]) == ("string", "bigint", "boolean", "variant", "double")
     got = {r["id"]: (r["pos1"], r["rank"], r["ok"], r["properties.unit"], r["properties.deep.x"]) for r in e.drop("mixed").collect()}
     assert got == {"a": (0, 1.0, True, "t", 2.5), "b": (1, None, None, "kg", None)}
-    assert {(r.pos1, r.pos2, r.s, r.p) for r in t[nested.PROVENANCE].collect()} == {(0, 0, 1.0, None), (0, 1, 2.0, "q")}
-    assert {(r.pos1, r.pos2, r.value) for r in t[nested.INPUTS].collect()} == {(1, 0, "u"), (1, 1, "w")}
-    assert {(r.subject, r.object) for r in t[nested.RELATIONSHIPS].collect()} == {("a", "b")}
+    assert {(r.pos1, r.pos2, r.s, r.p) for r in p.table(nested.PROVENANCE).collect()} == {(0, 0, 1.0, None), (0, 1, 2.0, "q")}
+    assert {(r.pos1, r.pos2, r.value) for r in p.table(nested.INPUTS).collect()} == {(1, 0, "u"), (1, 1, "w")}
+    assert {(r.subject, r.object) for r in p.table(nested.RELATIONSHIPS).collect()} == {("a", "b")}
+    assert p.table(nested.MEMBERS).count() == 0
