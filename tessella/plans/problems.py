@@ -27,12 +27,12 @@ def p2_closure(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    state = orphans.OrphanState.first(load(spark, d, "kg_entities"), load(spark, d, "kg_relationships"))
+    state, _ = orphans.replay(load(spark, d, "kg_entities"), load(spark, d, "kg_relationships"))
     return state.open_refs().select("rel_id", "endpoint")
 
 
 def p4_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.OrphanState.first(load(spark, d, "kg_entities"), load(spark, d, "kg_relationships")).snapshot()
+    return orphans.snapshots(load(spark, d, "kg_relationships"), load(spark, d, "kg_entities"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -175,8 +175,15 @@ SELECT doc_id, node_id, (count(*) - 1)::BIGINT AS n_descendants, max(depth - lvl
   UNION ALL SELECT b.doc_id, b.ancestor_id, l.node, b.distance + 1 FROM below b JOIN links l ON l.doc_id IS NOT DISTINCT FROM b.doc_id AND l.parent = b.node_id)
 SELECT doc_id, ancestor_id, node_id, distance::INTEGER AS distance FROM below""",
     "p4_found": f"WITH {_REFS} SELECT rel_id, endpoint FROM probed WHERE status <> 'resolved'",
-    "p4_snapshot": f"""WITH {_REFS} SELECT endpoint, strftime(ingested_at, '%Y-%m') AS period, count(*) FILTER (status = 'missing') AS missing,
-count(*) FILTER (status = 'late') AS late, count(*) FILTER (status = 'deleted') AS deleted, count(*) AS "references" FROM probed GROUP BY ALL""",
+    # the same as if each period were the last one
+    "p4_snapshot": """WITH ends AS (SELECT rel_id, 'subject' AS endpoint, doc_id, subject AS ref_id, ingested_at FROM kg_relationships UNION ALL SELECT rel_id, 'object', doc_id, object, ingested_at FROM kg_relationships),
+refs AS (SELECT *, date_trunc('quarter', ingested_at) AS q FROM ends WHERE ref_id IS NOT NULL AND trim(ref_id) <> ''),
+ents AS (SELECT *, date_trunc('quarter', ingested_at) AS q FROM kg_entities WHERE id IS NOT NULL),
+cuts AS (SELECT DISTINCT q FROM (SELECT date_trunc('quarter', ingested_at) AS q FROM kg_entities UNION ALL SELECT date_trunc('quarter', ingested_at) FROM kg_relationships)),
+parents AS (SELECT c.q, doc_id, id AS ref_id, min(ingested_at) FILTER (op = 'upsert') AS first_upsert, arg_max(op, (ingested_at, rec_id)) AS last_op FROM cuts c JOIN ents e ON e.q <= c.q GROUP BY ALL),
+probed AS (SELECT c.q, r.endpoint, r.ingested_at, CASE WHEN p.first_upsert IS NULL THEN 'missing' WHEN p.last_op = 'delete' THEN 'deleted' WHEN p.first_upsert <= r.ingested_at THEN 'resolved' ELSE 'late' END AS status
+  FROM cuts c JOIN refs r ON r.q <= c.q LEFT JOIN parents p ON p.q = c.q AND p.doc_id = r.doc_id AND p.ref_id = r.ref_id)
+SELECT strftime(q, '%Y-%m-%d') AS as_of, endpoint, strftime(ingested_at, '%Y-%m') AS period, count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (status = 'late') AS late, count(*) FILTER (status = 'deleted') AS deleted, count(*) AS "references" FROM probed GROUP BY ALL""",
     "p7_found": f"WITH {_SWEEP} SELECT * FROM spans",
     "p7_totals": f"WITH {_SWEEP} SELECT doc_id, run_id, kind, count(*) AS n, sum(page_to::BIGINT - page_from + 1)::BIGINT AS pages FROM spans GROUP BY ALL",
 }

@@ -59,28 +59,31 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stage(df: DataFrame, label: str, partition_rows: int | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder, removed with the session at the latest."""
     ship(spark)
     path = f"{shared_root(spark)}/tessella/{label}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_rows:
-        writer = writer.option("maxRecordsPerFile", partition_rows)
-    writer.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Delete the files of a staged table that no later plan reads."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete files of the shared folder that no later plan reads."""
+    for path in paths:
         if "/tessella/" in path:
-            _remove(df.sparkSession, path)
+            _remove(spark, path)
 
 
-def null_safe(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
+def drop_staged(df: DataFrame) -> None:
+    """Delete the files of a staged table that no later plan reads."""
+    discard(df.sparkSession, sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()}))
 
 
 def hot_join(
