@@ -324,11 +324,12 @@ def choose_graph(answer: Column) -> Column:
 def payload_graphs(payloads: DataFrame, baseline: bool = False) -> DataFrame:
     """(payload_id, doc_id, graph) of every payload that holds one, or only of those whose graph comes from the
     baseline experiment."""
-    read = read_answers(payloads, "payload", "answer").select("payload_id", "doc_id", "answer")
-    if baseline:
-        read = read.where(F.try_variant_get("answer", "$.experiments['2_baseline_llm']", "variant").isNotNull())
-    graphs = read.select("payload_id", "doc_id", choose_graph(F.col("answer")).alias("graph")).where("graph is not null")
-    return stage(graphs, "payload-graphs")
+    # no filter before the write: it would be pushed below and read every payload twice
+    read = read_answers(payloads, "payload", "answer")
+    named = F.try_variant_get("answer", "$.experiments['2_baseline_llm']", "variant").isNotNull()
+    graphs = stage(read.select("payload_id", "doc_id", choose_graph(F.col("answer")).alias("graph"), named.alias("_baseline")), "payload-graphs")
+    kept = graphs.where("graph is not null and _baseline") if baseline else graphs.where("graph is not null")
+    return kept.drop("_baseline")
 
 
 @dataclass
