@@ -76,7 +76,7 @@ class OrphanState:
         """Write buckets anew; a bucket with a hot key is cut into several files by the rebalancing."""
         path = fresh_path(self.spark, label)
         df.select("*", self._bucket()).hint("rebalance", "bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(path)
-        held = {r[0] for r in self.spark.read.parquet(path).select("bucket").distinct().collect()}
+        held = {r[0] for r in self.spark.read.schema("doc_id string, bucket int").parquet(path).select("bucket").distinct().collect()}
         return {b: f"{path}/bucket={b}" for b in buckets if b in held}
 
     def advance(self, entities: DataFrame, rels: DataFrame) -> "OrphanState":
@@ -131,7 +131,7 @@ def replay(entities: DataFrame, rels: DataFrame, every: str = "quarter", snapsho
     found: dict[str, set[str]] = {}
     for name, df in sources.items():
         df.select("*", period).write.option("compression", "zstd").partitionBy("batch").parquet(paths[name])
-        found[name] = {r[0] for r in spark.read.schema(f"rec_id bigint, batch string").parquet(paths[name]).select("batch").distinct().collect()}
+        found[name] = {r[0] for r in spark.read.schema("rec_id bigint, batch string").parquet(paths[name]).select("batch").distinct().collect()}
 
     def part(name: str, batch: str) -> DataFrame:
         df = sources[name]
