@@ -19,7 +19,7 @@ def p2_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.descendants(hierarchy.hierarchy(load(spark, d, "kg_relationships"), paths=True))
+    return hierarchy.descendants(load(spark, d, "kg_relationships"))
 
 
 def p2_closure(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tessella.operators.hierarchy import closure, descendants, hierarchy
 
 SCHEMA = "rel_id long, doc_id string, subject string, predicate string, object string, depth int, path string"
@@ -63,7 +65,8 @@ def test_paths_and_descendants(spark):
     for size in (100, 1):
         tree = hierarchy(spark.createDataFrame(rows, SCHEMA), size, paths=True)
         assert {r.node_id: r.path for r in tree.collect()} == {"a": ["a"], "b": ["a", "b"], "c": ["a", "b", "c"], "e": ["a", "b", "e"], "r": None, "s": None}
-        assert {(r.node_id, r.n_descendants, r.height) for r in descendants(tree).collect()} == {("a", 3, 2), ("b", 2, 1), ("c", 0, 0), ("e", 0, 0)}
+        below = descendants(spark.createDataFrame(rows, SCHEMA), size)
+        assert {(r.node_id, r.n_descendants, r.height) for r in below.collect()} == {("a", 3, 2), ("b", 2, 1), ("c", 0, 0), ("e", 0, 0)}
         assert {(r.ancestor_id, r.node_id, r.distance) for r in closure(tree).collect()} == {("a", "b", 1), ("a", "c", 2), ("a", "e", 2), ("b", "c", 1), ("b", "e", 1)}
 
 
@@ -75,3 +78,29 @@ def test_registered_closure_lists_every_descendant(spark, tmp_path):
     got = sorted(tuple(r) for r in catalog.queries()["p2_closure"](spark, str(tmp_path)).collect())
     assert got == [("d", "a", "b", 1), ("d", "a", "c", 2), ("d", "a", "e", 2), ("d", "b", "c", 1), ("d", "b", "e", 1), ("x", "b", "a", 1)]
     assert "p2_closure" in catalog.oracle_sql()
+
+
+def test_descendants_of_random_forests(spark):
+    rng = random.Random(8)
+    rows = forest(rng, 150)
+    tree = brute(rows)
+    parent = {}
+    for _, doc, s, p, o, *_ in rows:
+        if p and p.lower().replace("-", "") in ("consistof", "include"):
+            parent[doc, o] = min(parent.get((doc, o), s), s)
+    want = {(d, n): [0, 0] for d, n, root, depth in tree if depth >= 0}
+    for d, n in list(want):
+        x, k = (d, n), 0
+        while x in parent:
+            x, k = (x[0], parent[x]), k + 1
+            want[x] = [want[x][0] + 1, max(want[x][1], k)]
+    for size in (1000, 40, 12):
+        got = {(r.doc_id, r.node_id): [r.n_descendants, r.height] for r in descendants(spark.createDataFrame(rows, SCHEMA), size).collect()}
+        assert got == want
+
+
+def test_a_very_deep_chain_is_many_fragments(spark):
+    n = 200_000
+    rows = spark.range(n).selectExpr("id AS rel_id", "'d' AS doc_id", "concat('c', id) AS subject", "'Include' AS predicate", "concat('c', id + 1) AS object")
+    got = hierarchy(rows, 30_000).agg(F.max("depth"), F.sum("depth"), F.countDistinct("root_id")).first()
+    assert tuple(got) == (n, n * (n + 1) // 2, 1)
