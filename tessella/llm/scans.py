@@ -1,4 +1,11 @@
-"""Repair of text from scanned pages: furniture, broken words and misread characters."""
+"""Repair of text from scanned pages: furniture, broken words and misread characters.
+
+Nothing here knows a list of confusions or the wording of a header. How characters are misread is
+estimated from the corpus' own pairs of rare and frequent words that differ in one place; what a running
+header looks like is learnt from lines that come again in a document and cut a sentence in two. All
+counts and all verdicts are tables keyed by word, by line or by document, so no task or driver holds
+the vocabulary.
+"""
 
 from __future__ import annotations
 
@@ -6,27 +13,26 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.session import stage
+from tessella.session import hot_join, stage
 
 MARKS = "-‐­¬"
-# Usual confusions of character recognition, as read -> as printed.
-CONFUSIONS = [
-    ("0", "o"), ("1", "l"), ("1", "i"), ("2", "z"), ("3", "e"), ("4", "a"), ("5", "s"), ("6", "b"), ("7", "t"), ("8", "b"), ("9", "g"), ("@", "a"),
-    ("(", "c"), ("|", "l"), ("!", "l"), ("$", "s"), ("c", "e"), ("f", "t"), ("b", "h"), ("v", "y"), ("h", "li"), ("rn", "m"), ("m", "rn"),
-    ("ri", "n"), ("ii", "u"), ("vv", "w"), ("cl", "d"), ("d", "cl"), ("nn", "m"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"),
-]
-
-SHARE = 2e-6
-# A plain word is only taken for another one that occurs this many times as often.
-RATIO = 15
-TRAIN_WORDS = 3_000
+# Words that the editor is trained on, and pairs of real words that it must keep apart.
+TRAIN_WORDS = 4_000
+TRAIN_PAIRS = 12_000
+# Frequent words known to be clean are passed over without a lookup; their number decides nothing else.
+CLEAN_WORDS = 50_000
+# A pair of words this far apart in frequency counts as noise when operations are counted.
+APART = 20
+# What a misreading is weighed against: only words that occur this often can stand behind one.
+LEAST_PRINTED = 3
 _CORE_L, _CORE_R = "\"'“”‘’«»[{<", ".,;:!?\"'“”‘’«»]}>"
 
 
@@ -42,6 +48,11 @@ def core(token: str) -> str:
     return t.strip(_CORE_L + _CORE_R).lower()
 
 
+def wordlike(w: str) -> bool:
+    """Whether a token has two letters at least and is no address."""
+    return sum(ch.isalpha() for ch in w) >= 2 and not w.startswith(("www.", "http:", "https:"))
+
+
 _BROKEN = re.compile(rf"[{MARKS}][ \t]*\n\s*\S+")
 FLUSH_WORDS = 200_000
 
@@ -57,7 +68,7 @@ def word_counts(segments: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             words: Counter[str] = Counter()
             for raw, n in seen.items():
-                if raw[-1] != "\0" and (w := core(raw)) and not w.isdigit():
+                if raw[-1] != "\0" and wordlike(w := core(raw)):
                     words[w] += n
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
@@ -74,17 +85,6 @@ def word_counts(segments: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def lexicon(segments: DataFrame, share: float = SHARE) -> dict[str, int]:
-    """Words that make up at least ``share`` of all words (and occur twice), with their counts.
-
-    At most ``1 / share`` words can do so, so the lexicon is bounded whatever the corpus; a word below
-    the share is treated as seen once."""
-    counts = stage(word_counts(segments), "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    kept = counts.where(F.col("n") >= max(2, share * total))
-    return {r.word: r.n for r in kept.toLocalIterator()}
-
-
 class Perceptron:
     """A binary averaged perceptron over named features."""
 
@@ -107,283 +107,408 @@ class Perceptron:
                 self._at[f] = self.t
                 self.w[f] += 1.0 if label else -1.0
 
-    def average(self) -> "Perceptron":
+    def fit(self, examples: list[tuple[list[str], bool]], rounds: int = 5, margin: float = 1.0, seed: int = 7) -> "Perceptron":
+        rng = random.Random(seed)
+        for _ in range(rounds):
+            rng.shuffle(examples)
+            for feats, label in examples:
+                self.learn(feats, label, margin)
         for f in self.w:
             self._sum[f] += (self.t - self._at[f]) * self.w[f]
-            self._at[f] = self.t
         self.w = {f: s / max(1, self.t) for f, s in self._sum.items() if s}
         self._sum, self._at = defaultdict(float), defaultdict(int)
         return self
 
 
-def _bucket(x: float) -> str:
-    return str(max(-3, min(8, math.floor(math.log2(x))))) if x > 0 else "-"
+def _log(x: float) -> int:
+    return max(-4, min(12, math.floor(math.log2(x)))) if x > 0 else -9
+
+
+# -- words --------------------------------------------------------------------------------------------
+
+
+def difference(w: str, c: str) -> tuple[int, str, str]:
+    """(place, read, printed): the one stretch in which two words differ."""
+    i, most = 0, min(len(w), len(c))
+    while i < most and w[i] == c[i]:
+        i += 1
+    j = 0
+    while j < most - i and w[len(w) - 1 - j] == c[len(c) - 1 - j]:
+        j += 1
+    return i, w[i : len(w) - j], c[i : len(c) - j]
+
+
+def gaps(w: str, lengths: tuple[int, ...] = (0, 1, 2)) -> Iterator[tuple[str, int]]:
+    """The word with each stretch of up to two characters left open: words that share one differ there at most."""
+    for k in lengths:
+        for i in range(len(w) - k + 1):
+            yield f"{w[:i]}\0{w[i + k :]}", k
 
 
-def _odd(seg: str) -> bool:
-    return not seg.isalpha() or seg in "ﬀﬁﬂ"
+def near_words(words: DataFrame, counts: DataFrame) -> DataFrame:
+    """(word, n, printed, m): for each word the more frequent words that differ by one operation.
 
+    An operation turns up to two characters read into up to two printed, three together (a replacement,
+    insertion, deletion, or one of them for two). Printed words are of letters, with hyphens and
+    apostrophes; any letter may stand for any other. Words meet by the stretch they leave open, so only
+    words that have one in common ever form a pair."""
 
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(key, k, w, n) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if len(w) > 2 for key, k in gaps(w)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.int8(), pa.string(), pa.int64()))], names=["key", "k", "word", "n"])
+
+    schema = "key string, k byte, word string, n long"
+    printed = counts.where(F.col("n") >= LEAST_PRINTED).where(F.regexp_like("word", F.lit(r"^\p{L}[\p{L}'’-]*\p{L}$")))
+    a = words.select("word", "n").mapInArrow(keys, schema)
+    b = printed.select("word", "n").mapInArrow(keys, schema).select("key", F.col("k").alias("l"), F.col("word").alias("printed"), F.col("n").alias("m"))
+    pairs = a.join(b, "key").where((F.col("m") > F.col("n")) & (F.col("k") + F.col("l") <= 3) & (F.col("word") != F.col("printed")))
+    return pairs.select("word", "n", "printed", "m").distinct()
+
+
+def trigrams(w: str) -> list[str]:
+    t = f"^{w}$"
+    return [t[i : i + 3] for i in range(len(t) - 2)]
+
+
+def skeleton(w: str) -> str:
+    """The classes of a word's characters, runs as one: letters a, digits 9, others as they are."""
+    s = re.sub(r"[^\W\d_]+", "a", w)
+    return re.sub(r"\d+", "9", s)[:8]
+
+
+def _class(x: str) -> str:
+    return "".join("a" if ch.isalpha() and ch.isascii() else "9" if ch.isdigit() else "A" if ch.isalpha() else "#" for ch in x)
+
+
+@dataclass
 class Editor:
-    """The character editor: replace, delete, insert and line-join operations, or keep.
-
-    An operation at a place of a word turns the characters read there into those printed ('rn' -> 'm' is
-    a replacement and a deletion, 'h' -> 'li' a replacement and an insertion). Its features are the
-    operation, its neighbours and what the lexicon says of the word before and after it.
-    """
-
-    def __init__(self, words: dict[str, int]):
-        self.words = words
-        self.edits: dict[str, list[str]] = defaultdict(list)
-        for read, printed in CONFUSIONS:
-            self.edits[read].append(printed)
-        self.op = Perceptron()
-        self.join = Perceptron()
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.tokens: dict[str, bool] = {}
-
-    # -- candidates ---------------------------------------------------------------------------------
-
-    def options(self, w: str) -> Iterator[tuple[int, str, str, str]]:
-        for i in range(len(w)):
-            for k in (1, 2):
-                for printed in self.edits.get(w[i : i + k], ()) if i + k <= len(w) else ():
-                    yield i, w[i : i + k], printed, w[:i] + printed + w[i + k :]
-
-    def count(self, w: str) -> int:
-        """How often a word occurs; a compound as its least frequent part if it is unknown as a whole."""
-        n = self.words.get(w, 0)
-        if not n and "-" in w.strip("-"):
-            n = min((self.words.get(p, 0) for p in w.split("-") if p), default=0)
-        if not n and w.endswith("'s"):
-            n = self.words.get(w[:-2], 0)
-        return n
-
-    def features(self, w: str, i: int, read: str, printed: str, n_w: int, n_c: int) -> list[str]:
-        ratio = _bucket(n_c / max(1, n_w))
-        kind = "odd" if _odd(read) else "plain"
-        before, after = w[i - 1 : i] or "^", w[i + len(read) : i + len(read) + 1] or "$"
+    """The character editor: keep a word, or read one stretch of it as another one.
+
+    ``noise`` and ``real`` count the operations between words far apart in frequency and between words
+    that are not: a misreading shows in the first, word formation in both. ``rate`` is how often a frequent
+    word is usually misread in one certain way. ``grams`` counts the letter
+    triples of words seen more than once or twice."""
+
+    rate: float = 1e-3
+    noise: dict[tuple[str, str], int] = field(default_factory=dict)
+    real: dict[tuple[str, str], int] = field(default_factory=dict)
+    grams: dict[str, int] = field(default_factory=dict)
+    op: Perceptron = field(default_factory=Perceptron)
+    alone: Perceptron = field(default_factory=Perceptron)
+    join: Perceptron = field(default_factory=Perceptron)
+
+    def rare(self, w: str) -> tuple[int, int]:
+        """How usual the most unusual triple of a word is, and where it is."""
+        get = self.grams.get
+        n, i = min((get(t, 0), i) for i, t in enumerate(trigrams(w)))
+        return _log(n + 1), i
+
+    def features(self, w: str, n: int, c: str, m: int) -> list[str]:
+        i, read, printed = difference(w, c)
+        said = self.noise.get((read, printed), 0)
+        usual = math.floor(math.log2((said + 0.5) / (self.real.get((read, printed), 0) + 0.5)))
+        usual = max(-4, min(6, usual))
+        kind = f"{_class(read)}>{_class(printed)}"
+        at = "start" if i == 0 else "end" if i + len(read) >= len(w) else "inner"
+        size = min(len(c) // 2, 6)
+        ratio = min(9, _log(m / max(1, n)))
+        odd = min(6, self.rare(c)[0]) - min(6, self.rare(w)[0])
         return [
-            f"op:{read}>{printed}", f"{kind}:r{ratio}", f"{kind}:known{n_w > 0}", f"{kind}:cand{_bucket(n_c)}", f"l:{before}:{read}>{printed}",
-            f"r:{read}>{printed}:{after}", f"{kind}", f"short{kind}:{len(w) <= 3}",
+            "bias", f"usual{usual}", f"said{min(6, _log(said + 1))}", f"kind:{kind}", f"{kind}:{at}", f"at:{at}:{size}", f"ratio{ratio}", f"ratio{ratio}:{kind}", f"ratio{ratio}:n{min(7, _log(n))}", f"due{max(-6, min(6, _log(n / max(1e-9, m * self.rate))))}:n{min(3, _log(n))}", f"odd{odd}", f"odd{odd}:{size}", f"usual{usual}:{at}",
+            f"usual{usual}:odd{max(-1, min(4, odd))}", f"ratio{ratio}:odd{max(-1, min(4, odd))}", f"op:{read}>{printed}", f"rare{min(5, self.rare(w)[0])}:{size}",
         ]
 
-    # -- training -----------------------------------------------------------------------------------
+    def lonely(self, w: str, n: int) -> list[str]:
+        """Features of a word by itself, for words with more than one misread place."""
+        rare = min(7, self.rare(w)[0])
+        shape = skeleton(w)
+        few = sum(self.grams.get(t, 0) <= 1 for t in trigrams(w))
+        return ["bias", f"shape:{shape}", f"rare{rare}", f"few{min(few, 6)}", f"few{min(few, 6)}:{shape}", f"n{min(n, 6)}", f"n{min(n, 6)}:rare{rare}", f"rare{rare}:{min(len(w) // 3, 4)}", f"few{min(few, 6)}:n{min(n, 4)}"]
+
+    @staticmethod
+    def join_features(whole: int, compound: int, left: bool, right: bool, mark: str) -> list[str]:
+        """Features of a line join by how often the parts stand together, joined or with the mark."""
+        side = "joined" if whole > compound else "compound" if compound > whole else "neither"
+        return ["bias", f"mark:{mark == '-'}", f"side:{side}", f"side:{side}:{mark == '-'}", f"{side}:{left}{right}:{mark == '-'}"]
+
+    def spoil(self, w: str, rng: random.Random, ops: list[tuple[str, str]], weights: list[float], letters: str) -> str | None:
+        """The word as it might be misread: by an operation as usual in the corpus, or now and then by any."""
+        if rng.random() < 0.25:
+            i = rng.randrange(len(w))
+            return w[:i] + rng.choice(letters) + w[i + 1 :]
+        for _ in range(20):
+            read, printed = rng.choices(ops, weights)[0]
+            at = [i for i in range(len(w) - len(printed) + 1) if w.startswith(printed, i)]
+            if at:
+                i = rng.choice(at)
+                return w[:i] + read + w[i + len(printed) :]
+        return None
 
-    def fit(self, limit: int = TRAIN_WORDS, seed: int = 7) -> "Editor":
-        """Learn from the most frequent ``limit`` words of the lexicon, spoilt by the confusions.
+    def fit(self, words: dict[str, int], known: list[tuple[str, int, str, int]], seed: int = 7) -> "Editor":
+        """Learn from words spoilt the way the corpus is, and from pairs of real words, taken as rare as noise.
 
-        A spoilt word is seen as often as the noise would make it; a word of the lexicon that only
-        happens to look like a spoilt one is to be kept, as are the words themselves."""
+        ``words`` are a bounded sample of the lexicon, ``known`` pairs of words that are too frequent to be
+        misreadings of each other."""
         rng = random.Random(seed)
-        top = sorted((w for w in self.words if w.isalpha() and len(w) > 2), key=lambda w: (-self.words[w], w))[:limit]
-        spoil = [(printed, read) for read, printed in CONFUSIONS]
+        plain = sorted(w for w in words if w.isalpha() and len(w) > 2)
+        letters = "".join(sorted({ch for w in plain for ch in w})) or "a"
+        usual = {o: n for o, n in self.noise.items() if n > 2 * self.real.get(o, 0) and n > 1}
+        ops, weights = sorted(usual), [float(usual[o]) for o in sorted(usual)]
+        if not ops:
+            ops, weights = [(a, b) for a in letters for b in letters if a != b] or [("b", "a")], [1.0] * max(1, len(letters) * (len(letters) - 1))
         data: list[tuple[list[str], bool]] = []
+        single: list[tuple[list[str], bool]] = []
         joins: list[tuple[list[str], bool]] = []
-        for w in top:
-            n = self.words[w]
-            for printed, read in rng.sample(spoil, 8):
-                at = [i for i in range(len(w)) if w.startswith(printed, i)]
-                if not at:
+        for w in plain:
+            for _ in range(3):
+                bad = self.spoil(w, rng, ops, weights, letters)
+                if not bad or bad == w or bad in words:
                     continue
-                i = rng.choice(at)
-                bad = w[:i] + read + w[i + len(printed) :]
-                seen = self.words.get(bad, 0)
-                if seen * RATIO > n:
-                    continue
-                data.append((self.features(bad, i, read, printed, seen, n), True))
-                # other operations on the same spoilt word that do not restore it
-                for j, r, p, c in self.options(bad):
-                    if c != w:
-                        data.append((self.features(bad, j, r, p, seen, self.count(c)), self.count(c) >= 40 * max(1, seen) and c in self.words))
-            for j, r, p, c in self.options(w):
-                m = self.count(c)
-                data.append((self.features(w, j, r, p, n, m), m >= RATIO * n))
+                m = words[w]
+                data.append((self.features(bad, max(1, int(m * self.rate * rng.choice((0.2, 0.5, 1, 1, 2, 4)))), w, m), True))
+                if len(w) > 5 and (worse := self.spoil(bad, rng, ops, weights, letters)) and worse != w:
+                    single.append((self.lonely(worse, 1), True))
+        for w, n, c, m in known:
+            data.append((self.features(w, n, c, m), False))
+            n = rng.choice((1, 1, 2, 3, 5, 10, 30, 100))
+            data.append((self.features(w, n, c, n * rng.choice((8, 30, 100, 300))), False))
+        for w, n in words.items():
+            single.append((self.lonely(w, n), False))
+            single.append((self.lonely(w, rng.choice((1, 1, 2, 3))), False))
+        for w in plain:
             if len(w) > 4:
                 k = rng.randint(2, len(w) - 2)
                 for mark in rng.sample(MARKS, 2):
-                    joins.append((self.join_features(w[:k], w[k:], mark), True))
+                    joins.append((self.join_features(words[w], 0, w[:k] in words, w[k:] in words, mark), True))
                 # a broken word that is not known as a whole, against two known ones that are
-                joins.append((self.join_features(w[:k] + "~", w[k:], "-"), True))
-                other = rng.choice(top)
-                if f"{w}-{other}" not in self.words and w + other not in self.words:
-                    joins.append((self.join_features(w, other, "-"), False))
-        for w in self.words:
+                joins.append((self.join_features(0, 0, False, w[k:] in words, "-"), True))
+                joins.append((self.join_features(0, 0, True, True, "-"), False))
+        for w, n in words.items():
             parts = w.split("-")
             if len(parts) > 1 and all(parts):
-                k = rng.randint(1, len(parts) - 1)
-                joins.append((self.join_features("-".join(parts[:k]), "-".join(parts[k:]), "-"), False))
-        for examples, model, margin in ((data, self.op, 0.0), (joins, self.join, 1.0)):
-            for _ in range(6):
-                rng.shuffle(examples)
-                for feats, label in examples:
-                    model.learn(feats, label, margin)
-            model.average()
+                joins.append((self.join_features(words.get("".join(parts), 0), n, parts[0] in words, parts[-1] in words, "-"), False))
+        self.op.fit(data)
+        self.alone.fit(single)
+        self.join.fit(joins)
         return self
 
-    def join_features(self, a: str, b: str, mark: str) -> list[str]:
-        whole, compound = self.best(a + b), self.words.get(f"{a}-{b}", 0)
-        side = "joined" if whole > compound else "compound" if compound > whole else "neither"
-        parts = f"{self.words.get(a.split('-')[-1], 0) > 0}{self.words.get(b.split('-')[0], 0) > 0}"
-        return [f"mark:{mark == '-'}", f"side:{side}", f"side:{side}:{mark == '-'}", f"{side}:parts{parts}:{mark == '-'}"]
-
-    def best(self, w: str) -> int:
-        """How often the word occurs, or the word it was misread from."""
-        n = self.count(w)
-        if n:
-            return n
-        return max((self.count(c) // 4 for *_, c in self.options(w)), default=0)
-
-    # -- decisions ----------------------------------------------------------------------------------
-
-    def misread(self, w: str) -> tuple[int, ...]:
-        """Places (as read) of misread characters; empty if the word is kept."""
-        if w not in self.cache:
-            if len(self.cache) > 300_000:
-                self.cache.clear()
-            self.cache[w] = self._misread(w)
-        return self.cache[w]
-
-    def spoilt(self, raw: str) -> bool:
-        """Whether a token as it stands in a line has misread characters."""
-        known = self.tokens.get(raw)
-        if known is None:
-            if len(self.tokens) > 300_000:
-                self.tokens.clear()
-            w = core(raw)
-            known = bool(w and self.misread(w))
-            if w and not known and raw[:1] == "(" and ")" not in raw and not self.count(w):
-                known = bool(self.misread("(" + w))
-            self.tokens[raw] = known
-        return known
-
-    def _misread(self, w: str) -> tuple[int, ...]:
-        letters = sum(ch.isalpha() for ch in w)
-        if letters < 2 or CODE.fullmatch(w) or re.fullmatch(r"(www\.|https?:).*", w):
-            return ()
-        return tuple(p for p, *_ in self.edit(w)[0])
-
-    def edit(self, w: str) -> tuple[list[tuple[int, str, str]], str]:
-        """The best operations and the word they lead to."""
-        odd = bool(ODD_WORD.search(w))
-        n = 0 if odd else self.count(w)
-        best, ops, out = 0.0, [], w
-        firsts = []
-        for i, r, p, c in self.options(w):
-            m = self.count(c)
-            firsts.append((i, r, p, c))
-            if m and (_odd(r) or m >= RATIO * n):
-                s = self.op.score(self.features(w, i, r, p, n, m)) * (1 + math.log10(m))
-                if s > best:
-                    best, ops, out = s, [(i, r, p)], c
-        if not ops and not n and len(w) > 3:
-            for i, r, p, c in firsts:
-                for j, r2, p2, c2 in self.options(c):
-                    if j >= i + len(p) and (m := self.words.get(c2, 0)):
-                        s = min(self.op.score(self.features(w, i, r, p, n, m)), self.op.score(self.features(c, j, r2, p2, n, m)))
-                        if s > best:
-                            best, ops, out = s, [(i, r, p), (j - len(p) + len(r), r2, p2)], c2
-        if not ops and not n and ODD_WORD.search(w):
-            # no known word behind it, but no word is written with such characters
-            ops = [(m.start(), m.group(), "") for m in re.finditer(r"(?<=[a-z])[0-9@(](?=[a-z])|[@ﬀﬁﬂ]", w)]
-        return ops, out
-
-
-CODE = re.compile(r"[a-z]{2,4}-[a-z]{2,4}-\d+[a-z.\d]*|co2(-e)?|[a-z]?\d+[a-z]?([-.]\d+)*|scope\d")
-ODD_WORD = re.compile(r"^[a-z]+[0-9@(]+[a-z]{2,}$|^[a-z]{2,}[0-9@(]+[a-z]+$|[ﬀﬁﬂ]|@[a-z]{2,}|[a-z]{2,}@")
-
-_SAME = str.maketrans({"0": "o", "1": "l", "i": "l", "5": "s", "9": "g", "6": "b", "@": "a", "(": "c", "f": "t", "e": "c", "b": "h", "v": "y", "ﬁ": "tl"})
-
-
-def shape(text: str) -> str:
-    """A text with characters that are easily taken for one another made equal."""
-    t = re.sub(r"\s+", " ", text.strip().lower())
-    for a, b in (("rn", "m"), ("ri", "n"), ("ii", "u"), ("vv", "w"), ("cl", "d"), ("li", "h")):
-        t = t.replace(a, b)
-    return t.translate(_SAME).replace("ll", "h")
-
-
-NUMBER = r"(?:[-–—] ?\d{1,4} ?[-–—]|\[\d{1,4}\]|[ivxlcdm]{1,8}|\d{1,4}|(?:p\.|page|pg\.?) ?\d{1,4}(?: ?(?:of|/) ?\d{1,4})?|\d{1,4} ?/ ?\d{1,4})"
-_NUMBER = re.compile(NUMBER, re.I)
-LONGEST_NUMBER = 24
-_DOC_CODE = re.compile(r"[A-Z]{3}-[A-Z]{2,3}-\d{4}")
-_CODED = re.compile(r"(?:\d{1,4} ?\| ?)?(.{3,80}?) ?[A-Z]{3}-[A-Z]{2,3}-\d{4}(?: ?\| ?\d{1,4}| [-–—] .{2,60}| +\d{1,4})?")
-_TAILED = re.compile(r"(?:(\d{1,4}) ?\|? )?(.*?)(?: ?\|? (\d{1,4}))?")
-
-
-class Page:
-    """Page-position features of the lines of one content and the furniture among them."""
-
-    def __init__(self, doc_id: str | None, title: str | None, lines: list[str]):
-        self.lines = [" ".join(l.split()) for l in lines]
-        self.doc_id, self.title = doc_id or "", " ".join((title or "").split())
-        self.filled = [i for i, l in enumerate(self.lines) if l]
-        self.title_shape = shape(self.title)
-
-    def features(self, i: int) -> list[str]:
-        line = self.lines[i]
-        f = []
-        if len(line) <= LONGEST_NUMBER and _NUMBER.fullmatch(line):
-            f.append("number")
-        coded = _CODED.fullmatch(line) if _DOC_CODE.search(line) else None
-        if coded and (not self.doc_id or self.doc_id in line):
-            name = coded[1].split()
-            lowered = any(x[:1].islower() and x.isalpha() for x in name[1:])
-            ends = shape(name[-1]) == shape("standard") if name else False
-            f.append(f"coded:std{ends}:prose{lowered or len(name) > 6}")
-        # a title line is the title and a page number at most; misreading changes its length by a few characters
-        if self.title and abs(len(line) - len(self.title)) <= 10 + len(self.title) // 4:
-            m = _TAILED.fullmatch(line)
-            same = shape(m[2]) == self.title_shape if m else False
-            if same:
-                f.append(f"title:num{bool(m[1] or m[3])}:upper{m[2] == self.title.upper() != self.title}")
-        if f:
-            f.append(f"alone:{len(self.filled) == 1}")
-            f.append(f"edge:{i == self.filled[0]}")
-        return f
-
-    def furniture(self, model: Perceptron) -> set[int]:
-        if len(self.filled) < 2:
-            return set()
-        feats = {i: f for i in self.filled if (f := self.features(i))}
-        found = {i for i, f in feats.items() if model.score(f) > 0}
-        # a bare title counts only beside other furniture
-        for i, f in feats.items():
-            if i not in found and any(x.startswith("title") for x in f) and self._beside(i, found):
-                if model.score([*f, "beside"]) > 0:
-                    found.add(i)
-        return found
-
-    def _beside(self, i: int, found: set[int]) -> bool:
-        k = self.filled.index(i)
-        return any(0 <= j < len(self.filled) and self.filled[j] in found for j in (k - 1, k + 1))
-
-
-def furniture_model() -> Perceptron:
-    """The perceptron for running headers, footers and page numbers.
-
-    Its examples are the forms that page furniture takes, alone and next to other furniture, against the
-    same words in the flow of the text."""
-    examples: list[tuple[list[str], bool]] = []
-    ctx = lambda alone, edge: [f"alone:{alone}", f"edge:{edge}"]
-    for edge in (False, True):
-        for alone in (False, True):
-            yes = not alone
-            examples += [(["number", *ctx(alone, edge)], yes)] * 2
-            examples += [(["coded:stdTrue:proseFalse", *ctx(alone, edge)], yes)] * 2
-            examples += [(["coded:stdTrue:proseTrue", *ctx(alone, edge)], False), (["coded:stdFalse:proseTrue", *ctx(alone, edge)], False), (["coded:stdFalse:proseFalse", *ctx(alone, edge)], False)]
-            for upper in (False, True):
-                examples.append(([f"title:numTrue:upper{upper}", *ctx(alone, edge)], yes))
-                examples.append(([f"title:numFalse:upper{upper}", *ctx(alone, edge)], yes and upper and not edge))
-                examples.append(([f"title:numFalse:upper{upper}", *ctx(alone, edge), "beside"], yes and upper))
-    p = Perceptron()
-    rng = random.Random(3)
-    for _ in range(40):
-        rng.shuffle(examples)
-        for f, y in examples:
-            p.learn(f, y)
-    return p.average()
 
+def fit_editor(counts: DataFrame, pairs: DataFrame) -> Editor:
+    """Estimate operations and letter triples over the whole lexicon and train the perceptrons.
+
+    What comes to the driver is bounded: operations and triples by the alphabet, training words and pairs
+    by their parameters (chosen by frequency and by hash)."""
+
+    def ops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: Counter[tuple[str, str, bool]] = Counter()
+            for w, n, c, m in zip(*(col.to_pylist() for col in b.columns)):
+                _, read, printed = difference(w, c)
+                found[read, printed, m >= APART * n] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.bool_()))] + [pa.array(list(found.values()), pa.int64())], names=["read", "printed", "apart", "n"])
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = Counter(t for w in b.column(0).to_pylist() for t in trigrams(w))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["gram", "n"])
+
+    e = Editor()
+    seen = pairs.mapInArrow(ops, "read string, printed string, apart boolean, n long").groupBy("read", "printed", "apart").agg(F.sum("n").alias("n")).where("n > 1")
+    for r in seen.toLocalIterator():
+        (e.noise if r.apart else e.real)[r.read, r.printed] = r.n
+    usual = counts.where(F.col("n") >= LEAST_PRINTED)
+    e.grams = {r.gram: r.n for r in usual.select("word").mapInArrow(grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator()}
+    by_hash = F.xxhash64("word")
+    sample = usual.orderBy(F.desc("n"), "word").limit(TRAIN_WORDS // 2).unionByName(usual.orderBy(by_hash, "word").limit(TRAIN_WORDS // 2))
+    words = {r.word: r.n for r in sample.collect()}
+    # the usual share of one misreading: the middle one among those of the most frequent words
+    high = pairs.select(F.percentile_approx("m", 0.9)).first()[0] or 0
+    e.rate = float(pairs.where((F.col("m") >= high) & (F.col("m") >= APART * F.col("n"))).select(F.percentile_approx(F.col("n") / F.col("m"), 0.5)).first()[0] or 1e-3)
+    real = pairs.where((F.col("n") >= 5) & (F.col("n") > 8 * e.rate * F.col("m"))).orderBy(F.xxhash64("word", "printed"), "word", "printed").limit(TRAIN_PAIRS)
+    return e.fit(dict(sorted(words.items())), [tuple(r) for r in real.collect()])
+
+
+def verdicts(words: DataFrame, pairs: DataFrame, editor: Any) -> DataFrame:
+    """(word, place, printed): the words that the editor does not keep, where they are misread, and the word
+    behind them (null if none is known)."""
+    scored = "word string, score double, place int, printed string"
+
+    def emit(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int32(), pa.string()))], names=["word", "score", "place", "printed"])
+
+    def by_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = editor.value
+        for b in batches:
+            rows = ((w, e.op.score(e.features(w, n, c, m)), c, m) for w, n, c, m in zip(*(col.to_pylist() for col in b.columns)))
+            yield emit([(w, 1000.0 + s * (1 + math.log10(m)), difference(w, c)[0], c) for w, s, c, m in rows if s > 0])
+
+    def by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = editor.value
+        for b in batches:
+            yield emit([(w, s, max(0, e.rare(w)[1] - 1), None) for w, n in zip(*(col.to_pylist() for col in b.columns)) if len(w) > 2 and (s := e.alone.score(e.lonely(w, n))) > 0])
+
+    # a known word behind it says more than the word by itself
+    found = pairs.mapInArrow(by_pair, scored).unionByName(words.select("word", "n").mapInArrow(by_word, scored))
+    best = found.groupBy("word").agg(F.max(F.struct("score", "printed", "place")).alias("b"))
+    return best.select("word", "b.place", "b.printed")
+
+
+# -- furniture ----------------------------------------------------------------------------------------
+
+_NUMBERISH = re.compile(r"\d+|\b[ivxlc]{1,7}\b")
+_SENTENCE_END = tuple(".!?:;")
+
+
+def masked(line: str) -> list[str]:
+    """The words of a line in lower case, numbers (roman ones too) as '#'."""
+    return _NUMBERISH.sub("#", " ".join(line.lower().split())).split(" ")
+
+
+def without_title(words: list[str], title: list[str]) -> list[str]:
+    """A line with the section title in it, one word of which may be misread, as '@'."""
+    k = len(title)
+    for i in range(len(words) - k + 1) if k else ():
+        if sum(a == b for a, b in zip(words[i : i + k], title)) >= max(1, k - (k > 1)):
+            return [*words[:i], "@", *words[i + k :]]
+    return words
+
+
+def line_keys(words: list[str]) -> list[str]:
+    """What a line is recognised by: its words, and its words but one, since one may be misread."""
+    keys = [" ".join(words)]
+    if len(words) > 2:
+        keys += [" ".join((*words[:i], *words[i + 1 :])) + f" -{len(words)}" for i in range(len(words)) if words[i] not in "#@"]
+    return keys
+
+
+def candidates(title: str | None, content: str) -> list[tuple[int, list[str], str, str, int]]:
+    """Lines that may be furniture: (line_no, keys, numbers, features, vote).
+
+    Words of a line are mostly capitalised, or those of the section title, or few. ``features`` are of its place
+    and form; ``vote`` is what the text around says: 1 if the line cuts a sentence in two, -1 if it goes on
+    with one or stands among rows of a table, else 0."""
+    raw = content.split("\n")
+    lines = [" ".join(l.split()) for l in raw]
+    filled = [i for i, l in enumerate(lines) if l]
+    if len(filled) < 2:
+        return []
+    titled = [w for w in masked(title or "") if w]
+    of_title = set(titled) - {"#"}
+    forms = {i: masked(lines[i]) for i in filled}
+
+    def kind(i: int) -> tuple[float, float] | None:
+        """Share of capitalised words and of words of the title; None if the line is no candidate."""
+        line, words = lines[i], forms[i]
+        if len(line) > 120:
+            return None
+        alphas = [w for w in line.split(" ") if w[:1].isalpha()]
+        capital = sum(w[0].isupper() for w in alphas) / len(alphas) if alphas else 1.0
+        overlap = sum(w in of_title for w in words if w != "#") / max(1, sum(w != "#" for w in words)) if of_title else 0.0
+        return (capital, overlap) if capital >= 0.5 or overlap >= 0.6 or len(words) <= 4 else None
+
+    kinds = [kind(i) for i in filled]
+
+    def text_near(at: int, step: int) -> str:
+        """The next line of text proper: furniture may have two lines."""
+        j = at + step
+        if 0 <= j < len(filled) and kinds[j] and 0 <= j + step < len(filled) and not kinds[j + step]:
+            j += step
+        return lines[filled[j]] if 0 <= j < len(filled) else ""
+
+    out = []
+    for at, i in enumerate(filled):
+        if kinds[at] is None:
+            continue
+        line, words = lines[i], forms[i]
+        capital, overlap = kinds[at]
+        before, after = text_near(at, -1), text_near(at, 1)
+        numbers = sum(w == "#" for w in words)
+        like = lambda j: 0 <= j < len(filled) and sum(w == "#" for w in forms[filled[j]]) >= 2
+        cells = numbers >= 2 and len([x for x in re.split(r"\s{2,}|\|", raw[i].strip()) if x]) >= 3
+        row = cells and any(like(at + k) for k in (-2, -1, 1, 2)) or line[0] == "|"
+        short = lambda j: 0 <= j < len(filled) and len(forms[filled[j]]) <= 4
+        open_before = bool(before) and before[-1] not in _SENTENCE_END
+        goes_on = after[:1].islower()
+        if row or line[0].islower() and not words == ["#"] and not overlap >= 0.6:
+            vote = -1
+        elif open_before and goes_on and line[-1] not in ".,;:":
+            vote = 1
+        else:
+            vote = 0
+        text = [w for w in words if w != "#"]
+        form = "number" if not any(any(ch.isalpha() for ch in w) for w in text) else "page" if len(text) <= 2 and numbers and len(line) <= 14 else "upper" if line == line.upper() else "capital" if capital >= 0.75 else "mixed" if capital >= 0.5 else "low"
+        title_like = "title" if overlap >= 0.99 and len(text) >= len(of_title) else "part" if overlap >= 0.6 else "other"
+        place = "first" if at == 0 else "last" if at == len(filled) - 1 else "inner"
+        gap = f"{int(i > 0 and not lines[i - 1])}{int(i + 1 < len(lines) and not lines[i + 1])}"
+        feats = [
+            f"form:{form}", f"title:{title_like}:{form}", f"place:{place}", f"numbers{min(numbers, 3)}", f"words{min(len(text), 8)}", f"end:{line[-1] in '.,;:'}", f"indent:{min(3, (len(raw[i]) - len(raw[i].lstrip(' '))) // 3)}:{raw[i][:1] == chr(12)}",
+            f"gap:{gap}:{form}", f"row:{row}", f"beside:{short(at - 1)}{short(at + 1)}", f"title:{title_like}:{form}:{min(numbers, 2)}:{place}", f"joins:{open_before}{goes_on}",
+        ]
+        out.append((i, line_keys(without_title(words, titled)), ",".join(_NUMBERISH.findall(line.lower())), "|".join(feats), vote))
+    return out
+
+
+def recurrence(lines: DataFrame) -> DataFrame:
+    """(seg_uid, line_no, times, copies, varies, docs): how often the line, or the line but for one word, comes in its
+    document and in how many contents of it, whether it comes with other numbers, and in how many
+    documents it comes. The same content counts once, however often it was ingested."""
+    keyed = lines.select("seg_uid", "doc", "copy", "line_no", "numbers", F.explode("keys").alias("key"))
+    once = keyed.groupBy("doc", "key", "copy", "line_no").agg(F.max("numbers").alias("numbers"))
+    times = once.groupBy("doc", "key").agg(F.count(F.lit(1)).alias("times"), F.count_distinct("copy").alias("copies"), (F.min("numbers") != F.max("numbers")).alias("varies"))
+    times = stage(times, "line-times")
+    docs = times.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    back = hot_join(keyed.select("seg_uid", "line_no", "doc", "key"), times, ["doc", "key"], "left", spread=F.col("seg_uid"))
+    back = hot_join(back, docs, ["key"], "left", spread=F.col("seg_uid"))
+    best = F.max(F.struct("times", "copies", "varies"))
+    return back.groupBy("seg_uid", "line_no").agg(best.alias("b"), F.coalesce(F.max("docs"), F.lit(1)).alias("docs")).select("seg_uid", "line_no", "b.times", "b.copies", "b.varies", "docs")
+
+
+def furniture(segments: DataFrame) -> DataFrame:
+    """(seg_uid, line_no) of running headers, running footers and page numbers.
+
+    A perceptron scores each candidate line by how often it recurs in its document and by its place and
+    form. It is taught by the text around the lines, which it does not see: a recurring line that cuts a
+    sentence in two is furniture, a line that never comes again or goes on with a sentence is not. All
+    lines vote; what the driver sees is the number of votes for each combination of features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(u, *c) for u, t, text in zip(*(b.column(i).to_pylist() for i in range(3))) if text and not text.isspace() for c in candidates(t, text)]
+            types = (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["seg_uid", "line_no", "keys", "numbers", "feats", "vote"])
+
+    found = segments.select("seg_uid", "section_title", "content").mapInArrow(run, "seg_uid long, line_no int, keys array<string>, numbers string, feats string, vote int")
+    named = segments.select("seg_uid", F.coalesce("doc_id", F.lit("")).alias("doc"), F.xxhash64("content").alias("copy"))
+    lines = stage(found.join(named, "seg_uid"), "scan-lines")
+    again = recurrence(lines)
+    bucket = F.least(F.floor(F.log2("times")), F.lit(6)).cast("int")
+    many = F.concat(F.lit("times"), bucket, F.lit(":"), F.col("varies"), F.lit(":"), F.least("copies", F.lit(3)), F.lit(":docs"), F.least(F.floor(F.log2("docs")), F.lit(3)).cast("int"))
+    rows = stage(lines.select("seg_uid", "line_no", "feats", "vote").join(again, ["seg_uid", "line_no"]).select("seg_uid", "line_no", many.alias("many"), (F.greatest("times", "docs")).alias("times"), "vote", "feats"), "scan-scored")
+    label = F.when(F.col("vote") == -1, False).when(F.col("times") == 1, False).when((F.col("vote") == 1) & (F.col("times") >= 3), True)
+    votes = rows.select("many", "feats", label.alias("label")).where("label is not null").groupBy("many", "feats", "label").agg(F.count(F.lit(1)).alias("n"))
+    model = segments.sparkSession.sparkContext.broadcast(fit_furniture([(r.many, r.feats, r.label, r.n) for r in votes.toLocalIterator()]))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = pa.array([model.value.score(page_features(m, f)) > 0 for m, f in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["seg_uid", "line_no"]).filter(keep)
+
+    return rows.select("seg_uid", "line_no", "many", "feats").mapInArrow(judge, "seg_uid long, line_no int")
+
+
+def page_features(many: str, feats: str) -> list[str]:
+    own = [f for f in feats.split("|") if not f.startswith("joins:")]
+    here, docs = many.split(":docs")
+    return ["bias", here, f"docs{docs}", many, *own, *[f"{here}:{f}" for f in own], *[f"docs{docs}:{f}" for f in own]]
+
+
+def fit_furniture(votes: list[tuple[str, str, bool, int]]) -> Perceptron:
+    examples = [(page_features(m, f), y) for m, f, y, n in sorted(votes) for _ in range((1 + min(4, int(math.log2(n)))) * (3 if y else 1))]
+    return Perceptron().fit(examples, rounds=8)
+
+
+# -- contents -----------------------------------------------------------------------------------------
 
 _WORD_AT_END = re.compile(rf"(\S*[^\W\d_])([{MARKS}])\s*$")
 _WORD_AT_START = re.compile(r"\s*(\S+)")
@@ -394,55 +519,124 @@ def broken_end(line: str) -> re.Match[str] | None:
     return _WORD_AT_END.search(line) if line.rstrip()[-1:] in tuple(MARKS) else None
 
 
-def analyse(editor: Editor, page_model: Perceptron, doc_id: str | None, title: str | None, content: str | None) -> list[tuple[int, str]]:
-    """(line_no, kind) of the cases in one content."""
-    if not content or not content.strip():
-        return []
+def parts_of(content: str, junk: set[int]) -> tuple[list[tuple[int, int, str, str, str]], list[tuple[int, str]]]:
+    """Broken words (line_no, next line_no, left, right, mark) and the other words (line_no, word) of the lines of text."""
     lines = content.split("\n")
-    page = Page(doc_id, title, lines)
-    junk = page.furniture(page_model)
-    text = [i for i in page.filled if i not in junk]
-    out = [(i, "furniture") for i in junk]
-    wrong: set[int] = set()
-    skip_first: set[int] = set()
+    text = [i for i, l in enumerate(lines) if l.strip() and i not in junk]
+    broken, words = [], []
+    taken_first = False
     for k, i in enumerate(text):
-        line = lines[i]
-        m = broken_end(line)
-        joined_end = False
+        tokens = lines[i].split()
+        if taken_first:
+            tokens = tokens[1:]
+        taken_first = False
+        m = broken_end(lines[i])
         if m and k + 1 < len(text):
-            a, mark = core(m[1]), m[2]
             n = _WORD_AT_START.match(lines[text[k + 1]])
-            b_raw = n[1] if n else ""
-            b = core(b_raw)
-            if a and b and (b[0].isalpha() or ODD_WORD.search(a + b) or b[0] in "@(0156"):
-                joins = editor.join.score(editor.join_features(a, b, mark)) > 0
-                if joins:
-                    out.append((i, "hyphen"))
-                whole = a + b if joins else f"{a}-{b}"
-                cut = len(a) if joins else len(a) + 1
-                for at in editor.misread(whole):
-                    wrong.add(i if at < cut else text[k + 1])
-                joined_end = True
-                skip_first.add(text[k + 1])
-        words = line.split()
-        if i in skip_first:
-            words = words[1:]
-        if joined_end and words:
-            words = words[:-1]
-        if any(map(editor.spoilt, words)):
-            wrong.add(i)
-    return out + [(i, "misread") for i in wrong]
-
-
-def repaired(editor: Editor, page_model: Perceptron, doc_id: str | None, title: str | None, content: str | None) -> str | None:
+            a, b = core(m[1]), core(n[1] if n else "")
+            if a and b and not b.isdigit():
+                broken.append((i, text[k + 1], a, b, m[2]))
+                tokens, taken_first = tokens[:-1], True
+        words += [(i, w) for raw in tokens if wordlike(w := core(raw))]
+    return broken, words
+
+
+PARTS = "seg_uid long, line_no int, next_no int, word string, right string, mark string"
+
+
+@dataclass
+class Scans:
+    """Everything found in a table of contents, by line."""
+
+    junk: DataFrame  # seg_uid, line_no
+    joins: DataFrame  # seg_uid, line_no, next_no, word, right, mark, joins, place, printed
+    wrong: DataFrame  # seg_uid, line_no, word, printed
+
+
+def analyse(segments: DataFrame) -> Scans:
+    """Furniture, broken words and misread words of all contents."""
+    spark = segments.sparkSession
+    counts = stage(word_counts(segments), "words")
+    junk = stage(furniture(segments), "furniture")
+    pairs = stage(near_words(counts, counts), "near-words")
+    editor = spark.sparkContext.broadcast(fit_editor(counts, pairs))
+    bad = stage(verdicts(counts, pairs, editor), "misread")
+    clean = counts.join(bad.select("word"), "word", "left_anti").orderBy(F.desc("n"), "word").limit(CLEAN_WORDS).select("word")
+    known = spark.sparkContext.broadcast(frozenset(r.word for r in clean.collect()))
+    held = junk.groupBy("seg_uid").agg(F.collect_list("line_no").alias("junk"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        skip = known.value
+        for b in batches:
+            rows: list[tuple] = []
+            for u, text, lines in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if text and not text.isspace():
+                    broken, words = parts_of(text, set(lines or ()))
+                    rows += [(u, *x) for x in broken]
+                    rows += [(u, i, None, w, None, None) for i, w in dict.fromkeys(words) if w not in skip]
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["seg_uid", "line_no", "next_no", "word", "right", "mark"])
+
+    found = stage(segments.select("seg_uid", "content").join(held, "seg_uid", "left").mapInArrow(run, PARTS), "scan-parts")
+    wrong = hot_join(found.where("mark is null").select("seg_uid", "line_no", "word"), bad.select("word", "printed"), ["word"], "inner", spread=F.col("seg_uid"))
+    ends = found.where("mark is not null")
+    judged = stage(join_verdicts(ends.select(F.col("word").alias("left"), "right", "mark").distinct(), counts, editor), "joins")
+    joins = hot_join(ends, judged.withColumnRenamed("left", "word"), ["word", "right", "mark"], "left", spread=F.col("seg_uid"))
+    return Scans(junk, stage(joins, "broken"), stage(wrong, "wrong"))
+
+
+def join_verdicts(ends: DataFrame, counts: DataFrame, editor: Any) -> DataFrame:
+    """(left, right, mark, joins, place, printed): whether a word broken at a line end is one without the mark, and where
+    the whole is misread. Every distinct break is judged once."""
+    ends = stage(ends.withColumn("whole", F.concat("left", "right")).withColumn("hyphened", F.concat("left", F.lit("-"), "right")), "breaks")
+    asked = ends.select(F.explode(F.array("whole", "hyphened", F.element_at(F.split("left", "-"), -1), F.get(F.split("right", "-"), 0))).alias("word")).distinct()
+    known = asked.join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
+    known = stage(known, "asked")
+    new = known.where(F.length("word") > 2)
+    near = stage(near_words(new, counts), "near-breaks")
+    bad = stage(verdicts(new.select("word", F.greatest("n", F.lit(1)).alias("n")), near.withColumn("n", F.greatest("n", F.lit(1))), editor), "misread-breaks")
+    behind = bad.where("printed is not null").select("word", "printed").join(counts.select(F.col("word").alias("printed"), F.col("n").alias("m")), "printed")
+    info = stage(known.join(behind.select("word", "m"), "word", "left").select("word", F.col("n"), F.coalesce(F.when(F.col("n") > 0, F.col("n")), F.floor(F.col("m") / 4), F.lit(0)).alias("best")), "break-words")
+    t = ends.withColumn("_l", F.element_at(F.split("left", "-"), -1)).withColumn("_r", F.get(F.split("right", "-"), 0))
+    for name, word, value in (("whole_n", "whole", "best"), ("hyphened_n", "hyphened", "n"), ("left_n", "_l", "n"), ("right_n", "_r", "n")):
+        t = hot_join(t, info.select(F.col("word").alias(word), F.col(value).alias(name)), [word], "left", spread=F.xxhash64("left", "right"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = editor.value
+        for b in batches:
+            rows = list(zip(*(b.column(i).to_pylist() for i in range(7))))
+            joins = [e.join.score(e.join_features(w or 0, h or 0, (l or 0) > 0, (r or 0) > 0, m)) > 0 for *_, m, w, h, l, r in rows]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(joins, pa.bool_())], names=["left", "right", "mark", "joins"])
+
+    joined = t.select("left", "right", "mark", "whole_n", "hyphened_n", "left_n", "right_n").mapInArrow(judge, "left string, right string, mark string, joins boolean")
+    joined = joined.withColumn("word", F.when(F.col("joins"), F.concat("left", "right")).otherwise(F.concat("left", F.lit("-"), "right")))
+    # a hyphened word is known by its parts where it is not known as a whole
+    out = hot_join(joined, bad, ["word"], "left", spread=F.xxhash64("left", "right"))
+    compound = ~F.col("joins") & F.col("printed").isNull()
+    return out.select("left", "right", "mark", "joins", F.when(~compound, F.col("place")).alias("place"), "printed")
+
+
+def find_noise(segments: DataFrame) -> DataFrame:
+    """(seg_uid, line_no, kind) of furniture, hyphen and misread lines.
+
+    Null, empty and blank contents have no cases; blank lines are never cases; every row counts by
+    itself, repeated or not. A content of a single line has no furniture. Missing titles or document ids
+    only leave out what they would tell; rows without a document id are one document."""
+    s = analyse(segments)
+    kind = lambda df, k: df.select("seg_uid", "line_no", F.lit(k).alias("kind"))
+    cut = F.length("word") + F.when(F.col("joins"), 0).otherwise(1)
+    split = s.joins.where("place is not null").select("seg_uid", F.when(F.col("place") < cut, F.col("line_no")).otherwise(F.col("next_no")).alias("line_no"))
+    wrong = s.wrong.select("seg_uid", "line_no").unionByName(split).distinct()
+    return kind(s.junk, "furniture").unionByName(kind(s.joins.where("joins"), "hyphen")).unionByName(kind(wrong, "misread"))
+
+
+def repaired(content: str | None, junk: set[int], joins: dict[int, bool], words: dict[str, str]) -> str | None:
     """Continuous paragraphs: furniture gone, broken words joined, misread words replaced."""
     if content is None or not content.strip():
         return content
     lines = content.split("\n")
-    page = Page(doc_id, title, lines)
-    junk = page.furniture(page_model)
     paragraphs: list[list[str]] = [[]]
-    carry: tuple[str, str] | None = None
+    carry: tuple[str, str, bool] | None = None
     broke = False
     for i, line in enumerate(lines):
         if i in junk:
@@ -454,27 +648,22 @@ def repaired(editor: Editor, page_model: Perceptron, doc_id: str | None, title:
                 paragraphs.append([])
             continue
         broke = False
-        m = broken_end(line)
-        words = line.split()
-        if carry and words:
-            a, mark = carry
-            joins = editor.join.score(editor.join_features(core(a), core(words[0]), mark)) > 0
-            words[0] = a + ("" if joins else mark) + words[0]
+        tokens = line.split()
+        if carry and tokens:
+            tokens[0] = carry[0] + ("" if carry[2] else carry[1]) + tokens[0]
         carry = None
-        if m and words:
-            carry = (words[-1][:-1], m[2])
-            words = words[:-1]
-        paragraphs[-1] += words
+        m = broken_end(line)
+        if m and tokens and i in joins:
+            carry = (tokens[-1][:-1], m[2], joins[i])
+            tokens = tokens[:-1]
+        paragraphs[-1] += tokens
     if carry:
         paragraphs[-1].append(carry[0] + carry[1])
 
     def fix(raw: str) -> str:
         w = core(raw)
-        if not w or not editor.misread(w):
-            return raw
-        new = editor.edit(w)[1]
-        low = raw.lower()
-        at = low.find(w)
+        new = words.get(w)
+        at = raw.lower().find(w) if new else -1
         if at < 0:
             return raw
         was = raw[at : at + len(w)]
@@ -484,40 +673,20 @@ def repaired(editor: Editor, page_model: Perceptron, doc_id: str | None, title:
     return "\n\n".join(" ".join(map(fix, p)) for p in paragraphs if p)
 
 
-def _model(segments: DataFrame) -> Any:
-    editor = Editor(lexicon(segments)).fit()
-    return segments.sparkSession.sparkContext.broadcast((editor, furniture_model()))
-
-
-def find_noise(segments: DataFrame) -> DataFrame:
-    """(seg_uid, line_no, kind) of furniture, hyphen and misread lines.
-
-    Null, empty and blank contents have no cases; blank lines are never cases; every row counts by
-    itself, repeated or not. A content of a single line has no furniture. The editor learns from a
-    bounded part of a bounded lexicon (:func:`lexicon`); the counts behind it and the cases cover every
-    row. Missing titles or document ids only leave out the features that need them.
-    """
-    model = _model(segments)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        editor, pages = model.value
-        for b in batches:
-            uid, doc, title, content = (b.column(i).to_pylist() for i in range(4))
-            rows = [(u, i, k) for u, d, t, c in zip(uid, doc, title, content) for i, k in analyse(editor, pages, d, t, c)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], names=["seg_uid", "line_no", "kind"])
-
-    return segments.select("seg_uid", "doc_id", "section_title", "content").mapInArrow(run, "seg_uid long, line_no int, kind string")
-
-
 def repair(segments: DataFrame) -> DataFrame:
     """(seg_uid, text): each content as continuous paragraphs; null stays null, blank stays as it is."""
-    model = _model(segments)
+    s = analyse(segments)
+    whole = F.when(F.col("joins"), F.concat("word", "right")).otherwise(F.concat("word", F.lit("-"), "right"))
+    fixes = s.wrong.where("printed is not null").select("seg_uid", "word", "printed").unionByName(s.joins.where("printed is not null").select("seg_uid", whole.alias("word"), "printed")).distinct()
+    junk = s.junk.groupBy("seg_uid").agg(F.collect_list("line_no").alias("junk"))
+    joins = s.joins.groupBy("seg_uid").agg(F.collect_list(F.struct("line_no", "joins")).alias("joins"))
+    words = fixes.groupBy("seg_uid").agg(F.collect_list(F.struct("word", "printed")).alias("words"))
+    t = segments.select("seg_uid", "content").join(junk, "seg_uid", "left").join(joins, "seg_uid", "left").join(words, "seg_uid", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        editor, pages = model.value
         for b in batches:
-            uid, doc, title, content = (b.column(i).to_pylist() for i in range(4))
-            text = [repaired(editor, pages, d, t, c) for d, t, c in zip(doc, title, content)]
-            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(text, pa.string())], names=["seg_uid", "text"])
+            rows = zip(*(b.column(i).to_pylist() for i in range(5)))
+            text = [repaired(c, set(j or ()), {x["line_no"]: x["joins"] for x in o or ()}, {x["word"]: x["printed"] for x in w or ()}) for _, c, j, o, w in rows]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string())], names=["seg_uid", "text"])
 
-    return segments.select("seg_uid", "doc_id", "section_title", "content").mapInArrow(run, "seg_uid long, text string")
+    return t.select("seg_uid", "content", "junk", "joins", "words").mapInArrow(run, "seg_uid long, text string")
