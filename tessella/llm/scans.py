@@ -430,7 +430,8 @@ def candidates(title: str | None, content: str) -> list[tuple[int, list[str], st
         short = lambda j: 0 <= j < len(filled) and len(forms[filled[j]]) <= 4
         open_before = bool(before) and before[-1] not in _SENTENCE_END
         goes_on = after[:1].islower()
-        if row or line[0].islower() and not words == ["#"] and not overlap >= 0.6:
+        counted = numbers > 0 and len(words) <= 4
+        if row or line[0].islower() and not counted and not overlap >= 0.6:
             vote = -1
         elif open_before and goes_on and line[-1] not in ".,;:":
             vote = 1
@@ -458,8 +459,8 @@ def recurrence(lines: DataFrame) -> DataFrame:
     times = once.groupBy("doc", "key").agg(F.count(F.lit(1)).alias("times"), F.count_distinct("copy").alias("copies"), (F.min("numbers") != F.max("numbers")).alias("varies"))
     times = stage(times, "line-times")
     docs = times.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    times = stage(hot_join(times, docs, ["key"], "left", spread=F.xxhash64("doc")), "line-docs")
     back = hot_join(keyed.select("seg_uid", "line_no", "doc", "key"), times, ["doc", "key"], "left", spread=F.col("seg_uid"))
-    back = hot_join(back, docs, ["key"], "left", spread=F.col("seg_uid"))
     best = F.max(F.struct("times", "copies", "varies"))
     return back.groupBy("seg_uid", "line_no").agg(best.alias("b"), F.coalesce(F.max("docs"), F.lit(1)).alias("docs")).select("seg_uid", "line_no", "b.times", "b.copies", "b.varies", "docs")
 
@@ -597,21 +598,24 @@ def join_verdicts(ends: DataFrame, counts: DataFrame, editor: Any) -> DataFrame:
     bad = stage(verdicts(new.select("word", F.greatest("n", F.lit(1)).alias("n")), near.withColumn("n", F.greatest("n", F.lit(1))), editor), "misread-breaks")
     behind = bad.where("printed is not null").select("word", "printed").join(counts.select(F.col("word").alias("printed"), F.col("n").alias("m")), "printed")
     info = stage(known.join(behind.select("word", "m"), "word", "left").select("word", F.col("n"), F.coalesce(F.when(F.col("n") > 0, F.col("n")), F.floor(F.col("m") / 4), F.lit(0)).alias("best")), "break-words")
-    t = ends.withColumn("_l", F.element_at(F.split("left", "-"), -1)).withColumn("_r", F.get(F.split("right", "-"), 0))
-    for name, word, value in (("whole_n", "whole", "best"), ("hyphened_n", "hyphened", "n"), ("left_n", "_l", "n"), ("right_n", "_r", "n")):
-        t = hot_join(t, info.select(F.col("word").alias(word), F.col(value).alias(name)), [word], "left", spread=F.xxhash64("left", "right"))
+    # all four lookups of a break in one join
+    parts = [("whole", F.col("whole")), ("hyphened", F.col("hyphened")), ("l", F.element_at(F.split("left", "-"), -1)), ("r", F.get(F.split("right", "-"), 0))]
+    asks = stage(ends.select("left", "right", "mark", F.explode(F.array(*[F.struct(F.lit(k).alias("role"), w.alias("word")) for k, w in parts])).alias("a")).select("left", "right", "mark", "a.role", "a.word"), "break-asks")
+    told = hot_join(asks, info, ["word"], "left", spread=F.xxhash64("left", "right", "role"))
+    pick = lambda role, value: F.coalesce(F.max(F.when(F.col("role") == role, F.col(value))), F.lit(0)).alias(f"{role}_n")
+    t = told.groupBy("left", "right", "mark").agg(pick("whole", "best"), pick("hyphened", "n"), pick("l", "n"), pick("r", "n"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = editor.value
         for b in batches:
             rows = list(zip(*(b.column(i).to_pylist() for i in range(7))))
-            joins = [e.join.score(e.join_features(w or 0, h or 0, (l or 0) > 0, (r or 0) > 0, m)) > 0 for *_, m, w, h, l, r in rows]
+            joins = [e.join.score(e.join_features(w, h, l > 0, r > 0, m)) > 0 for *_, m, w, h, l, r in rows]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(joins, pa.bool_())], names=["left", "right", "mark", "joins"])
 
-    joined = t.select("left", "right", "mark", "whole_n", "hyphened_n", "left_n", "right_n").mapInArrow(judge, "left string, right string, mark string, joins boolean")
+    joined = t.mapInArrow(judge, "left string, right string, mark string, joins boolean")
     joined = joined.withColumn("word", F.when(F.col("joins"), F.concat("left", "right")).otherwise(F.concat("left", F.lit("-"), "right")))
     # a hyphened word is known by its parts where it is not known as a whole
-    out = hot_join(joined, bad, ["word"], "left", spread=F.xxhash64("left", "right"))
+    out = hot_join(stage(joined, "judged-breaks"), bad, ["word"], "left", spread=F.xxhash64("left", "right"))
     compound = ~F.col("joins") & F.col("printed").isNull()
     return out.select("left", "right", "mark", "joins", F.when(~compound, F.col("place")).alias("place"), "printed")
 
