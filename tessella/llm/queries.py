@@ -58,7 +58,11 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return subject.composition(load(spark, d, "documents"), load(spark, d, "subject_examples"), load(spark, d, "subject_areas"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p3_found, p3_fused, p6_found, p6_text, p8_ids, p9_packed, p9_fill, p10_found, p10_composition)}
+def p10_leaves(spark: SparkSession, d: str) -> DataFrame:
+    return subject.leaf_report(load(spark, d, "documents"), load(spark, d, "subject_examples"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p3_found, p3_fused, p6_found, p6_text, p8_ids, p9_packed, p9_fill, p10_found, p10_composition, p10_leaves)}
 
 _FOLDED = """folded AS (SELECT rec_id, regexp_replace(lower(label), '[^\\p{L}\\p{Nd}]', '', 'g') AS a, regexp_replace(lower(type), '[^\\p{L}\\p{Nd}]', '', 'g') AS b
   FROM kg_entities WHERE op = 'upsert' AND label IS NOT NULL AND type IS NOT NULL),
