@@ -365,6 +365,18 @@ def masked(line: str) -> list[str]:
     return _NUMBERISH.sub("#", " ".join(line.lower().split())).split(" ")
 
 
+class _Masked(dict):
+    """The masked words of lines, worked out where they are asked for."""
+
+    def __init__(self, lines: list[str]):
+        super().__init__()
+        self.lines = lines
+
+    def __missing__(self, i: int) -> list[str]:
+        self[i] = got = masked(self.lines[i])
+        return got
+
+
 def without_title(words: list[str], title: list[str]) -> list[str]:
     """A line with the section title in it, one word of which may be misread, as '@'."""
     k = len(title)
@@ -395,13 +407,17 @@ def candidates(title: str | None, content: str) -> list[tuple[int, list[str], st
         return []
     titled = [w for w in masked(title or "") if w]
     of_title = set(titled) - {"#"}
-    forms = {i: masked(lines[i]) for i in filled}
+    forms = _Masked(lines)
 
     def kind(i: int) -> tuple[float, float] | None:
         """Share of capitalised words and of words of the title; None if the line is no candidate."""
-        line, words = lines[i], forms[i]
+        line = lines[i]
         if len(line) > 120:
             return None
+        plain = line.split(" ")
+        if len(plain) > 4 and 2 * sum(w[:1].islower() for w in plain) > len(plain) and 5 * sum(w in of_title for w in plain) < len(plain):
+            return None
+        words = forms[i]
         alphas = [w for w in line.split(" ") if w[:1].isalpha()]
         capital = sum(w[0].isupper() for w in alphas) / len(alphas) if alphas else 1.0
         overlap = sum(w in of_title for w in words if w != "#") / max(1, sum(w != "#" for w in words)) if of_title else 0.0
@@ -520,7 +536,22 @@ def broken_end(line: str) -> re.Match[str] | None:
     return _WORD_AT_END.search(line) if line.rstrip()[-1:] in tuple(MARKS) else None
 
 
-def parts_of(content: str, junk: set[int]) -> tuple[list[tuple[int, int, str, str, str]], list[tuple[int, str]]]:
+class Tokens(dict):
+    """Tokens as they stand to the words to be looked up: '' for those passed over."""
+
+    def __init__(self, skip: frozenset[str]):
+        super().__init__()
+        self.skip = skip
+
+    def __missing__(self, raw: str) -> str:
+        if len(self) > FLUSH_WORDS:
+            self.clear()
+        w = core(raw)
+        self[raw] = w = w if w not in self.skip and wordlike(w) else ""
+        return w
+
+
+def parts_of(content: str, junk: set[int], tokens_of: dict[str, str]) -> tuple[list[tuple[int, int, str, str, str]], list[tuple[int, str]]]:
     """Broken words (line_no, next line_no, left, right, mark) and the other words (line_no, word) of the lines of text."""
     lines = content.split("\n")
     text = [i for i, l in enumerate(lines) if l.strip() and i not in junk]
@@ -538,7 +569,7 @@ def parts_of(content: str, junk: set[int]) -> tuple[list[tuple[int, int, str, st
             if a and b and not b.isdigit():
                 broken.append((i, text[k + 1], a, b, m[2]))
                 tokens, taken_first = tokens[:-1], True
-        words += [(i, w) for raw in tokens if wordlike(w := core(raw))]
+        words += [(i, w) for raw in tokens if (w := tokens_of[raw])]
     return broken, words
 
 
@@ -567,14 +598,14 @@ def analyse(segments: DataFrame) -> Scans:
     held = junk.groupBy("seg_uid").agg(F.collect_list("line_no").alias("junk"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        skip = known.value
+        tokens = Tokens(known.value)
         for b in batches:
             rows: list[tuple] = []
             for u, text, lines in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if text and not text.isspace():
-                    broken, words = parts_of(text, set(lines or ()))
+                    broken, words = parts_of(text, set(lines or ()), tokens)
                     rows += [(u, *x) for x in broken]
-                    rows += [(u, i, None, w, None, None) for i, w in dict.fromkeys(words) if w not in skip]
+                    rows += [(u, i, None, w, None, None) for i, w in dict.fromkeys(words)]
             types = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["seg_uid", "line_no", "next_no", "word", "right", "mark"])
 

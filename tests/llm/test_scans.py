@@ -67,7 +67,7 @@ def corpus():
 
 @pytest.fixture(scope="module")
 def found(spark, corpus):
-    extra = [(9000, "A", "Scope", None, 0, ""), (9001, "A", None, "", 0, ""), (9002, None, None, " \n ", 0, ""), (9003, "A", "Scope", "Annual Sustainability Report 2023", 0, ""), (9004, None, None, "A line\n\n(restated) CO2-e 2020", 0, "")]
+    extra = [(9000, "A", "Scope", None, 0, ""), (9001, "A", None, "", 0, ""), (9002, None, None, " \n ", 0, ""), (9003, "A", "Scope", "Annual Sustainability Report 2023", 0, ""), (9004, None, None, "The policy\n\n(policy) 2020", 0, "")]
     return [tuple(r) for r in scans.find_noise(spark.createDataFrame(corpus.rows + extra, SCHEMA)).collect()]
 
 
