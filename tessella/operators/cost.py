@@ -23,7 +23,7 @@ def priced(usage: DataFrame, pricing: DataFrame, default: str = DEFAULT_MODEL) -
     cin = F.col("input_tokens") / 1e6 * F.coalesce("input_usd", "d_in")
     cout = F.col("output_tokens") / 1e6 * F.coalesce("output_usd", "d_out")
     span = F.when(F.col("page_start").isNotNull() & F.col("page_end").isNotNull(), F.col("page_end") - F.col("page_start") + 1)
-    return t.select("usage_id", "document_name", "run_id", "segment_id", "model", "input_tokens", "output_tokens", cin.alias("input_cost"), cout.alias("output_cost"), (cin + cout).alias("total_cost"), span.alias("page_span"))
+    return t.select("usage_id", "document_name", "run_id", "segment_id", "model", "input_tokens", "output_tokens", cin.alias("input_cost"), cout.alias("output_cost"), (cin + cout).alias("total_cost"), "page_start", "page_end", span.alias("page_span"))
 
 
 def document_summary(calls: DataFrame) -> DataFrame:

@@ -52,6 +52,47 @@ def call_provider(prompted: DataFrame, provider: Provider, parallelism: int, pau
     return stage(asked.mapInPandas(run, "seg_uid long, doc_id string, answer string, error string"), "answers")
 
 
+# The experiments of a document, by id: name and description.
+EXPERIMENTS = {
+    "1_ontology_guided": ("Ontology-Guided Extraction", "Extraction with the whole guidance of the ontology"),
+    "2_baseline_llm": ("Baseline (Unconstrained)", "Unconstrained extraction without ontology schema"),
+}
+
+
+def answer_tables(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities, relationships) of provider answers (seg_uid, doc_id, answer), all segments together and without
+    removing repeats; an answer that cannot be read has none."""
+    read = read_answers(answers.withColumnRenamed("seg_uid", "payload_id"), "answer", "graph")
+    return graph_rows(stage(read.select("payload_id", "doc_id", "graph"), "answer-graphs").where("graph is not null"))
+
+
+def experiments(guided: DataFrame, answers: DataFrame) -> DataFrame:
+    """(doc_id, experiment, name, description, entities, relationships, failed): both experiments of each document.
+
+    The first takes over the graphs of ``guided`` (doc_id, graph), none if a document has no file; the second
+    gathers the answers of all segments. It fails as a whole if one answer is a JSON list instead of an
+    object."""
+    items = lambda v, k: F.coalesce(as_list(field_of(v, k)), F.array().cast("array<variant>"))
+    names = answers.select("doc_id").distinct()
+    first = names.join(guided.select("doc_id", "graph"), "doc_id", "left").select("doc_id", F.lit("1_ontology_guided").alias("experiment"), items(F.col("graph"), "entities").alias("entities"), items(F.col("graph"), "relationships").alias("relationships"), F.lit(False).alias("failed"))
+    whole = F.try_variant_get(F.try_parse_json("answer"), "$", "array<variant>").isNotNull()
+    read = read_answers(answers.withColumn("_list", whole), "answer", "graph").select("doc_id", "seg_uid", "_list", "graph")
+    read = stage(read, "experiment-answers")
+    parts = F.array_sort(F.collect_list(F.struct("seg_uid", F.to_json(items(F.col("graph"), "entities")).alias("e"), F.to_json(items(F.col("graph"), "relationships")).alias("r"))))
+    gathered = read.groupBy("doc_id").agg(parts.alias("p"), F.max("_list").alias("failed"))
+    unite = lambda k: F.flatten(F.transform("p", lambda x: F.try_variant_get(F.parse_json(x[k]), "$", "array<variant>")))
+    second = gathered.select("doc_id", F.lit("2_baseline_llm").alias("experiment"), unite("e").alias("entities"), unite("r").alias("relationships"), "failed")
+    both = first.unionByName(second)
+    label = lambda i: F.coalesce(*[F.when(F.col("experiment") == k, F.lit(x[i])) for k, x in EXPERIMENTS.items()])
+    return both.select("doc_id", "experiment", label(0).alias("name"), label(1).alias("description"), "entities", "relationships", "failed")
+
+
+def batch_summary(results: DataFrame, seconds: float = 0.0) -> DataFrame:
+    """One row for a batch: documents, those of which no experiment failed, and what all found."""
+    per = results.groupBy("doc_id").agg(F.max("failed").alias("failed"), F.sum(F.size("entities")).alias("e"), F.sum(F.size("relationships")).alias("r"))
+    return per.agg(F.lit(True).alias("success"), F.count(F.lit(1)).alias("total_documents"), F.count_if(~F.col("failed")).alias("successful"), F.count_if("failed").alias("failed"), F.coalesce(F.sum("e"), F.lit(0)).alias("entities"), F.coalesce(F.sum("r"), F.lit(0)).alias("relationships"), F.lit(seconds).alias("elapsed_time"))
+
+
 def answer_kind(payloads: DataFrame) -> DataFrame:
     """How each answer could be read: plain, wrapped (fence or surrounding text) or failed."""
     t = read_answers(payloads, "payload", "v").select("payload_id", "doc_id", F.col("v").isNull().alias("bad"), F.try_parse_json("payload").isNotNull().alias("whole"))
@@ -62,8 +103,8 @@ def experiment_counts(payloads: DataFrame) -> DataFrame:
     """Per document: payloads by the experiment their graph comes from, and entities at the top of it."""
     t = read_answers(payloads, "payload", "v").select("doc_id", "v", choose_graph(F.col("v")).alias("g"))
     method = F.when(F.col("g").isNull(), "none").when(F.try_variant_get("v", "$.experiments['2_baseline_llm']", "variant").isNotNull(), "baseline").otherwise("guided")
-    n = F.coalesce(F.size(F.try_variant_get("g", "$.entities", "array<variant>")), F.lit(0))
-    return t.groupBy(method.alias("method")).agg(F.count(F.lit(1)).alias("n_payloads"), F.sum(n).cast("long").alias("n_listed"))
+    n = lambda k: F.coalesce(F.size(F.try_variant_get("g", f"$.{k}", "array<variant>")), F.lit(0))
+    return t.groupBy(method.alias("method")).agg(F.count(F.lit(1)).alias("n_payloads"), F.sum(n("entities")).cast("long").alias("n_listed"), F.sum(n("relationships")).cast("long").alias("n_rels_listed"))
 
 
 def stamp_provenance(ents: DataFrame, now: str) -> DataFrame:

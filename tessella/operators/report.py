@@ -33,6 +33,11 @@ def type_counts(ents: DataFrame) -> DataFrame:
     return ents.groupBy("doc_id").agg(*[F.count_if(F.col("type") == t).alias(t.lower()) for t in ENTITY_TYPES], F.count_if(~F.coalesce(F.col("type"), F.lit("")).isin(ENTITY_TYPES)).alias("other"))
 
 
+def predicate_counts(rels: DataFrame) -> DataFrame:
+    """Relationships of each document by predicate; a missing one counts as 'Unknown'."""
+    return rels.groupBy("doc_id", F.coalesce("predicate", F.lit("Unknown")).alias("predicate")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def rule_matrix(rule_results: DataFrame) -> DataFrame:
     """One row per document, one cell per rule: PASS, FAIL (n) or N/A."""
     cell = F.when(F.col("passed"), "PASS").otherwise(F.format_string("FAIL (%d)", "violation_count"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella import vocab
 from tessella.operators import cascade, gate, graph, kg, layout, report, rules
 from tessella.session import load, stage
+from tessella.sources import reports
 
 
 def _ents(spark: SparkSession, d: str) -> DataFrame:
@@ -155,6 +156,17 @@ def document_stages(spark, d):
     return report.summary(_valid(spark, d))
 
 
+def validation_report(spark, d):
+    """The lines of the report by section, in no order."""
+    v = _valid(spark, d)
+    v.ends = stage(v.ends.select("doc_id", "subject", "predicate", "bad", "alive"), "ends")
+    return reports.validation_report(v, load(spark, d, "doc_metadata"), rules.results(v.gated_ids, v.gated_rels), _ents(spark, d)).select("section", "value")
+
+
+def predicate_counts(spark, d):
+    return report.predicate_counts(_rels(spark, d))
+
+
 def report_examples(spark, d):
     v = _valid(spark, d)
     return report.examples(v)
@@ -218,7 +230,7 @@ def triples(spark, d):
 _NAMES = """dedup_entities type_gate gate_prompt gate_accuracy gate_entities gate_relationships cascade_entities cascade_relationships
 cascade_summary vr001 vr002 vr003 vr004 vr005 vr006 rule_scores compliance violation_stats rule_matrix segment_retention
 mean_segment_retention signature_check type_distribution predicate_distribution type_counts provenance_coverage document_report
-grand_totals document_stages report_examples failed_entities failures_per_document metric_merge edge_redirect effective_type legend induced_edges
+grand_totals document_stages validation_report predicate_counts report_examples failed_entities failures_per_document metric_merge edge_redirect effective_type legend induced_edges
 parent_map children_map category_order model_order graph_layout triples"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
@@ -331,6 +343,34 @@ s AS (SELECT *, CASE WHEN n_children > 0 THEN 'middle' WHEN r <= bare // 2 THEN
 SELECT doc_id, id, n_children, row_number() OVER (PARTITION BY doc_id ORDER BY CASE side WHEN 'left' THEN 0 WHEN 'middle' THEN 1 ELSE 2 END, r)::INTEGER AS k, side FROM s"""
 
 
+def _report() -> str:
+    """The lines of the validation report by section."""
+    line = lambda n, text: f"SELECT {n} AS section, unnest(['{text}', repeat('=', length('{text}'))]) AS value"
+    head = lambda n, text, cols: f"SELECT {n} AS section, unnest(['{text}', repeat('=', length('{text}')), {cols}, repeat('-', length({cols}))]) AS value"
+    dist = lambda n, key, sql: f"SELECT {n}, printf('%-24s %10d %10d %8.1f', substring({key}, 1, 24), n_before, n_after, retention) FROM ({sql})"
+    doc = "substring(coalesce(doc_id, ''), 1, 40)"
+    names = ["Entity Uniqueness", "Entity Type-Specific Schema Compliance", "Metric Property Values", "Model Property Values", "Relationship Predicate Validity", "CalculatedMetric-Model Links"]
+    facts = ["documents", "pages", "segments", "entities", "validated", "metrics"]
+    return f"""{_DOCS}, td AS ({_TYPES}), pd AS ({_PREDICATES}),
+tot AS (SELECT count(*) AS documents, sum(total_pages) AS pages, sum(total_segments) AS segments, sum(entities_before) AS entities, sum(entities_after) AS validated, sum(n_metrics) AS metrics FROM docs),
+ce AS (SELECT d.doc_id, r.rule, r.name, coalesce((CASE WHEN s.passed THEN 'PASS' WHEN s.passed IS NOT NULL THEN 'FAIL (' || s.violation_count || ')' END), 'N/A') AS cell
+  FROM (SELECT DISTINCT doc_id FROM scores) d CROSS JOIN (SELECT unnest(['VR001', 'VR002', 'VR003', 'VR004', 'VR005', 'VR006']) AS rule, unnest({names}) AS name) r LEFT JOIN scores s ON s.doc_id = d.doc_id AND s.rule_id = r.rule)
+SELECT section::INTEGER AS section, value FROM (
+{line(1, "1. OVERALL STATISTICS")} UNION ALL SELECT 1, printf('%-24s %12d', k, x::BIGINT) FROM (SELECT unnest(['Documents', 'Pages', 'Segments', 'Entities extracted', 'Entities validated', 'Metrics']) AS k, unnest([{", ".join(f + "::BIGINT" for f in facts)}]) AS x FROM tot)
+UNION ALL {head(2, "2. QUALITY METRICS", "printf('%-40s %10s %10s %11s', 'Document', 'Schema %', 'Accuracy %', 'Rels kept %')")} UNION ALL SELECT 2, printf('%-40s %10.2f %10.2f %11.2f', {doc}, compliance, accuracy, rel_retention) FROM docs
+UNION ALL {head(3, "3. DOCUMENT SUMMARY", "printf('%-40s %7s %9s %9s %9s %9s %9s', 'Document', 'Pages', 'Segments', 'Entities', 'Valid', 'Rels', 'Valid')")} UNION ALL SELECT 3, printf('%-40s %7d %9d %9d %9d %9d %9d', {doc}, total_pages, total_segments, entities_before, entities_after, rels_before, rels_after) FROM docs
+UNION ALL {head(4, "4. ENTITY TYPES", "printf('%-24s %10s %10s %8s', 'Type', 'Extracted', 'Validated', 'Kept %')")} UNION ALL {dist(4, 'type', 'SELECT * FROM td')}
+UNION ALL {head(5, "5. RELATIONSHIP PREDICATES", "printf('%-24s %10s %10s %8s', 'Predicate', 'Extracted', 'Validated', 'Kept %')")} UNION ALL {dist(5, 'predicate', 'SELECT * FROM pd')}
+UNION ALL {head(6, "6. VALIDATION RULES", "printf('%-6s %-40s %-40s Result', 'Rule', 'Name', 'Document')")} UNION ALL SELECT 6, printf('%-6s %-40s %-40s %s', rule, name, {doc}, cell) FROM ce
+UNION ALL {head(7, "7. PROVENANCE", "printf('%-40s %9s %10s %8s', 'Document', 'Entities', 'Segment %', 'Time %')")} UNION ALL SELECT 7, printf('%-40s %9d %10.1f %8.1f', {doc}, count(*), round(count(*) FILTER (coalesce(provenance['segment_id'], '') <> '')::DOUBLE / count(*) * 100, 1), round(count(*) FILTER (coalesce(provenance['extraction_timestamp'], '') <> '')::DOUBLE / count(*) * 100, 1)) FROM ent GROUP BY doc_id)"""
+
+
+_TYPES = f"""SELECT coalesce(type, 'TOTAL') AS type, sum(b)::BIGINT AS n_before, sum(a)::BIGINT AS n_after, CASE WHEN sum(b) = 0 THEN 0.0::DOUBLE ELSE round(sum(a)::DOUBLE / sum(b) * 100, 1) END AS retention
+FROM (SELECT t.type, (SELECT count(*) FROM ent WHERE ent.type = t.type) AS b, (SELECT count(*) FROM vent WHERE vent.type = t.type) AS a FROM (SELECT unnest({vocab.ENTITY_TYPES}) AS type) t) GROUP BY ROLLUP (type)"""
+_PREDICATES = """SELECT CASE WHEN grouping(p) = 1 THEN 'TOTAL' ELSE p END AS predicate, sum(x)::BIGINT AS n_before, sum(y)::BIGINT AS n_after, CASE WHEN sum(x) = 0 THEN 0.0::DOUBLE ELSE round(sum(y)::DOUBLE / sum(x) * 100, 1) END AS retention
+FROM (SELECT a.p, a.n AS x, coalesce(b.n, 0) AS y FROM (SELECT coalesce(predicate, 'Unknown') AS p, count(*) AS n FROM kg_relationships GROUP BY 1) a LEFT JOIN (SELECT coalesce(predicate, 'Unknown') AS p, count(*) AS n FROM vrel GROUP BY 1) b ON a.p = b.p) GROUP BY ROLLUP (p)"""
+
+
 def _spread(n: str, least: int, most: int) -> str:
     return f"CASE WHEN {n} <= 1 THEN {most + 5} WHEN {n} = 2 THEN {most} WHEN {n} = 3 THEN {most - 2} WHEN {n} = 4 THEN {most - 4} WHEN {n} = 5 THEN {most - 6} WHEN {n} = 6 THEN {most - 8} ELSE {least} END"
 
@@ -427,6 +467,8 @@ SELECT rel_id, doc_id, subject, predicate, object FROM t WHERE subject IS DISTIN
 FROM kg_relationships WHERE predicate IN ('ConsistOf', 'RequiresInputFrom') AND subject IS NOT NULL AND object IS NOT NULL""",
     "category_order": _order("Category"),
     "model_order": _order("Model"),
+    "predicate_counts": "SELECT doc_id, coalesce(predicate, 'Unknown') AS predicate, count(*) AS n FROM kg_relationships GROUP BY 1, 2",
+    "validation_report": _report(),
     "document_stages": f"""WITH {_VALID} SELECT e.doc_id, e.n AS extracted, coalesce(g.n, 0) AS gated, coalesce(v.n, 0) AS validated, coalesce(r.n, 0) AS rels_extracted, coalesce(gr.n, 0) AS rels_gated, coalesce(w.n, 0) AS rels_validated
 FROM (SELECT doc_id, count(*) AS n FROM ent GROUP BY 1) e LEFT JOIN (SELECT doc_id, count(*) AS n FROM gated GROUP BY 1) g USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM vent GROUP BY 1) v USING (doc_id)
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM kg_relationships GROUP BY 1) r USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM grels GROUP BY 1) gr USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM vrel GROUP BY 1) w USING (doc_id)""",

@@ -9,7 +9,8 @@ from tessella.functions.text import clean_text as clean
 from tessella.operators import cascade, cost, extract, gate, kg, nested, segment
 from tessella.plans.graph_queries import _ENT, _GATE, _RET, _VALID
 from tessella.plans.problems import READ, _items
-from tessella.session import load, stage
+from tessella.session import load, stage, union_all
+from tessella.sources import reports
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -167,6 +168,24 @@ def method_summary(spark, d):
     return cost.method_summary(_wasted(spark, d))
 
 
+def cost_breakdown(spark, d):
+    return reports.cost_breakdown(cost.method_summary(_wasted(spark, d)))
+
+
+def cost_efficiency(spark, d):
+    return reports.cost_efficiency(cost.method_summary(_wasted(spark, d)))
+
+
+def document_costs(spark, d):
+    return reports.document_costs(_wasted(spark, d))
+
+
+def comparison_tables(spark, d):
+    """The four tables of two methods, one below the other as (table, row)."""
+    tables = reports.comparison_tables(cost.method_summary(_wasted_baseline(spark, d)), cost.method_summary(_wasted(spark, d)))
+    return union_all([t.select(F.lit(name).alias("name"), F.array_join(F.array(*[F.col(c).cast("string") for c in t.columns]), ",").alias("row")) for name, t in tables.items()])
+
+
 def baseline_cost(spark, d):
     return _wasted_baseline(spark, d)
 
@@ -189,7 +208,7 @@ def method_insights(spark, d):
 
 _NAMES = """clean_text title_extract toc_page toc_entries embedded_toc first_content_page fixed_chunking metadata_ranges section_ranges page_section_join section_content
 section_stats segment_words table_merge table_headers extraction_prompts answer_kinds experiment_counts token_cost cost_summary cost_batch cost_basis
-cost_ranking token_summary uncalled_segments wasted_cost baseline_cost method_summary method_savings method_comparison method_insights"""
+cost_ranking token_summary uncalled_segments wasted_cost cost_breakdown cost_efficiency document_costs comparison_tables baseline_cost method_summary method_savings method_comparison method_insights"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _WS = r"[\t-\r \p{Z}]"
@@ -333,7 +352,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY line_no) AS k FROM
 SELECT doc, (k - 1)::INTEGER AS toc_idx, k::VARCHAR AS number, regexp_replace({_trim("title")}, '{_WS}+', ' ', 'g') AS title, CASE WHEN page = '' THEN k + 1 ELSE try_cast(page AS BIGINT) END AS page FROM k""",
     "answer_kinds": f"WITH {READ} SELECT CASE WHEN a IS NULL THEN 'failed' WHEN json_valid(payload) THEN 'plain' ELSE 'wrapped' END AS kind, count(*) AS n FROM rd GROUP BY 1",
     "experiment_counts": f"""WITH {READ}, al AS (SELECT rd.payload_id, gr.g, gr.baseline FROM rd LEFT JOIN gr USING (payload_id))
-SELECT CASE WHEN g IS NULL THEN 'none' WHEN baseline THEN 'baseline' ELSE 'guided' END AS method, count(*) AS n_payloads, sum(CASE WHEN json_type(json_extract(g, '$.entities')) = 'ARRAY' THEN json_array_length(g, '$.entities') ELSE 0 END)::BIGINT AS n_listed FROM al GROUP BY 1""",
+SELECT CASE WHEN g IS NULL THEN 'none' WHEN baseline THEN 'baseline' ELSE 'guided' END AS method, count(*) AS n_payloads, sum(CASE WHEN json_type(json_extract(g, '$.entities')) = 'ARRAY' THEN json_array_length(g, '$.entities') ELSE 0 END)::BIGINT AS n_listed, sum(CASE WHEN json_type(json_extract(g, '$.relationships')) = 'ARRAY' THEN json_array_length(g, '$.relationships') ELSE 0 END)::BIGINT AS n_rels_listed FROM al GROUP BY 1""",
     "token_cost": f"WITH {_USAGE} SELECT usage_id, input_cost, output_cost, input_cost + output_cost AS total_cost, page_end - page_start + 1 AS page_span FROM calls",
     "cost_summary": f"WITH {_COSTD} SELECT * FROM perdoc",
     "cost_batch": f"WITH {_COSTD} SELECT count(*) AS documents, sum(n_calls)::BIGINT AS n_calls, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(total_tokens)::BIGINT AS total_tokens, round(sum(total_cost), 4) AS total_cost, round(sum(total_cost) / count(*), 4) AS avg_cost_per_document, round(sum(total_cost) / sum(n_calls), 6) AS avg_cost_per_segment FROM perdoc",
@@ -346,6 +365,17 @@ AND NOT EXISTS (SELECT 1 FROM llm_usage u WHERE u.document_name = s.doc_id AND u
     "wasted_cost": f"WITH {_WASTED} SELECT * FROM w",
     "method_summary": f"WITH {_WASTED} {_method('w')}",
     "method_comparison": f"WITH {_COMPARE} SELECT * FROM cmp",
+    "cost_breakdown": f"""WITH {_WASTED}, m AS ({_method("w")}) SELECT 'Stage 2 Extraction' AS stage, printf('%.4f', extraction_cost) AS extraction_usd, '0.0000' AS validation_usd, printf('%.4f', extraction_cost) AS total_usd FROM m
+UNION ALL SELECT 'Stage 3 Validation', '0.0000', printf('%.4f', validation_cost), printf('%.4f', validation_cost) FROM m UNION ALL SELECT 'Total Pipeline', printf('%.4f', extraction_cost), printf('%.4f', validation_cost), printf('%.4f', extraction_cost + validation_cost) FROM m""",
+    "cost_efficiency": f"""WITH {_WASTED}, m AS ({_method("w")}) SELECT unnest(['Cost per Extracted Entity (USD)', 'Cost per Validated Entity (USD)', 'Entity Retention Rate (%)', 'Total Entities Extracted', 'Total Entities Validated', 'Total Entities Filtered', 'Wasted Cost (USD)']) AS metric,
+  unnest([printf('%.6f', cost_per_extracted), printf('%.6f', cost_per_validated), printf('%.2f', retention), extracted::VARCHAR, validated::VARCHAR, (extracted - validated)::VARCHAR, printf('%.4f', wasted_cost)]) AS value FROM m""",
+    "document_costs": f"""WITH {_WASTED} SELECT document_name AS document, printf('%.4f', floor((round((extraction_cost) * 1e6) + 50) / 100) / 1e4) AS extraction_usd, printf('%.4f', floor((round((validation_cost) * 1e6) + 50) / 100) / 1e4) AS validation_usd, printf('%.4f', floor((round((extraction_cost + validation_cost) * 1e6) + 50) / 100) / 1e4) AS total_usd, entities_before AS extracted, entities_after AS validated,
+  printf('%.2f', CASE WHEN entities_before = 0 THEN 0.0::DOUBLE ELSE entities_after::DOUBLE / entities_before * 100 END) AS retention, printf('%.4f', floor((round((wasted_cost) * 1e6) + 50) / 100) / 1e4) AS wasted_usd FROM w""",
+    "comparison_tables": f"""WITH {_COMPARE}, b AS (SELECT 'Baseline' AS method, * FROM m1 UNION ALL SELECT 'Ontology-Guided', * FROM m2)
+SELECT 'comparison_total_cost' AS name, concat_ws(',', method, printf('%.4f', extraction_cost), printf('%.4f', validation_cost), printf('%.4f', total_cost)) AS row FROM b
+UNION ALL SELECT 'comparison_wasted_cost', concat_ws(',', method, printf('%.4f', effective_cost), printf('%.4f', wasted_cost), printf('%.4f', total_cost), printf('%.2f', wasted_percent)) FROM b
+UNION ALL SELECT 'comparison_entity_retention', concat_ws(',', method, extracted, validated, extracted - validated, printf('%.2f', retention)) FROM b
+UNION ALL SELECT 'comparison_cost_efficiency', concat_ws(',', method, printf('%.6f', total_per_validated), printf('%.4f', total_cost), validated) FROM b""",
     "baseline_cost": f"WITH {_BASE_COST} SELECT * FROM bw",
     "method_savings": f"WITH {_COMPARE} SELECT round((baseline - guided) / baseline * 100, 1) AS savings FROM cmp WHERE metric = 'total_per_validated' AND baseline > 0 AND guided > 0",
     "method_insights": f"""WITH {_COMPARE}, g AS (SELECT *, CASE WHEN metric = 'retention' THEN guided - baseline ELSE baseline - guided END AS gain FROM cmp)

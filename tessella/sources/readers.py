@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from urllib.parse import unquote
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,25 +67,91 @@ def cost_reports(spark: SparkSession, folder: str, suffix: str = "ontology_guide
     return raw.select(F.regexp_replace("document_name", r"_(ontology_guided|baseline)$", "").alias("document_name"), F.posexplode("per_segment_usage").alias("call_no", "u")).select("document_name", "call_no", "u.*")
 
 
+def files_in(spark: SparkSession, folder: str, glob: str) -> tuple[bool, str | None]:
+    """Whether a folder holds files of a pattern, else what is wrong with it: a value, not an exception."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return False, "Directory not found"
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, glob))
+    return (True, None) if found is not None and len(found) else (False, "No files found")
+
+
+PAGE = "doc_id string, page_num int, text string, tables array<array<array<string>>>, error string"
+
+
 def page_files(spark: SparkSession, folder: str, reader: PageReader, glob: str = "*.pdf") -> DataFrame:
-    """(doc_id, page_num, text, error) of binary documents by a pluggable ``reader`` of bytes.
+    """(doc_id, page_num, text, tables, error) of binary documents by a pluggable ``reader`` of bytes, which gives the
+    text and the raw tables of each page.
 
-    A document that cannot be read gives one row with its error instead of failing the job."""
+    A document that cannot be read gives one row with its error instead of failing the job; a folder
+    that is missing or holds no such file gives a single row without a document (see :func:`batch_result`)."""
     ship(spark)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for path, content in zip(f["path"], f["content"]):
-                name = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    ok, error = files_in(spark, folder, glob)
+    if not ok:
+        return spark.createDataFrame([(None, None, None, None, error)], PAGE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.string()), ("page_num", pa.int32()), ("text", pa.string()), ("tables", pa.list_(pa.list_(pa.list_(pa.string())))), ("error", pa.string())])
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                name = unquote(path.rsplit("/", 1)[-1].rsplit(".", 1)[0])
                 try:
-                    out += [(name, i, text, None) for i, (text, _) in enumerate(reader(bytes(content)))]
+                    out = [(name, i, text, tables, None) for i, (text, tables) in enumerate(reader(bytes(content)))]
                 except Exception as e:  # noqa: BLE001 - one bad document must not fail the job
-                    out.append((name, None, None, str(e)))
-            yield pd.DataFrame(out, columns=["doc_id", "page_num", "text", "error"]).astype({"page_num": "Int32"})
+                    out = [(name, None, None, None, str(e))]
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema=schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "content")
-    return files.mapInPandas(run, "doc_id string, page_num int, text string, error string")
+    return files.mapInArrow(run, PAGE)
+
+
+def batch_result(pages: DataFrame) -> DataFrame:
+    """(success, total_files, successful, failed, error) of a batch of documents in one row."""
+    per = pages.groupBy("doc_id").agg(F.max("error").alias("error"))
+    g = per.agg(F.count("doc_id").alias("total_files"), F.count_if(F.col("doc_id").isNotNull() & F.col("error").isNull()).alias("successful"), F.count_if(F.col("doc_id").isNotNull() & F.col("error").isNotNull()).alias("failed"), F.max(F.when(F.col("doc_id").isNull(), F.col("error"))).alias("error"))
+    return g.select(F.col("error").isNull().alias("success"), "total_files", "successful", "failed", "error")
+
+
+def template_file(spark: SparkSession, path: str) -> str:
+    """A prompt template, as it stands in its file."""
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+@dataclass(frozen=True)
+class Settings:
+    """How to reach a model. ``error`` says why there is none; validation then runs with an open gate."""
+
+    api_key: str = field(default="", repr=False)
+    model: str = ""
+    max_tokens: int = 200
+    temperature: float = 0.0
+    error: str | None = None
+
+
+def provider_settings(path: str) -> Settings:
+    """The settings of a configuration file; a missing or unreadable one, or one without a key, is no exception."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            api = json.load(f).get("api_settings", {})
+    except (OSError, ValueError, AttributeError) as e:
+        return Settings(error=f"Failed to load configuration: {e}")
+    if not api.get("api_key"):
+        return Settings(error="No API key in configuration")
+    return Settings(api["api_key"], api.get("model", ""), int(api.get("max_tokens", 200)), float(api.get("temperature", 0)))
+
+
+def validated_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(document_name, original_entities, validated_entities, semantic_validation_cost, semantic_accuracy,
+    schema_compliance) of validated files; what a file does not say is 0."""
+    raw = spark.read.format("text").option("wholetext", True).option("pathGlobFilter", "*_validated.json").load(folder)
+    m = F.try_variant_get(F.try_parse_json("value"), "$.validation_metadata", "variant")
+    n = lambda path, kind: F.coalesce(F.try_variant_get("m", path, kind), F.lit(0).cast(kind))
+    named = _named(raw, "validated").select(F.col("doc_id").alias("document_name"), m.alias("m"))
+    return named.select(
+        "document_name", n("$.original_entity_count", "long").alias("original_entities"), n("$.validated_entity_count", "long").alias("validated_entities"), n("$.semantic_validation.llm_cost", "double").alias("semantic_validation_cost"),
+        n("$.quality_metrics.semantic_type_accuracy", "double").alias("semantic_accuracy"), n("$.quality_metrics.schema_compliance_weighted", "double").alias("schema_compliance"),
+    )
 
 
 def register_views(spark: SparkSession, sf_dir: str, tables: list[str]) -> None:

@@ -212,3 +212,33 @@ def test_layout(spark):
     at = {x.id: (x.x, x.y) for x in layout.layout(e, r).collect()}
     assert at["f"] == (0.0, 0.0) and at["c1"] == (-21.0, -26.0) and at["c2"] == (21.0, -26.0) and "odd" not in at
     assert [at[f"m{i}"] for i in range(4)] == [(-21.0 - 45.0 + 30.0 * i, -52.0) for i in range(4)] and at["m4"] == (0.0, -72.0) and at["lone"] == (0.0, -92.0)
+
+
+def test_validated_files_round_trip(spark, tmp_path):
+    from tessella.sources import readers, reports, sinks
+
+    e = ents(spark, {"id": "a"}, {"id": "b"}, {"id": "c", "doc_id": "gone", "type": "Odd"})
+    r = rels(spark, ("a", "ConsistOf", "b"), ("a", "ConsistOf", "zzz"))
+    v = cascade.validate(e, r, judge())
+    results = rules.results(v.gated_ids, v.gated_rels)
+    meta = cascade.validated_metadata(v, results, "now")
+    m = meta.first()
+    assert meta.count() == 1 and (m.doc_id, m.validation_metadata.validated_entity_count, m.validation_metadata.critical_violations_removed, m.validation_metadata.rule_scores["VR001"]) == ("d", 2, 1, 100.0)
+    parts = {(x.doc_id, x.part) for x in sinks.validated_json(v.entities, v.rels, meta).collect()}
+    assert parts == {("d", "metadata"), ("d", "entity"), ("d", "relationship")}
+    (tmp_path / "d x_validated.json").write_text('{"validation_metadata": ' + sinks.validated_json(v.entities, v.rels, meta).where("part = 'metadata'").first().value + "}")
+    (tmp_path / "odd_validated.json").write_text("{}")
+    got = {x.document_name: (x.original_entities, x.validated_entities, x.semantic_accuracy) for x in readers.validated_files(spark, str(tmp_path)).collect()}
+    assert got == {"d x": (2, 2, 100.0), "odd": (0, 0, 0.0)}
+    lines = reports.validation_report(v, spark.createDataFrame([("d", 3, 4)], "document_name string, total_pages int, total_segments int"), results, e)
+    text = [x.value for x in lines.orderBy("section", "ord").collect()]
+    assert text[0].startswith("1. OVERALL") and any(x.startswith("Entities extracted") and x.endswith(" 3") for x in text) and any(x.startswith("VR006") for x in text)
+    assert [x for x in text if x.startswith("TOTAL")][0].split() == ["TOTAL", "2", "2", "100.0"]
+
+
+def test_compliance_of_known_documents(spark):
+    """Five documents of which all break VR002 throughout and some VR003: known figures."""
+    known = [("a", 42, 1, 27, 82.72), ("b", 62, 3, 38, 82.02), ("c", 68, 6, 54, 81.48), ("d", 66, 0, 52, 83.33), ("e", 57, 7, 36, 80.09)]
+    rows = [(d, f"VR00{k}", bad, total, round((total - bad) / total * 100, 2), bad == 0) for d, n, v3, metrics, _ in known for k, bad, total in ((1, 0, n), (2, n, n), (3, v3, metrics), (4, 0, 1), (5, 0, 1), (6, 0, 1))]
+    got = rules.compliance(spark.createDataFrame(rows, "doc_id string, rule_id string, violation_count long, total_items long, score double, passed boolean"))
+    assert {r.doc_id: r.compliance for r in got.collect()} == {d: c for d, *_, c in known}

@@ -139,5 +139,75 @@ def test_files_round_trip(spark, tmp_path):
     sinks.write_rdf(t, str(tmp_path / "rdf"))
     assert spark.read.text(str(tmp_path / "rdf")).count() == 2
     (src / "x.pdf").write_bytes(b"one\fbad")
-    pages = readers.page_files(spark, str(src), lambda b: [(p, []) for p in b.decode().split("\f")]).orderBy("page_num").collect()
-    assert [(p.doc_id, p.page_num, p.text) for p in pages] == [("x", 0, "one"), ("x", 1, "bad")]
+    (src / "y z.pdf").write_bytes(b"\xff")
+    pages = readers.page_files(spark, str(src), lambda b: [(p, [[["h"], ["r"]]]) for p in b.decode().split("\f")])
+    got = {(p.doc_id, p.page_num, p.text, str(p.tables)) for p in pages.where("error is null").collect()}
+    assert got == {("x", 0, "one", "[[['h'], ['r']]]"), ("x", 1, "bad", "[[['h'], ['r']]]")}
+    assert tuple(readers.batch_result(pages).first())[:4] == (True, 2, 1, 1)
+    assert tuple(readers.batch_result(readers.page_files(spark, str(tmp_path / "none"), None)).first()) == (False, 0, 0, 0, "Directory not found")
+    (tmp_path / "empty").mkdir()
+    assert readers.batch_result(readers.page_files(spark, str(tmp_path / "empty"), None)).first().error == "No files found"
+
+
+def test_the_whole_way_from_pages_to_files(spark, tmp_path):
+    import json
+
+    docs = segment.from_pages(spark.createDataFrame([("d", 0, "A Title", None), ("d", 1, PROSE, [[["Site"], ["a"]]]), ("d", 2, PROSE, None)], "doc_id string, page_num int, text string, tables array<array<array<string>>>"))
+    secs = segment.sections(segment.outline(docs))
+    sinks.write_json_files(sinks.segments_json(secs), str(tmp_path / "segments"))
+    row = json.loads(spark.read.text(str(tmp_path / "segments")).first().value)
+    assert [(x["segment_id"], x["section_number"], x["has_tables"]) for x in row] == [("seg_001", "1", False), ("seg_002", "2", True)]
+    meta = json.loads(sinks.metadata_json(secs, docs, "now").first().value)
+    assert (meta["document_name"], meta["title"], meta["total_pages"], meta["total_segments"], meta["sections"][1]["pages"], meta["sections"][1]["table_count"]) == ("d", "A Title", 3, 2, "1-2", 1)
+    assert sinks.segment_summary(secs.select(F.col("doc").alias("doc_id"), "segment_id", "page_start", "page_end", F.col("number").alias("section_number"), F.col("title").alias("section_title"))).count() == 2
+
+
+def test_experiments_of_documents(spark):
+    import json
+
+    answers = [(1, "d", '{"entities": [{"id": "a"}], "relationships": []}'), (2, "d", 'Here: ```json\n{"entities": [{"id": "b"}, {"id": "a"}], "relationships": {"subject": "a"}}\n```'), (3, "bad", "[1]"), (4, "bad", '{"entities": []}'), (5, "d", None)]
+    df = spark.createDataFrame(answers, "seg_uid long, doc_id string, answer string")
+    e, r = extract.answer_tables(df)
+    assert sorted((x.doc_id, x.id) for x in e.collect()) == [("d", "a"), ("d", "a"), ("d", "b")] and r.count() == 1
+    guided = spark.createDataFrame([("d", '{"entities": [{"id": "g"}]}')], "doc_id string, j string").select("doc_id", F.parse_json("j").alias("graph"))
+    res = extract.experiments(guided, df)
+    got = {(x.doc_id, x.experiment): (x.n, x.failed) for x in res.select("doc_id", "experiment", F.size("entities").alias("n"), "failed").collect()}
+    assert got == {("d", "1_ontology_guided"): (1, False), ("d", "2_baseline_llm"): (3, False), ("bad", "1_ontology_guided"): (0, False), ("bad", "2_baseline_llm"): (0, True)}
+    files = {x.doc_id: json.loads(x.value) for x in sinks.experiments_json(res, "now").collect()}
+    assert files["bad"]["experiments"]["2_baseline_llm"] == {"name": "Baseline (Unconstrained)", "status": "failed"}
+    assert files["d"]["experiments"]["2_baseline_llm"]["entity_count"] == 3 and files["d"]["document"] == "d"
+    b = extract.batch_summary(res).first()
+    assert (b.total_documents, b.successful, b.failed, b.entities) == (2, 1, 1, 4)
+
+
+def test_settings_degrade_and_templates_are_read(spark, tmp_path):
+    assert readers.provider_settings(str(tmp_path / "no")).error and readers.provider_settings(str(tmp_path / "no")).api_key == ""
+    (tmp_path / "c.json").write_text('{"api_settings": {"model": "m"}}')
+    assert readers.provider_settings(str(tmp_path / "c.json")).error == "No API key in configuration"
+    (tmp_path / "c.json").write_text('{"api_settings": {"api_key": "k", "model": "m", "max_tokens": 9}}')
+    s = readers.provider_settings(str(tmp_path / "c.json"))
+    assert (s.error, s.model, s.max_tokens) == (None, "m", 9) and "'k'" not in repr(s)
+    (tmp_path / "t.txt").write_text("A {document_name}\n{content}")
+    assert readers.template_file(spark, str(tmp_path / "t.txt")) == "A {document_name}\n{content}"
+
+
+def test_cost_reports(spark, tmp_path):
+    import json
+
+    from tessella.sources import reports
+
+    usage = spark.createDataFrame([(1, "a", "r", "s1", "m", 1_000_000, 0, 3, 5), (2, "a", "r", "s2", "m", 0, 1_000_000, 4, 4), (3, "b", "r", None, "m", 0, 0, None, 1)], "usage_id long, document_name string, run_id string, segment_id string, model string, input_tokens long, output_tokens long, page_start int, page_end int")
+    pricing = spark.createDataFrame([("m", 2.0, 4.0)], "model string, input_usd double, output_usd double")
+    calls = cost.priced(usage, pricing)
+    text = [r.value for r in reports.cost_report(calls, cost.document_summary(calls)).orderBy("section", "ord").collect()]
+    assert text[0] == "Document: a" and "p.3-5" in text[4] and "p.4 " in text[5] and "N/A" in text[-1]
+    files = {r.document_name: json.loads(r.value) for r in reports.cost_report_json(calls, cost.document_summary(calls), pricing).collect()}
+    assert len(files["a"]["per_segment_usage"]) == 2 and files["a"]["pricing_reference"]["models"]["m"] == {"input": 2.0, "output": 4.0}
+    per = spark.createDataFrame([("a", 10.0, 0.0, 10, 8, 2.0), ("b", 5.0, 0.0, 0, 0, 0.0)], "document_name string, extraction_cost double, validation_cost double, entities_before long, entities_after long, wasted_cost double")
+    m = cost.method_summary(per)
+    comp = cost.compare_methods(m, m)
+    lines = [r.value for r in reports.comparison_report(comp, cost.insights(comp)).orderBy("section", "ord").collect()]
+    assert lines[0] == "COST COMPARISON" and sum("baseline method" in x for x in lines) == 3
+    reports.write_report(reports.comparison_report(comp, cost.insights(comp)), str(tmp_path / "out"))
+    sinks.write_csv(reports.document_costs(per), str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
