@@ -167,3 +167,20 @@ def fill_report(packed: DataFrame, capacities: DataFrame) -> DataFrame:
     """Per capacity: containers, tokens, and the share of room that is used."""
     each = packed.groupBy("capacity_id").agg(F.countDistinct("container_id").alias("n_containers"), F.count(F.lit(1)).alias("n_items"), F.sum("tokens").alias("tokens"))
     return each.join(F.broadcast(capacities), "capacity_id").withColumn("fill", F.try_divide("tokens", F.col("n_containers") * F.col("capacity_tokens")))
+
+
+def packing_checks(packed: DataFrame, sizes: DataFrame, capacities: DataFrame) -> DataFrame:
+    """Per capacity what must hold of any packing: (capacity_id, n_texts, lost_tokens, overfull, same_place, split_short, tight).
+
+    ``n_texts``: texts that have a place; ``lost_tokens``: tokens without one, or placed twice; ``overfull``: containers
+    above the capacity; ``same_place``: places taken twice; ``split_short``: texts in pieces that would fit
+    whole; ``tight``: no more than one container and one in a hundred beyond what the tokens need."""
+    cap = F.broadcast(capacities.select("capacity_id", F.col("capacity_tokens").cast("long").alias("capacity_tokens")))
+    bins = packed.groupBy("capacity_id", "container_id").agg(F.sum("tokens").alias("t"), (F.count(F.lit(1)) - F.count_distinct("position")).alias("same")).join(cap, "capacity_id")
+    per_bin = bins.groupBy("capacity_id").agg(F.sum("t").alias("placed"), F.count_if(F.col("t") > F.col("capacity_tokens")).alias("overfull"), F.sum("same").alias("same_place"), F.count(F.lit(1)).alias("n"), F.max("capacity_tokens").alias("c"))
+    texts = packed.groupBy("capacity_id", "doc_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("k")).join(cap, "capacity_id")
+    per_text = texts.groupBy("capacity_id").agg(F.count(F.lit(1)).alias("n_texts"), F.count_if((F.col("k") > 1) & (F.col("t") <= F.col("capacity_tokens"))).alias("split_short"))
+    total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
+    t = per_bin.join(per_text, "capacity_id").join(F.broadcast(total), F.lit(True))
+    need = F.ceil(F.col("total") / F.col("c"))
+    return t.select("capacity_id", "n_texts", (F.col("total") - F.col("placed")).alias("lost_tokens"), "overfull", "same_place", "split_short", (F.col("n") <= need + 1 + need / 100).alias("tight"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import dedup, fusion, packing, scans, subject, tokenizer
-from tessella.session import load
+from tessella.session import load, stage
 
 
 def _upserts(spark: SparkSession, d: str) -> DataFrame:
@@ -50,6 +50,17 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.pack_texts(load(spark, d, "documents"), capacities, tokenizer.VOCABULARY), capacities)
 
 
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    capacities, sizes = load(spark, d, "pack_capacities"), tokenizer.sizes(load(spark, d, "documents"), path=tokenizer.VOCABULARY)
+    sizes = stage(sizes, "token-sizes")
+    return packing.packing_checks(stage(packing.pack(sizes, capacities), "packed"), sizes, capacities)
+
+
+def p3_items(spark: SparkSession, d: str) -> DataFrame:
+    """The groups and fields that are fused and how many different values each has."""
+    return fusion.fuse(load(spark, d, "kg_entities")).select("keep_id", "field", F.col("n_values").cast("long").alias("n_values"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return subject.find_areas(load(spark, d, "documents"), load(spark, d, "subject_examples"))
 
@@ -62,7 +73,7 @@ def p10_leaves(spark: SparkSession, d: str) -> DataFrame:
     return subject.leaf_report(load(spark, d, "documents"), load(spark, d, "subject_examples"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p3_found, p3_fused, p6_found, p6_text, p8_ids, p9_packed, p9_fill, p10_found, p10_composition, p10_leaves)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p3_found, p3_fused, p3_items, p6_found, p6_text, p8_ids, p9_packed, p9_fill, p9_checks, p10_found, p10_composition, p10_leaves)}
 
 _FOLDED = """folded AS (SELECT rec_id, regexp_replace(lower(label), '[^\\p{L}\\p{Nd}]', '', 'g') AS a, regexp_replace(lower(type), '[^\\p{L}\\p{Nd}]', '', 'g') AS b
   FROM kg_entities WHERE op = 'upsert' AND label IS NOT NULL AND type IS NOT NULL),
@@ -84,9 +95,9 @@ timed AS (
     ELSE epoch_us(try_cast(replace(t, '/', '-') AS TIMESTAMP)) END AS ts
   FROM base WHERE n >= 2),
 fields AS (
-  SELECT keep_id, rec_id, ts, 'label' AS field FROM timed WHERE {_COUNTS.format("label")}
+  SELECT keep_id, rec_id, ts, 'label' AS field, label AS value FROM timed WHERE {_COUNTS.format("label")}
   UNION ALL
-  SELECT keep_id, rec_id, ts, field FROM (SELECT keep_id, rec_id, ts, k AS field, json_extract(props, '$."' || k || '"') AS v
+  SELECT keep_id, rec_id, ts, field, CAST(v AS VARCHAR) FROM (SELECT keep_id, rec_id, ts, k AS field, json_extract(props, '$."' || k || '"') AS v
     FROM (SELECT *, unnest(json_keys(props)) AS k FROM timed WHERE props IS NOT NULL))
   WHERE CASE json_type(v) WHEN 'NULL' THEN false WHEN 'OBJECT' THEN true
     WHEN 'ARRAY' THEN len(list_filter(CAST(v AS VARCHAR[]), lambda x: coalesce({_COUNTS.format("x")}, false))) > 0
@@ -96,4 +107,7 @@ ORACLE = {
     "p1_found": f"WITH {_FOLDED} SELECT keep_id, rec_id AS copy_id FROM grouped WHERE rec_id <> keep_id",
     "p1_collapsed": f"WITH {_FOLDED} SELECT keep_id, count(*) AS n_copies FROM grouped GROUP BY keep_id",
     "p3_found": f"WITH {_LATEST} SELECT keep_id, field, arg_min(rec_id, (-coalesce(ts, -500000000000000000), rec_id)) AS rec_id FROM fields GROUP BY keep_id, field",
+    "p3_items": f"WITH {_LATEST} SELECT keep_id, field, count(DISTINCT value) AS n_values FROM fields GROUP BY keep_id, field",
+    # what holds of any packing: every text placed once, nothing lost, overfull, doubly taken or split for nothing
+    "p9_checks": "SELECT capacity_id, (SELECT count(*) FROM documents) AS n_texts, 0::BIGINT AS lost_tokens, 0::BIGINT AS overfull, 0::BIGINT AS same_place, 0::BIGINT AS split_short, true AS tight FROM pack_capacities",
 }

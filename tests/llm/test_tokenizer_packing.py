@@ -82,3 +82,12 @@ def test_packing_keeps_every_piece(spark):
             assert all(sum(r.tokens for r in b) <= cap and sorted(r.position for r in b) == list(range(len(b))) for b in used.values())
         assert {r.capacity_id for r in rows} == {1, 2}
     assert packing.pack(sizes.limit(0), caps).collect() == [] and packing.pack(sizes, caps.limit(0)).collect() == []
+
+
+def test_packing_checks_see_what_is_wrong(spark):
+    sizes = spark.createDataFrame([(1, 6), (2, 4), (3, 5)], "doc_id long, tokens int")
+    caps = spark.createDataFrame([(1, 10)], "capacity_id int, capacity_tokens int")
+    good = packing.pack(sizes, caps)
+    assert tuple(packing.packing_checks(good, sizes, caps).first()) == (1, 3, 0, 0, 0, 0, True)
+    bad = spark.createDataFrame([(1, 1, 0, 3, 0, 0), (1, 1, 1, 3, 0, 0), (1, 2, 0, 4, 0, 1), (1, 3, 0, 4, 0, 2)], good.schema)
+    assert tuple(packing.packing_checks(bad, sizes, caps).first()) == (1, 3, 1, 1, 1, 1, True)
