@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = 4096
 
 
-def sweep(df: DataFrame, keys: list[str], start: str, end: str, bucket: int = BUCKET) -> DataFrame:
+def sweep(df: DataFrame, keys: list[str], start: str, end: str, bucket: int | None = None) -> DataFrame:
     """Merged periods and the gaps between them, per ``keys``.
 
     Each closed range ``[start, end]`` becomes a +1 event at ``start`` and a -1 event at ``end + 1``.
     Events of one place are summed before the shuffle, so a hot key shrinks to its distinct boundaries.
-    The prefix sum has two levels (whole buckets, then places within a bucket), so no task ever holds
-    all boundaries of a key.
+    The prefix sum has two levels (whole buckets, then places within a bucket). Unless given, the width of
+    a bucket follows from the range of all places and the number of rows: a key has at most as many
+    buckets as the root of the rows, and places of a wide, sparse range (times) are gathered alike.
 
     Result: keys, ``kind`` ('period' or 'gap'), ``range_from``, ``range_to`` (bigint, both included).
     Rows with a null end or ``start > end`` cover nothing; repeated rows change nothing; null keys form
@@ -23,6 +26,9 @@ def sweep(df: DataFrame, keys: list[str], start: str, end: str, bucket: int = BU
     k = [f"_k{i}" for i in range(len(keys))]
     lo, hi = F.col(start).cast("long"), F.col(end).cast("long")
     base = df.select(*[F.col(c).alias(a) for c, a in zip(keys, k)], lo.alias("_lo"), hi.alias("_hi")).where("_lo <= _hi")
+    if bucket is None:
+        seen = base.agg(F.count(F.lit(1)).alias("n"), F.min("_lo").alias("lo"), F.max("_hi").alias("hi")).first()
+        bucket = max(BUCKET, math.ceil((seen.hi - seen.lo + 1) / math.sqrt(2 * seen.n))) if seen.n else BUCKET
     events = (
         base.select(*k, F.explode(F.array(F.struct(F.col("_lo").alias("x"), F.lit(1).alias("d")), F.struct((F.col("_hi") + 1).alias("x"), F.lit(-1).alias("d")))).alias("e"))
         .groupBy(*k, F.col("e.x").alias("x"))

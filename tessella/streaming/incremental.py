@@ -14,9 +14,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tessella.operators import gate, kg
 from tessella.session import shared_root, ship
 
-EVENT = "doc_id string, ref_id string, kind string, row_id long, endpoint string, at_us long"
+EVENT = "doc_id string, ref_id string, share int, kind string, row_id long, endpoint string, at_us long"
 RESULT = "doc_id string, ref_id string, rel_id long, endpoint string, status string"
-# per key: first upsert, time / row / kind of the latest entity row, and every reference with its time and status
+# Shares that the references of a key are dealt to, so that the state of a hot key is many small ones.
+SHARES = 16
+# per key and share: first upsert, time / row / kind of the latest entity row, and every reference with its time and status
 STATE = "first_us long, last_us long, last_row long, gone boolean, refs array<struct<rel_id:long,endpoint:string,at_us:long,status:string>>"
 
 
@@ -38,13 +40,14 @@ def usage_windows(usage: DataFrame, width: str = "1 day", late: str = "2 days")
     return t.groupBy(F.window("at", width), "model").agg(F.count(F.lit(1)).alias("n_calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
 
 
-def orphan_events(entities: DataFrame, rels: DataFrame) -> DataFrame:
-    """Both tables as one stream of keyed events."""
+def orphan_events(entities: DataFrame, rels: DataFrame, shares: int = SHARES) -> DataFrame:
+    """Both tables as one stream of keyed events: a reference goes to one share of its key, a parent to all."""
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     e = entities.where("id is not null").select("doc_id", F.col("id").alias("ref_id"), F.col("op").alias("kind"), F.col("rec_id").alias("row_id"), F.lit(None).cast("string").alias("endpoint"), us("ingested_at").alias("at_us"))
+    e = e.select("*", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
     ends = F.array(F.struct(F.lit("subject").alias("endpoint"), F.col("subject").alias("ref_id")), F.struct(F.lit("object").alias("endpoint"), F.col("object").alias("ref_id")))
     r = rels.select("doc_id", "rel_id", "ingested_at", F.explode(ends).alias("x")).where(F.regexp_like("x.ref_id", F.lit(r"[^\s\p{Z}]")))
-    r = r.select("doc_id", F.col("x.ref_id").alias("ref_id"), F.lit("ref").alias("kind"), F.col("rel_id").alias("row_id"), F.col("x.endpoint").alias("endpoint"), us("ingested_at").alias("at_us"))
+    r = r.select("doc_id", F.col("x.ref_id").alias("ref_id"), F.lit("ref").alias("kind"), F.col("rel_id").alias("row_id"), F.col("x.endpoint").alias("endpoint"), us("ingested_at").alias("at_us"), F.pmod(F.xxhash64("rel_id", "x.endpoint"), F.lit(shares)).cast("int").alias("share"))
     return e.unionByName(r)
 
 
@@ -80,5 +83,5 @@ def orphan_stream(events: DataFrame) -> DataFrame:
     """Changes of status of every reference, by keyed pending state.
 
     New references probe the parent's state, arriving parents resolve waiting references, deletes reopen
-    them; only changes are emitted. For unbounded hot keys use the batch form, which salts them."""
-    return events.groupBy("doc_id", "ref_id").applyInPandasWithState(_advance, RESULT, STATE, "update", GroupStateTimeout.NoTimeout)
+    them; only changes are emitted. A hot key has its references dealt to shares with a state each."""
+    return events.groupBy("doc_id", "ref_id", "share").applyInPandasWithState(_advance, RESULT, STATE, "update", GroupStateTimeout.NoTimeout)

@@ -52,3 +52,12 @@ def test_neighbours_repeats_and_extremes(spark):
 
 def test_empty(spark):
     assert page_periods(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_sparse_places_share_buckets(spark):
+    """Boundaries far apart, as times are: the same result as with one bucket, in few buckets a key."""
+    rng = random.Random(9)
+    rows = [("k", t, t + rng.randrange(10**8)) for t in (rng.randrange(10**12) for _ in range(400))]
+    df = spark.createDataFrame(rows, "k string, a long, b long")
+    own = {tuple(r) for r in sweep(df, ["k"], "a", "b").collect()}
+    assert own == {tuple(r) for r in sweep(df, ["k"], "a", "b", bucket=10**13).collect()} and len(own) > 300
