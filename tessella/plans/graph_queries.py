@@ -50,6 +50,19 @@ def gate_accuracy(spark, d):
     return gate.accuracy(gate.judged(_ents(spark, d)))
 
 
+def _verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """A table of answers for the named entities: some say no, some do not say, some are missing."""
+    ids = load(spark, d, "kg_entities").where("id is not null").select("doc_id", "id").distinct()
+    n = F.length("id")
+    return ids.where(n % 5 != 0).select("doc_id", "id", F.when(n % 7 != 0, n % 3 != 0).alias("is_correct"), F.concat(F.lit("asked about "), "id").alias("reasoning"))
+
+
+def verdict_gate(spark, d):
+    """The gate by a table of verdicts, with the reasons."""
+    g = gate.judged(_ents(spark, d), gate.table_judge(_verdicts(spark, d)))
+    return g.select("rec_id", "called", "mismatch", "reasoning")
+
+
 def gate_entities(spark, d):
     return _valid(spark, d).gated.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("rec_id").alias("id_sum"))
 
@@ -227,7 +240,7 @@ def triples(spark, d):
     return graph.triples(_ents(spark, d), _rels(spark, d))
 
 
-_NAMES = """dedup_entities type_gate gate_prompt gate_accuracy gate_entities gate_relationships cascade_entities cascade_relationships
+_NAMES = """dedup_entities type_gate gate_prompt gate_accuracy verdict_gate gate_entities gate_relationships cascade_entities cascade_relationships
 cascade_summary vr001 vr002 vr003 vr004 vr005 vr006 rule_scores compliance violation_stats rule_matrix segment_retention
 mean_segment_retention signature_check type_distribution predicate_distribution type_counts provenance_coverage document_report
 grand_totals document_stages validation_report predicate_counts report_examples failed_entities failures_per_document metric_merge edge_redirect effective_type legend induced_edges
@@ -417,6 +430,9 @@ ORACLE = {
     "type_gate": f"WITH {_ENT} SELECT rec_id, coalesce(type, 'unknown') AS type FROM ent WHERE NOT known",
     "gate_prompt": f"WITH {_ENT} SELECT rec_id, 'Label: ' || coalesce(label, '') || CASE WHEN type IN ('Metric', 'Model') AND coalesce({_f('description')} ->> '$', '') <> '' THEN chr(10) || 'Description: ' || ({_f('description')} ->> '$') ELSE '' END AS prompt FROM ent WHERE known",
     "gate_accuracy": f"WITH {_GATE}, {_ACC} SELECT * FROM acc",
+    "verdict_gate": f"""WITH {_ENT}, j AS (SELECT *, id IS NOT NULL AND length(id) % 5 <> 0 AS answered, CASE WHEN length(id) % 7 <> 0 THEN length(id) % 3 <> 0 ELSE false END AS ok FROM ent)
+SELECT rec_id, known AND answered AS called, NOT known OR (answered AND NOT ok) AS mismatch,
+  CASE WHEN NOT known THEN 'SEMANTIC FAILURE: Unknown/invalid type "' || coalesce(type, 'unknown') || '" not in ontology schema. Only 4 types allowed: Industry, Category, Metric, Model.' WHEN answered AND NOT ok THEN 'asked about ' || id END AS reasoning FROM j""",
     "gate_entities": f"WITH {_GATE} SELECT doc_id, count(*) AS n, sum(rec_id)::BIGINT AS id_sum FROM gated GROUP BY doc_id",
     "gate_relationships": f"WITH {_GATE} SELECT rel_id FROM grels",
     "cascade_entities": f"WITH {_VALID} SELECT rec_id FROM vent",

@@ -131,3 +131,8 @@ def comparison_report(comparison: DataFrame, insights: DataFrame) -> DataFrame:
     table = comparison.select(F.lit(1).alias("section"), F.concat(F.lit("1"), "metric").alias("ord"), F.format_string("%-24s %18.6f %18.6f %+18.6f", "metric", "baseline", "guided", "difference").alias("value"))
     said = insights.select(F.lit(2).alias("section"), F.concat(F.lit("1"), "metric").alias("ord"), F.format_string("%s: the %s method is better by %.4f", "metric", "winner", "lead").alias("value"))
     return union_all([_head(comparison, 1, "COST COMPARISON", f"{'Metric':<24} {'Baseline':>18} {'Guided':>18} {'Difference':>18}"), table, _head(comparison, 2, "KEY INSIGHTS"), said])
+
+
+def failures_table(failed: DataFrame) -> DataFrame:
+    """Failed entities under the names of the report's columns."""
+    return failed.select(F.col("doc_id").alias("Document"), F.col("entity_id").alias("Entity_ID"), F.col("entity_type").alias("Entity_Type"), F.col("entity_label").alias("Entity_Label"), F.col("failure_reason").alias("Failure_Reason"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella import vocab
 from tessella.functions.values import is_falsy
 from tessella.operators import cascade, gate, graph, kg, layout, report, rules
+from tessella.sources import reports
 
 RAW = "rec_id long, doc_id string, pos int, id string, type string, label string, properties string, source struct<doc_id:string,page:int>, provenance map<string,string>, op string"
 REL = "rel_id long, doc_id string, pos int, subject string, predicate string, object string, source struct<doc_id:string>"
@@ -165,7 +166,9 @@ def test_predicates_however_spelled(spark):
 def test_failures_carry_the_reasoning_of_the_judge(spark):
     v = spark.createDataFrame([("d", "a", False, "no metric"), ("d", "b", True, "fine"), ("d", "x", True, "")], "doc_id string, id string, is_correct boolean, reasoning string")
     e = ents(spark, {"id": "a"}, {"id": "b"}, {"id": "b", "label": "second"}, {"id": "x", "type": None, "label": None}, {"id": None}, {"id": "free"})
-    got = {r.entity_id: (r.entity_type, r.entity_label, r.failure_reason) for r in graph.failed_entities(cascade.validate(e, rels(spark), gate.table_judge(v))).collect()}
+    failed = graph.failed_entities(cascade.validate(e, rels(spark), gate.table_judge(v)))
+    assert reports.failures_table(failed).columns == ["Document", "Entity_ID", "Entity_Type", "Entity_Label", "Failure_Reason"]
+    got = {r.entity_id: (r.entity_type, r.entity_label, r.failure_reason) for r in failed.collect()}
     assert got == {
         "a": ("Metric", "abc", "no metric"), "b": ("Metric", "second", graph.DEFAULT_REASON),
         "x": ("Unknown", "No label", 'SEMANTIC FAILURE: Unknown/invalid type "unknown" not in ontology schema. Only 4 types allowed: Industry, Category, Metric, Model.'),
@@ -215,7 +218,7 @@ def test_layout(spark):
 
 
 def test_validated_files_round_trip(spark, tmp_path):
-    from tessella.sources import readers, reports, sinks
+    from tessella.sources import readers, sinks
 
     e = ents(spark, {"id": "a"}, {"id": "b"}, {"id": "c", "doc_id": "gone", "type": "Odd"})
     r = rels(spark, ("a", "ConsistOf", "b"), ("a", "ConsistOf", "zzz"))

@@ -211,3 +211,19 @@ def test_cost_reports(spark, tmp_path):
     reports.write_report(reports.comparison_report(comp, cost.insights(comp)), str(tmp_path / "out"))
     sinks.write_csv(reports.document_costs(per), str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
+
+
+def test_segment_metadata_and_cost_files(spark, tmp_path):
+    import json
+
+    seg = [{"segment_id": "seg_001", "section_title": "T", "section_number": "1", "page_start": 0, "page_end": 0, "content": "x", "has_tables": True, "tables": [{"page": 0, "table_id": "t", "headers": ["a"], "rows": [["1"]]}]}]
+    (tmp_path / "Doc 1_segments.json").write_text(json.dumps(seg))
+    row = readers.segment_files(spark, str(tmp_path)).first()
+    assert (row.doc_id, row.segment_id, row.tables[0].rows, row.tables[0].pages) == ("Doc 1", "seg_001", [["1"]], None)
+    (tmp_path / "Doc 1_metadata.json").write_text(json.dumps({"document_name": "Doc 1", "total_pages": 3, "sections": [{"number": "1", "pages": "0-0"}]}))
+    assert readers.metadata_files(spark, str(tmp_path)).first().sections[0].pages == "0-0"
+    call = {"timestamp": "t", "segment_id": "s", "model": "m", "input_tokens": 5, "output_tokens": 1, "total_cost_usd": 0.5, "page_start": 1, "page_end": 2, "page_span": 2}
+    (tmp_path / "a_ontology_guided_cost_report.json").write_text(json.dumps({"document_name": "Doc 1_ontology_guided", "per_segment_usage": [call, call]}))
+    (tmp_path / "batch_aggregated_cost_report.json").write_text("{}")
+    got = readers.cost_reports(spark, str(tmp_path)).collect()
+    assert [(r.document_name, r.call_no, r.input_tokens, r.total_cost_usd) for r in got] == [("Doc 1", 0, 5, 0.5), ("Doc 1", 1, 5, 0.5)]
