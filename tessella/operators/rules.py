@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.values import blank, field, is_falsy, is_na, percent, present, text_of
+from tessella.functions.values import blank, field, is_falsy, is_na, present, text_of
 from tessella.session import hot_join
 from tessella.vocab import PREDICATES, REQUIRED_PROPERTIES
 

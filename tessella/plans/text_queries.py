@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import clean_text as clean
 from tessella.operators import cascade, cost, extract, gate, kg, nested, segment
-from tessella.plans.graph_queries import _ENT, _GATE, _RET, _VALID
+from tessella.plans.graph_queries import _RET, _VALID
 from tessella.plans.problems import READ, _items
 from tessella.session import load, stage, union_all
 from tessella.sources import reports

@@ -80,10 +80,6 @@ def write_json_files(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("doc_id").text(path)
 
 
-def write_json_lines(df: DataFrame, path: str, key: str = "doc_id") -> None:
-    df.write.mode("overwrite").partitionBy(key).json(path)
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     """A report of bounded size as one file with a header."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

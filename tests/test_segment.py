@@ -180,6 +180,13 @@ def test_experiments_of_documents(spark):
     assert (b.total_documents, b.successful, b.failed, b.entities) == (2, 1, 1, 4)
 
 
+def test_provenance_and_views(spark):
+    e = spark.createDataFrame([("d", "s1", "T")], "doc_id string, segment_id string, section_title string")
+    assert extract.stamp_provenance(e, "now").first().provenance == {"document_id": "d", "segment_id": "s1", "section_title": "T", "extraction_timestamp": "now"}
+    readers.register_views(spark, "/root/testdata/sf0.001", ["llm_pricing"])
+    assert spark.sql("select count(*) from llm_pricing").first()[0] == 3
+
+
 def test_settings_degrade_and_templates_are_read(spark, tmp_path):
     assert readers.provider_settings(str(tmp_path / "no")).error and readers.provider_settings(str(tmp_path / "no")).api_key == ""
     (tmp_path / "c.json").write_text('{"api_settings": {"model": "m"}}')
