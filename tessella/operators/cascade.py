@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessella.functions.values import percent
 from tessella.operators import gate as G
 from tessella.operators import rules as R
-from tessella.session import hot_join, stage
+from tessella.session import hot_join, merged, stage
 
 
 @dataclass
@@ -27,7 +27,7 @@ class Validated:
         """Entities whose id is not mismatched anywhere in the document; rows without an id stay."""
         bad = self.ids.where("bad").select("doc_id", F.col("key").alias("_key"), F.lit(True).alias("_bad"))
         rows = self.gate.withColumn("_key", R.key_of("id"))
-        return hot_join(rows, bad, ["doc_id", "_key"], "left", spread=F.col("rec_id")).where("_bad is null").drop("_bad", "_key")
+        return hot_join(rows, bad, ["doc_id", "_key"], "left", spread=F.col("rec_id"), grows=True).where("_bad is null").drop("_bad", "_key")
 
     @property
     def gated_ids(self) -> DataFrame:
@@ -41,7 +41,7 @@ class Validated:
     @property
     def entities(self) -> DataFrame:
         """Entities that survive: neither mismatched nor one of several with their id, the first included."""
-        return self.gate.join(self.ids.where("alive").select("rec_id"), "rec_id", "left_semi")
+        return self.gate.join(merged(self.ids.where("alive").select("rec_id")), "rec_id", "left_semi")
 
     @property
     def rels(self) -> DataFrame:
@@ -54,7 +54,7 @@ def ends_of(rels: DataFrame, ids: DataFrame) -> DataFrame:
     t = rels
     for end in ("subject", "object"):
         state = ids.select("doc_id", F.col("key").alias("_key"), F.col("bad").alias(f"_bad_{end}"), F.col("alive").alias(f"_alive_{end}"))
-        t = hot_join(t.withColumn("_key", R.key_of(end)), state, ["doc_id", "_key"], "left", spread=F.col("rel_id")).drop("_key")
+        t = hot_join(t.withColumn("_key", R.key_of(end)), state, ["doc_id", "_key"], "left", spread=F.col("rel_id"), grows=True).drop("_key")
     no = F.lit(False)
     t = t.withColumn("bad", F.coalesce("_bad_subject", no) | F.coalesce("_bad_object", no)).withColumn("alive", F.coalesce("_alive_subject", no) & F.coalesce("_alive_object", no))
     return t.drop("_bad_subject", "_bad_object", "_alive_subject", "_alive_object")
@@ -84,7 +84,7 @@ def retention(v: Validated) -> DataFrame:
 def segment_retention(v: Validated) -> DataFrame:
     """Per document and segment ('unknown' if unnamed): entities before and after."""
     alive = v.ids.where("alive").select("rec_id", F.lit(True).alias("_alive"))
-    t = v.gate.select("rec_id", "doc_id", F.coalesce(F.col("provenance")["segment_id"], F.lit("unknown")).alias("segment_id")).join(alive, "rec_id", "left")
+    t = v.gate.select("rec_id", "doc_id", F.coalesce(F.col("provenance")["segment_id"], F.lit("unknown")).alias("segment_id")).join(merged(alive), "rec_id", "left")
     return t.groupBy("doc_id", "segment_id").agg(F.count(F.lit(1)).alias("original"), F.count_if("_alive").alias("validated"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.values import blank, field, is_falsy, is_na, present, text_of
-from tessella.session import hot_join
+from tessella.session import hot_join, merged
 from tessella.vocab import PREDICATES, REQUIRED_PROPERTIES
 
 
@@ -117,7 +117,7 @@ def results(ents: DataFrame, rels: DataFrame, strict: bool = True, rules: list[R
     Otherwise it scores 0. Entities are reduced per id before documents, so a large document is summed in
     parts."""
     ids = ents if "n_ok" in ents.columns else per_id(ents)
-    ids = ids.join(calls(rels), ["doc_id", "key"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+    ids = ids.join(merged(calls(rels)), ["doc_id", "key"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
 
     def counted(frame: DataFrame, over: str) -> DataFrame:
         mine = [(i, r) for i, r in enumerate(rules) if r.over == over]
@@ -158,7 +158,7 @@ def duplicate_rows(ents: DataFrame) -> DataFrame:
 def unlinked(ents: DataFrame, rels: DataFrame) -> DataFrame:
     """Calculated metrics without a calculation link."""
     rows = flags(ents).where("calculated").select("rec_id", "doc_id", key_of("id").alias("key"))
-    return hot_join(rows, calls(rels), ["doc_id", "key"], "left", spread=F.col("rec_id")).where("linked is null").select("rec_id")
+    return hot_join(rows, calls(rels), ["doc_id", "key"], "left", spread=F.col("rec_id"), grows=True).where("linked is null").select("rec_id")
 
 
 def signature_violations(ents: DataFrame, rels: DataFrame, signatures: DataFrame) -> DataFrame:

@@ -95,6 +95,7 @@ def hot_join(
     hot: DataFrame | None = None,
     hot_keys: int = _HOT_KEYS,
     salts: int = _SALTS,
+    grows: bool = False,
 ) -> DataFrame:
     """Equi-join of ``left`` with ``right``, which holds at most one row per key, safe for hot keys.
 
@@ -102,7 +103,8 @@ def hot_join(
     most ``hot_keys`` rows whatever the input, so broadcasting it is bounded. Rows of these keys are
     dealt to ``salts`` shares and the matching right rows repeated once per share. Any other key holds at
     most ``1 / hot_keys`` of the rows. The list decides only how rows travel, never which rows join.
-    ``hot`` may hand over the counts (keys and ``_n``) if they are known already.
+    ``hot`` may hand over the counts (keys and ``_n``) if they are known already. ``grows`` says that ``right``
+    grows with the input: both sides are sorted and merged, whatever Spark takes the size of ``right`` to be.
     """
     spread = F.xxhash64(*[F.col(c) for c, t in left.dtypes if not t.startswith(("map", "variant"))]) if spread is None else spread
     if hot is None:
@@ -112,7 +114,15 @@ def hot_join(
     salted_left = left.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(spread, F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("_hot")
     shares = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     salted_right = right.join(hot, keys, "left").withColumn("_salt", F.explode(shares)).drop("_hot")
-    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
+    return salted_left.join(merged(salted_right) if grows else salted_right, [*keys, "_salt"], how).drop("_salt")
+
+
+def merged(right: DataFrame) -> DataFrame:
+    """``right`` as the side of a join that is never broadcast.
+
+    Spark takes the size of a staged table to be that of the columns read in its compressed files, a few bytes a
+    row. By that size a table with a row for each id is broadcast, though the driver cannot hold it."""
+    return right.hint("merge")
 
 
 def rank_within(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
