@@ -59,7 +59,8 @@ def as_list(v: Column) -> Column:
 
 # Kinds of value as bits, so that kinds met in different tasks are merged by an OR.
 OBJECT, ARRAY, STRING, INTEGER, NUMBER, BOOLEAN, NULL, BIG = (1 << i for i in range(8))
-# An object with more different keys than this holds data in its keys: it is one map, no set of fields.
+# An object with more different keys than this holds data in its keys: these are one map, no set of fields. Its
+# entries are rows of a level of their own where lists lie below.
 MAP_KEYS = 1_000
 MAP, ITEM = "{}", "[]"
 
@@ -69,17 +70,22 @@ class Node:
     """A place of the merged schema: the kinds of value found there and the places below.
 
     Elements of a list count as values of the place itself, since a single value may stand for a list of
-    one; only lists directly in lists have a place of their own (``[]``). Fields of a map are one (``{}``)."""
+    one; only lists directly in lists have a place of their own (``[]``). Fields of a map are one (``{}``), but
+    for those on the paths ``known``, which are fields by contract."""
 
     kinds: int = 0
     below: dict[str, "Node"] = field(default_factory=dict)
+    known: tuple[tuple[str, ...], ...] = ()
 
     def child(self, key: str) -> "Node":
         found = self.below.get(key)
         if found is None:
-            found = self.below[key] = Node()
+            found = self.below[key] = Node(known=tuple(p[1:] for p in self.known if len(p) > 1 and p[0] == key))
         return found
 
+    def named(self, key: str) -> bool:
+        return any(p[0] == key for p in self.known)
+
     def add(self, other: "Node") -> None:
         self.kinds |= other.kinds
         for key, node in other.below.items():
@@ -87,7 +93,7 @@ class Node:
 
     def fold(self) -> None:
         """Turn the fields of maps into one."""
-        fields = [k for k in self.below if k not in (MAP, ITEM)]
+        fields = [k for k in self.below if k not in (MAP, ITEM) and not self.named(k)]
         if len(fields) > MAP_KEYS or MAP in self.below:
             whole = self.child(MAP)
             for k in fields:
@@ -95,6 +101,13 @@ class Node:
         for node in self.below.values():
             node.fold()
 
+    def split(self) -> None:
+        """Lists that are values of a map get a place of their own below it, single values being lists of one."""
+        for key, node in self.below.items():
+            node.split()
+            if key == MAP and node.kinds & ARRAY:
+                node.kinds, node.below = ARRAY, {ITEM: Node(node.kinds, node.below)}
+
     def paths(self, at: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], int]]:
         yield at, self.kinds
         for key, node in self.below.items():
@@ -115,7 +128,7 @@ def _see(x: object, node: Node, texts: tuple[str, ...]) -> None:
             if len(node.below) > 2 * MAP_KEYS:
                 node.fold()
             for key, v in x.items():
-                c = node.child(MAP if MAP in node.below else key)
+                c = node.child(MAP if MAP in node.below and not node.named(key) else key)
                 tv = type(v)
                 if tv is str and key in texts and v.lstrip()[:1] == "{":
                     try:
@@ -137,15 +150,16 @@ def _see(x: object, node: Node, texts: tuple[str, ...]) -> None:
             node.kinds |= (INTEGER if abs(x) <= 2**53 else BIG) if t is int else _SCALAR[t]
 
 
-def infer_shape(df: DataFrame, doc: str, texts: tuple[str, ...] = ()) -> Node:
+def infer_shape(df: DataFrame, doc: str, texts: tuple[str, ...] = (), known: list[tuple[str, ...]] = ()) -> Node:
     """The merged schema of a VARIANT column.
 
-    Fields in ``texts`` may be JSON text of an object and count as the object in it. Each task merges its
+    Fields in ``texts`` may be JSON text of an object and count as the object in it, those on paths ``known`` are
+    never taken into a map. Each task merges its
     rows and sends every place once; objects with open key sets are folded into maps, so what reaches
     the driver is bounded by the schema, not by the data."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root = Node()
+        root = Node(known=tuple(known))
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 _see(json.loads(text), root, texts)
@@ -154,22 +168,25 @@ def infer_shape(df: DataFrame, doc: str, texts: tuple[str, ...] = ()) -> Node:
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([k for _, k in found], pa.int32())], names=["path", "kinds"])
 
     found = df.where(F.col(doc).isNotNull()).select(F.to_json(doc).alias("t")).mapInArrow(scan, "path string, kinds int").groupBy("path").agg(F.bit_or("kinds").alias("kinds"))
-    root = Node()
+    root = Node(known=tuple(known))
     for r in found.toLocalIterator():
         node = root
         for step in r.path.split("\x1f") if r.path else ():
             node = node.child(step)
         node.kinds |= r.kinds
     root.fold()
+    root.split()
     return root
 
 
 def array_levels(shape: Node, known: list[tuple[str, ...]] = (), texts: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
     """Paths of the places that hold a list somewhere, parents first. ``known`` are lists by contract and
     count wherever the schema has the place, even if this input only holds single values there. Fields in
-    ``texts`` are objects by contract and no levels. What lies in maps has no fixed place and stays with
-    the map."""
-    return sorted((p for p, kinds in shape.paths() if p and MAP not in p and p[-1] not in texts and (kinds & ARRAY or p in known)), key=lambda p: (len(p), p))
+    ``texts`` are objects by contract and no levels. A map (``{}``) with a list anywhere below is a level too, of
+    which each entry is a row, so that the lists in it have a row above them."""
+    places = list(shape.paths())
+    above = {p[: i + 1] for p, kinds in places if kinds & ARRAY for i, step in enumerate(p) if step == MAP}
+    return sorted((p for p, kinds in places if p and p[-1] not in texts and (kinds & ARRAY or p in known or p in above)), key=lambda p: (len(p), p))
 
 
 def depth(level: tuple[str, ...], levels: list[tuple[str, ...]]) -> int:
@@ -198,7 +215,8 @@ def explode_levels(
     element, over the levels below, so the parent's key and all ordinals above are at hand. ``level`` is
     the place in ``levels``, unused ordinals are -1. A single value is a list of one; null elements give
     no row but later ones keep their ordinal. Lists at ``records`` hold objects only; other elements
-    give no row. Fields in ``texts`` may be JSON text of an object. ``only`` names the levels wanted."""
+    give no row. Fields in ``texts`` may be JSON text of an object. Entries of a map run in the order of their
+    keys; their value is an object of ``key`` and ``value``. ``only`` names the levels wanted."""
     wanted = levels if only is None else [x for x in levels if x in only]
     deepest = max((depth(x, levels) for x in levels), default=1)
     row = "struct<level:int," + ",".join(f"pos{i + 1}:int" for i in range(deepest)) + (",value:variant>" if values else ">")
@@ -219,8 +237,31 @@ def explode_levels(
                 out.append(_each(member(v, k), lambda p: _each(text(p), lambda o: below(o))))  # noqa: B023 - called at once
             else:
                 out.append(_each(member(v, k), lambda p: below(p)))  # noqa: B023
+        if MAP in node.below and leads((*path, MAP)):
+            own = [k for k in node.below if k not in (MAP, ITEM)]
+            all_entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+            out.append(F.coalesce(entries(F.filter(all_entries, lambda e: ~e["key"].isin(own)), node.below[MAP], (*path, MAP), pos), none))
         return out
 
+    def entries(items: Column, node: Node, path: tuple[str, ...], pos: list[Column]) -> Column:
+        def one(e: Column, i: Column) -> Column:
+            here = [*pos, i]
+            x = F.when(e["key"].isin(list(texts)), F.coalesce(as_object(F.try_parse_json(F.try_variant_get(e["value"], "$", "string"))), e["value"])).otherwise(e["value"])
+            parts = []
+            if path in wanted:
+                parts.append(F.array(row_of(path, here, F.to_variant_object(F.struct(e["key"].alias("key"), x.alias("value"))))))
+            inner = (*path, ITEM)
+            if ITEM in node.below and leads(inner):
+                parts.append(elements(F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.array(x)), node.below[ITEM], inner, here))
+            parts += fields(x, node, path, here)
+            return F.when(x.isNotNull() & ~F.is_variant_null(x), F.concat(*parts)).otherwise(none)
+
+        return F.flatten(F.transform(items, one))
+
+    def row_of(path: tuple[str, ...], here: list[Column], value: Column) -> Column:
+        ordinals = [*here, *[F.lit(-1)] * (deepest - len(here))]
+        return F.struct(F.lit(levels.index(path)).alias("level"), *[p.alias(f"pos{n + 1}") for n, p in enumerate(ordinals)], *([value.alias("value")] if values else []))
+
     def place(v: Column, node: Node, path: tuple[str, ...], pos: list[Column]) -> Column:
         if path in levels:
             items = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
@@ -233,9 +274,7 @@ def explode_levels(
             here = [*pos, i]
             parts = []
             if path in wanted:
-                ordinals = [*here, *[F.lit(-1)] * (deepest - len(here))]
-                me = F.struct(F.lit(levels.index(path)).alias("level"), *[p.alias(f"pos{n + 1}") for n, p in enumerate(ordinals)], *([x.alias("value")] if values else []))
-                parts.append(F.array(me))
+                parts.append(F.array(row_of(path, here, x)))
             parts += fields(x, node, path, here)
             inner = (*path, ITEM)
             if ITEM in node.below and leads(inner):
@@ -275,6 +314,9 @@ def table_fields(shape: Node, level: tuple[str, ...], levels: list[tuple[str, ..
                 visit(c, (*path, k))
 
     visit(node, ())
+    if level[-1] == MAP:
+        inner = {} if ITEM in node.below else {("value", *path): kind for path, kind in found.items()}
+        return {("key",): "string"} | dict(sorted(inner.items()))
     if () in found and len(found) > 1 and not node.kinds & ~(OBJECT | ARRAY | NULL):
         del found[()]
     return dict(sorted(found.items()))
@@ -354,7 +396,7 @@ class Payloads:
 def read_payloads(payloads: DataFrame) -> Payloads:
     """Read and choose the graphs, infer their merged schema, and take its array levels."""
     graphs = payload_graphs(payloads)
-    shape = infer_shape(graphs, "graph", TEXTS)
+    shape = infer_shape(graphs, "graph", TEXTS, list(KINDS))
     return Payloads(graphs, shape, array_levels(shape, list(KINDS), TEXTS))
 
 

@@ -79,6 +79,24 @@ def test_open_key_sets_are_one_map(spark):
     assert dict(t.dtypes)["by"] == "variant" and t.count() == 5
 
 
+def test_lists_in_maps_are_levels_and_the_contract_is_no_map(spark):
+    """More than a thousand keys beside the fields of the contract, and lists as values of a map and further down."""
+    wide = {f"k{j:04d}": {"x": [j, j]} for j in range(1200)} | {"input_variables": ["u", "w"], "disaggregations": [{"members": ["n"]}]}
+    by = {f"m{j:04d}": [j, None, {"v": j}] if j % 2 else j for j in range(1100)}
+    g = {"entities": [{"id": "a", "properties": json.dumps(wide)}, {"id": "b", "by": by}]}
+    f = frame(spark, [json.dumps(g)])
+    got = {(r.kind, r.pos1, r.pos2, r.pos3) for r in payload_rows(f).collect()}
+    assert got == {("entity", 0, -1, -1), ("entity", 1, -1, -1), ("input_variable", 0, 0, -1), ("input_variable", 0, 1, -1), ("disaggregation", 0, 0, -1), ("disaggregation_member", 0, 0, 0)}
+    counts = {r.level: r.n_rows for r in nested.level_counts(f).collect()}
+    assert counts == {
+        "entities": 2, "entities.properties.input_variables": 2, "entities.properties.disaggregations": 1, "entities.properties.disaggregations.members": 1, "entities.properties.{}": 1200,
+        "entities.properties.{}.x": 2400, "entities.by.{}": 1100, "entities.by.{}.[]": 550 * 2 + 550,
+    }
+    p = nested.read_payloads(f)
+    keys = {(r.pos1, r.pos2): r.key for r in p.table(("entities", "properties", "{}")).collect()}
+    assert all(keys[r.pos1, r.pos2] == f"k{int(r.value):04d}" for r in p.table(("entities", "properties", "{}", "x")).collect()) and len(keys) == 1200
+
+
 def test_flat_tables_have_the_fields_as_typed_columns(spark):
     g = {
         "entities": [
