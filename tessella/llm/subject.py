@@ -33,9 +33,8 @@ LABEL_TERMS = 6
 LABEL_WEIGHT = 0.25
 # Fewer terms than this (two words) are a heading or a scrap, no paragraph, table or record.
 LEAST_TERMS = 4
-# Steps of the grid over unit vectors, halved while more cells than these are taken.
+# Steps of the grid over unit vectors, the same for inputs of any size.
 GRID = 20
-CELLS = 200_000
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|[.!?:;|\"{}\[\]]")
 _CODE = re.compile(r"\b[\w]+(?:-[\w]+)*-\d\w*")
@@ -431,11 +430,7 @@ def fit_on(documents: DataFrame, examples: DataFrame, leaves: int = LEAVES, seed
         tells = (post * np.log(post * k)).sum(axis=1)
         kept = (tells >= TELLING) & (share <= COMMON) & (seen[:, 0] > 0)
         tables = np.ascontiguousarray((np.log(post * k) * kept[:, None]).transpose(0, 2, 1))
-    grid = GRID
-    sums, weight, lead = _gathered(rows, speech, tables, grid)
-    while len(sums) > CELLS and grid > 1:
-        grid //= 2
-        sums, weight, lead = _gathered(rows, speech, tables, grid)
+    sums, weight, lead = _gathered(rows, speech, tables, GRID)
     mine = _sums(tables[np.repeat(tongue, sizes), idx], sizes)
     norm = np.linalg.norm(mine, axis=1)
     has = norm > 0

@@ -89,3 +89,12 @@ def test_leaves_are_labelled_and_decide(spark, world):
 def test_a_mixed_leaf_gives_several_subjects():
     m = subject.Model(["en"], {}, None, None, None, subject.np.array([[0.1, 0.5, 0.4], [0.8, 0.1, 0.1]]), [7, 9], [[], []])
     assert m.subjects() == [[7, 9], []]
+
+
+def test_the_grid_is_the_same_for_any_number_of_cells(world, monkeypatch):
+    docs, examples, _ = world
+    gathered, grids = subject._gathered, []
+    monkeypatch.setattr(subject, "_gathered", lambda *a: grids.append(a[3]) or gathered(*a))
+    monkeypatch.setattr(subject, "CELLS", 1, raising=False)
+    subject.fit_on(docs, examples)
+    assert grids == [subject.GRID]
