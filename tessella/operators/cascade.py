@@ -74,7 +74,7 @@ def retention(v: Validated) -> DataFrame:
     """Per document with entities: entities and relationships before and after and the share kept in percent."""
     a = v.ids.groupBy("doc_id").agg(F.sum("n").alias("entities_before"), F.count_if("alive").alias("entities_after"))
     b = v.ends.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rels_before"), F.count_if("alive").alias("rels_after"))
-    t = a.join(b, "doc_id", "left").na.fill(0)
+    t = a.join(merged(b), "doc_id", "left").na.fill(0)
     return t.select(
         "doc_id", "entities_before", "entities_after", "rels_before", "rels_after",
         F.round(percent(F.col("entities_after"), F.col("entities_before")), 2).alias("entity_retention"), F.round(percent(F.col("rels_after"), F.col("rels_before")), 2).alias("rel_retention"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions.values import blank, percent
 from tessella.operators import cascade, gate, rules
 from tessella.operators.cascade import Validated
+from tessella.session import merged
 from tessella.vocab import ENTITY_TYPES
 
 
@@ -60,7 +61,9 @@ def metadata_totals(meta: DataFrame) -> DataFrame:
 def documents(v: Validated, meta: DataFrame, rule_results: DataFrame) -> DataFrame:
     """One row per document: sizes and quality; no surviving entity means schema and retention 0, accuracy stays."""
     metrics = v.ids.groupBy("doc_id").agg(F.sum("metrics").alias("n_metrics"))
-    t = cascade.retention(v).join(metrics, "doc_id", "left").join(rules.compliance(rule_results).select("doc_id", "compliance"), "doc_id", "left").join(gate.accuracy(v.ids).select("doc_id", "accuracy", "cost_usd"), "doc_id", "left").join(metadata_totals(meta), "doc_id", "left")
+    t = cascade.retention(v)
+    for right in (metrics, rules.compliance(rule_results).select("doc_id", "compliance"), gate.accuracy(v.ids).select("doc_id", "accuracy", "cost_usd"), metadata_totals(meta)):
+        t = t.join(merged(right), "doc_id", "left")
     alive = F.col("entities_after") > 0
     return t.select(
         "doc_id", F.coalesce("total_pages", F.lit(0)).alias("total_pages"), F.coalesce("total_segments", F.lit(0)).alias("total_segments"), "entities_before", "entities_after", "n_metrics", "rels_before", "rels_after",

@@ -1,6 +1,7 @@
 """Small graphs for each trap of the gate, the rules, the cascade and the graph operators."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,8 +9,10 @@ from pyspark.sql import functions as F
 from tessella import vocab
 from tessella.functions.values import is_falsy
 from tessella.operators import cascade, gate, graph, kg, layout, report, rules
+from tessella.plans import graph_queries
 from tessella.sources import reports
 
+SF = "/root/testdata/sf0.001"
 RAW = "rec_id long, doc_id string, pos int, id string, type string, label string, properties string, source struct<doc_id:string,page:int>, provenance map<string,string>, op string"
 REL = "rel_id long, doc_id string, pos int, subject string, predicate string, object string, source struct<doc_id:string>"
 FULL = {"measurement_type": "Quantitative", "metric_type": "DirectMetric", "unit": "t", "code": "C", "description": "x"}
@@ -65,6 +68,25 @@ def test_tables_with_a_row_for_each_id_are_never_broadcast(spark):
         assert plan.count("BroadcastExchange") == plan.count("TakeOrderedAndProject") and plan.count("SortMergeJoin") >= merges
 
 
+def broadcasts(spark, name):
+    """The columns of each broadcast in all plans that a query runs, those of its staged tables included."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty(30_000)
+    done = store.executionsCount()
+    graph_queries.QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
+    bus.waitUntilEmpty(30_000)
+    ran = store.executionsList(done, 1000)
+    plans = [ran.apply(i).physicalPlanDescription() for i in range(ran.size())]
+    assert any("SortMergeJoin" in p for p in plans)
+    return [c for p in plans for c in re.findall(r"\) BroadcastExchange\s*\nInput \[\d+\]: \[(.*)\]", p)]
+
+
+@pytest.mark.parametrize("name", ["document_report"])
+def test_queries_broadcast_nothing_but_lists_of_hot_keys(spark, name):
+    found = broadcasts(spark, name)
+    assert found and [c for c in found if "_hot#" not in c] == []
+
+
 def test_the_two_relationship_filters_differ_on_dangling_ends(spark):
     e = ents(spark, {"id": "a"}, {"id": "b"}, {"id": "c"})
     r = rels(spark, ("a", "ConsistOf", "b"), ("a", "ConsistOf", "nowhere"), ("c", "ConsistOf", "a"), (None, "ConsistOf", "a"))
