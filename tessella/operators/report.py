@@ -88,4 +88,4 @@ def summary(v: Validated) -> DataFrame:
     """Stage by stage per document: entities and relationships extracted, past the gate, and validated."""
     e = v.ids.groupBy("doc_id").agg(F.sum("n").alias("extracted"), F.coalesce(F.sum(F.when(~F.col("bad"), F.col("n"))), F.lit(0)).alias("gated"), F.count_if("alive").alias("validated"))
     r = v.ends.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rels_extracted"), F.count_if(~F.col("bad")).alias("rels_gated"), F.count_if("alive").alias("rels_validated"))
-    return e.join(r, "doc_id", "left").na.fill(0)
+    return e.join(merged(r), "doc_id", "left").na.fill(0)
