@@ -81,7 +81,7 @@ def broadcasts(spark, name):
     return [c for p in plans for c in re.findall(r"\) BroadcastExchange\s*\nInput \[\d+\]: \[(.*)\]", p)]
 
 
-@pytest.mark.parametrize("name", ["document_report", "gate_relationships", "compliance", "document_stages", "rule_matrix", "predicate_distribution", "vr005", "rule_scores", "grand_totals", "vr006"])
+@pytest.mark.parametrize("name", ["document_report", "gate_relationships", "compliance", "document_stages", "rule_matrix", "predicate_distribution", "vr005", "rule_scores", "grand_totals", "vr006", "validation_report"])
 def test_queries_broadcast_nothing_but_lists_of_hot_keys(spark, name):
     found = broadcasts(spark, name)
     assert found and [c for c in found if "_hot#" not in c] == []
